@@ -93,3 +93,27 @@ def with_ctes(*ctes: str, body: str) -> str:
 
 BASE = (TRIPS_SQL, ZONES_SQL, PREPARED_SQL)
 PROCESSED = BASE + (ENRICHED_SQL,)
+
+
+def r1(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,8)), 1) AS DOUBLE)"
+
+
+def top_sql(direction: str, year: int, month: int, zone: str, k: int = 5) -> str:
+    key, other = (("pickup_zone", "dropoff_zone") if direction == "pickup" else ("dropoff_zone", "pickup_zone"))
+    return (
+        f"SELECT *, '{direction}s' AS direction,"
+        f" CAST(row_number() OVER (ORDER BY trip_count DESC, {other} ASC NULLS FIRST) AS INTEGER) AS rank"
+        f" FROM (SELECT * FROM routes WHERE year = {year} AND month = {month} AND {key} = '{zone}'"
+        f" ORDER BY trip_count DESC, {other} ASC NULLS FIRST LIMIT {k})"
+    )
+
+
+def top_all_sql(direction: str, k: int = 5) -> str:
+    key, other = (("pickup_zone", "dropoff_zone") if direction == "pickup" else ("dropoff_zone", "pickup_zone"))
+    return (
+        f"SELECT *, '{direction}s' AS direction, {key} AS zone FROM ("
+        f"SELECT *, CAST(row_number() OVER (PARTITION BY year, month, {key}"
+        f" ORDER BY trip_count DESC, {other} ASC NULLS FIRST) AS INTEGER) AS rank"
+        f" FROM routes WHERE {key} IS NOT NULL) WHERE rank <= {k}"
+    )

@@ -78,3 +78,196 @@ def q_monthly_analytics(spark, sf):
 @register("route_analytics", O.with_ctes(*O.PROCESSED, O.ROUTES_SQL, body="SELECT * FROM routes"))
 def q_route_analytics(spark, sf):
     return batch.route_analytics(processed(spark, sf))
+
+
+# ---- serving over the stored aggregates (F6-F9, L1-L6, U1-U4, W6, W7) ------
+
+from cabline.operators import serving as S  # noqa: E402
+from cabline.schema import TRIP_COLUMNS  # noqa: E402
+
+# Fixed request parameters of the serving queries (a month and a zone that
+# exist at every scale factor).
+YEAR, MONTH, ZONE = 1996, 3, "NATION_7"
+RANGE = (1995, 6, 1997, 3)
+
+
+def stored_monthly(spark, sf):
+    return batch.monthly_analytics(processed(spark, sf))
+
+
+def stored_routes(spark, sf):
+    return batch.route_analytics(processed(spark, sf))
+
+
+_M = O.PROCESSED + (O.MONTHLY_SQL,)
+_R = O.PROCESSED + (O.ROUTES_SQL,)
+
+
+@register("time_by_month", O.with_ctes(*_M, body=f"SELECT * FROM monthly WHERE year = {YEAR} AND month = {MONTH}"))
+def q_time_by_month(spark, sf):
+    return S.time_analytics(stored_monthly(spark, sf), YEAR, MONTH)
+
+
+@register("time_all_desc", O.with_ctes(*_M, body="SELECT * FROM monthly ORDER BY year DESC, month DESC"))
+def q_time_all_desc(spark, sf):
+    return S.time_analytics(stored_monthly(spark, sf))
+
+
+@register(
+    "time_range",
+    O.with_ctes(
+        *_M,
+        body=f"SELECT * FROM monthly WHERE year * 12 + month BETWEEN {RANGE[0] * 12 + RANGE[1]}"
+        f" AND {RANGE[2] * 12 + RANGE[3]} ORDER BY year, month",
+    ),
+)
+def q_time_range(spark, sf):
+    return S.time_range(stored_monthly(spark, sf), *RANGE)
+
+
+@register("time_year_range", O.with_ctes(*_M, body="SELECT * FROM monthly WHERE year BETWEEN 1996 AND 1997"))
+def q_time_year_range(spark, sf):
+    return S.year_range(stored_monthly(spark, sf), 1996, 1997)
+
+
+@register("routes_by_month", O.with_ctes(*_R, body=f"SELECT * FROM routes WHERE year = {YEAR} AND month = {MONTH}"))
+def q_routes_by_month(spark, sf):
+    return S.route_analytics_query(stored_routes(spark, sf), YEAR, MONTH, ZONE)
+
+
+@register(
+    "top_pickups",
+    O.with_ctes(
+        *_R,
+        body=f"SELECT * FROM routes WHERE year = {YEAR} AND month = {MONTH} AND pickup_zone = '{ZONE}'"
+        " ORDER BY trip_count DESC, dropoff_zone ASC NULLS FIRST LIMIT 5",
+    ),
+)
+def q_top_pickups(spark, sf):
+    return S.top_routes(stored_routes(spark, sf), YEAR, MONTH, ZONE, "pickup")
+
+
+@register(
+    "top_dropoffs",
+    O.with_ctes(
+        *_R,
+        body=f"SELECT * FROM routes WHERE year = {YEAR} AND month = {MONTH} AND dropoff_zone = '{ZONE}'"
+        " ORDER BY trip_count DESC, pickup_zone ASC NULLS FIRST LIMIT 5",
+    ),
+)
+def q_top_dropoffs(spark, sf):
+    return S.top_routes(stored_routes(spark, sf), YEAR, MONTH, ZONE, "dropoff")
+
+
+@register(
+    "top_routes_zone",
+    O.with_ctes(
+        *_R,
+        body=f"{O.top_sql('pickup', YEAR, MONTH, ZONE)} UNION ALL {O.top_sql('dropoff', YEAR, MONTH, ZONE)}",
+    ),
+)
+def q_top_routes_zone(spark, sf):
+    return S.top_routes_by_zone(stored_routes(spark, sf), YEAR, MONTH, ZONE)
+
+
+@register("top_routes_all", O.with_ctes(*_R, body=f"{O.top_all_sql('pickup')} UNION ALL {O.top_all_sql('dropoff')}"))
+def q_top_routes_all(spark, sf):
+    return S.top_routes_all(stored_routes(spark, sf))
+
+
+@register(
+    "routes_by_zone",
+    O.with_ctes(
+        *_R,
+        body=f"SELECT *, CASE WHEN pickup_zone = '{ZONE}' THEN 0 ELSE 1 END AS match_order FROM routes"
+        f" WHERE pickup_zone = '{ZONE}' OR dropoff_zone = '{ZONE}'",
+    ),
+)
+def q_routes_by_zone(spark, sf):
+    return S.route_analytics_query(stored_routes(spark, sf), zone=ZONE)
+
+
+@register(
+    "dropoff_only_routes",
+    O.with_ctes(
+        *_R,
+        body=f"SELECT d.* FROM routes d WHERE d.dropoff_zone = '{ZONE}' AND NOT EXISTS ("
+        f"SELECT 1 FROM routes p WHERE p.pickup_zone = '{ZONE}' AND p.year = d.year AND p.month = d.month"
+        " AND p.pickup_zone = d.pickup_zone AND p.dropoff_zone = d.dropoff_zone)",
+    ),
+)
+def q_dropoff_only_routes(spark, sf):
+    return S.dropoff_only(stored_routes(spark, sf), ZONE)
+
+
+@register(
+    "popular_routes",
+    O.with_ctes(
+        *_R,
+        f"""u AS (
+  SELECT *, CAST(CASE WHEN direction = 'pickups' THEN 0 ELSE 5 END + rank - 1 AS INTEGER) AS position
+  FROM ({O.top_sql('pickup', YEAR, MONTH, ZONE)} UNION ALL {O.top_sql('dropoff', YEAR, MONTH, ZONE)})
+)""",
+        f"""f AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY pickup_zone, dropoff_zone ORDER BY position) AS rn
+    FROM u WHERE NOT (pickup_zone = '{ZONE}' AND dropoff_zone = '{ZONE}')) WHERE rn = 1
+)""",
+        body="SELECT * FROM f ORDER BY position LIMIT 10",
+    ),
+)
+def q_popular_routes(spark, sf):
+    return S.popular_routes(stored_routes(spark, sf), YEAR, MONTH, ZONE)
+
+
+@register(
+    "zone_names",
+    O.with_ctes(O.ZONES_SQL, body="SELECT Zone, min(LocationID) AS first_location_id FROM zones GROUP BY Zone"),
+)
+def q_zone_names(spark, sf):
+    return S.zone_name_list(B.zones(spark, sf))
+
+
+_PAGE_OFFSET, _PAGE_LIMIT = 100, 50
+_TS_COLS = ("tpep_pickup_datetime", "tpep_dropoff_datetime")
+
+
+def _page_select() -> str:
+    return ", ".join(
+        f"strftime({c}, '%Y-%m-%dT%H:%M:%S') AS {c}" if c in _TS_COLS else c for c in TRIP_COLUMNS
+    )
+
+
+@register(
+    "trip_page",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        f"f AS (SELECT * FROM trips WHERE tpep_pickup_datetime >= TIMESTAMP '{YEAR}-{MONTH:02d}-01'"
+        f" AND tpep_pickup_datetime < TIMESTAMP '{YEAR}-{MONTH + 1:02d}-01')",
+        body=f"SELECT {_page_select()}, (SELECT count(*) FROM f) AS total FROM f ORDER BY "
+        + ", ".join(f"{c} ASC NULLS FIRST" for c in ("tpep_pickup_datetime",) + tuple(c for c in TRIP_COLUMNS if c != "tpep_pickup_datetime"))
+        + f" LIMIT {_PAGE_LIMIT} OFFSET {_PAGE_OFFSET}",
+    ),
+)
+def q_trip_page(spark, sf):
+    from cabline.functions.cleaning import null_non_finite
+    from cabline.operators.rules import calendar_filter
+
+    df = calendar_filter(B.trips(spark, sf), "tpep_pickup_datetime", YEAR, MONTH)
+    order = ["tpep_pickup_datetime"] + [c for c in TRIP_COLUMNS if c != "tpep_pickup_datetime"]
+    return S.format_timestamps(null_non_finite(S.page(df, order, _PAGE_OFFSET, _PAGE_LIMIT)))
+
+
+@register(
+    "chart_labels",
+    O.with_ctes(
+        *_M,
+        body="SELECT year, month, printf('%02d/%d', month, year) AS month_year, "
+        + O.r1("total_revenue / 10")
+        + " AS revenue_scaled, CAST(trip_count AS VARCHAR) AS trip_count_text,"
+        " CAST(split_part(printf('%d-%02d', year, month), '-', 1) AS INTEGER) AS picked_year,"
+        " CAST(split_part(printf('%d-%02d', year, month), '-', 2) AS INTEGER) AS picked_month FROM monthly",
+    ),
+)
+def q_chart_labels(spark, sf):
+    return S.chart_labels(stored_monthly(spark, sf))
