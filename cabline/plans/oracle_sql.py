@@ -117,3 +117,24 @@ def top_all_sql(direction: str, k: int = 5) -> str:
         f" ORDER BY trip_count DESC, {other} ASC NULLS FIRST) AS INTEGER) AS rank"
         f" FROM routes WHERE {key} IS NOT NULL) WHERE rank <= {k}"
     )
+
+
+FILLED_SQL = """
+filled AS (
+  SELECT VendorID, tpep_pickup_datetime, tpep_dropoff_datetime,
+    coalesce(passenger_count, 1) AS passenger_count, trip_distance,
+    coalesce(RatecodeID, 99.0) AS RatecodeID, coalesce(store_and_fwd_flag, 'N') AS store_and_fwd_flag,
+    PULocationID, DOLocationID, payment_type, fare_amount, extra, mta_tax, tip_amount,
+    tolls_amount, improvement_surcharge, total_amount,
+    coalesce(congestion_surcharge, 0.0) AS congestion_surcharge, coalesce(airport_fee, 0.0) AS airport_fee
+  FROM trips
+)"""
+
+HOURLY_SQL = """
+hourly AS (
+  SELECT pickup_hour, trip_count, CAST(hour(pickup_hour) AS INTEGER) AS hour,
+    CAST(dayofweek(pickup_hour) + 1 AS INTEGER) AS day_of_week,
+    CAST(dayofweek(pickup_hour) IN (0, 6) AS INTEGER) AS is_weekend
+  FROM (SELECT date_trunc('hour', tpep_pickup_datetime) AS pickup_hour, count(*) AS trip_count
+        FROM processed GROUP BY 1)
+)"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cabline.plans import batch, ingest
 from cabline.plans import oracle_sql as O
@@ -271,3 +272,169 @@ def q_trip_page(spark, sf):
 )
 def q_chart_labels(spark, sf):
     return S.chart_labels(stored_monthly(spark, sf))
+
+
+# ---- per-row projections (S2, P1-P4, P8-P10, P14-P16) ---------------------
+
+from cabline.functions import timeparts as TP  # noqa: E402
+from cabline.functions.cleaning import fill_defaults, null_non_finite, payment_type_name  # noqa: E402
+from cabline.operators import forecast as FC  # noqa: E402
+from cabline.operators import replay as RP  # noqa: E402
+from cabline.sources.trips import standardize  # noqa: E402
+
+_TRIP_SELECT = ", ".join(TRIP_COLUMNS)
+
+
+@register(
+    "standardize_trips",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        body="SELECT * REPLACE (CAST(NULL AS DOUBLE) AS congestion_surcharge) FROM trips",
+    ),
+)
+def q_standardize_trips(spark, sf):
+    """A loosely typed source (all text, ``Airport_fee`` spelling, one column
+    absent) brought back to the standard schema."""
+    t = B.trips(spark, sf).withColumnRenamed("airport_fee", "Airport_fee").drop("congestion_surcharge")
+    loose = t.select(*[F.col(c).cast("string").alias(c) for c in t.columns])
+    return null_non_finite(standardize(loose))
+
+
+@register(
+    "calendar_parts",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        body="""SELECT tpep_pickup_datetime,
+  CAST(year(tpep_pickup_datetime) AS INTEGER) AS year, CAST(month(tpep_pickup_datetime) AS INTEGER) AS month,
+  CAST(day(tpep_pickup_datetime) AS INTEGER) AS day, CAST(hour(tpep_pickup_datetime) AS INTEGER) AS hour,
+  printf('%02d:00', hour(tpep_pickup_datetime)) AS hour_label,
+  strftime(tpep_pickup_datetime, '%A') AS weekday_name,
+  strftime(tpep_pickup_datetime, '%m/%Y') AS month_label,
+  date_trunc('hour', tpep_pickup_datetime) AS pickup_hour,
+  CAST(dayofweek(tpep_pickup_datetime) + 1 AS INTEGER) AS day_of_week,
+  CAST(dayofweek(tpep_pickup_datetime) IN (0, 6) AS INTEGER) AS is_weekend,
+  strftime(tpep_pickup_datetime, '%Y-%m-%dT%H:%M:%S') AS iso_time,
+  strftime(tpep_pickup_datetime, '%Y-%m-%d %H:%M:%S') AS message_time,
+  strftime(tpep_pickup_datetime + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS predicted_time
+FROM trips""",
+    ),
+)
+def q_calendar_parts(spark, sf):
+    t = TP.with_calendar(B.trips(spark, sf).select("tpep_pickup_datetime"))
+    ts = "tpep_pickup_datetime"
+    feats = TP.time_features(ts)
+    return t.select(
+        ts, "year", "month", "day", "hour",
+        TP.hour_label("hour").alias("hour_label"),
+        TP.weekday_name(ts).alias("weekday_name"),
+        TP.month_label(ts).alias("month_label"),
+        TP.hour_start(ts).alias("pickup_hour"),
+        feats["day_of_week"].alias("day_of_week"),
+        feats["is_weekend"].alias("is_weekend"),
+        TP.iso_text(ts).alias("iso_time"),
+        TP.message_time(ts).alias("message_time"),
+        TP.message_time(TP.plus_hours(ts, 1)).alias("predicted_time"),
+    )
+
+
+@register("fill_defaults", O.with_ctes(O.TRIPS_SQL, O.FILLED_SQL, body="SELECT * FROM filled"))
+def q_fill_defaults(spark, sf):
+    return fill_defaults(B.trips(spark, sf))
+
+
+@register(
+    "payment_names",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        body=f"SELECT payment_type, {O.PAYMENT_CASE} AS payment_type_name, count(*) AS trip_count"
+        " FROM trips GROUP BY 1, 2",
+    ),
+)
+def q_payment_names(spark, sf):
+    t = B.trips(spark, sf)
+    return t.groupBy("payment_type", payment_type_name("payment_type").alias("payment_type_name")).agg(
+        F.count(F.lit(1)).alias("trip_count")
+    )
+
+
+# ---- hourly series and label (A3, P9, P10, W1, F5) -----------------------------
+
+
+@register("hourly_counts", O.with_ctes(*O.PROCESSED, O.HOURLY_SQL, body="SELECT * FROM hourly"))
+def q_hourly_counts(spark, sf):
+    return FC.hourly_series(processed(spark, sf))
+
+
+@register(
+    "next_hour_label",
+    O.with_ctes(
+        *O.PROCESSED,
+        O.HOURLY_SQL,
+        body="SELECT * FROM (SELECT *, lead(trip_count) OVER (ORDER BY pickup_hour) AS future_trip_count"
+        " FROM hourly) WHERE future_trip_count IS NOT NULL",
+    ),
+)
+def q_next_hour_label(spark, sf):
+    return FC.add_label(FC.hourly_series(processed(spark, sf)), gap="skip")
+
+
+@register(
+    "next_hour_label_grid",
+    O.with_ctes(
+        *O.PROCESSED,
+        O.HOURLY_SQL,
+        body="SELECT h.*, n.trip_count AS future_trip_count FROM hourly h"
+        " JOIN hourly n ON n.pickup_hour = h.pickup_hour + INTERVAL 1 HOUR",
+    ),
+)
+def q_next_hour_label_grid(spark, sf):
+    return FC.add_label(FC.hourly_series(processed(spark, sf)), gap="grid")
+
+
+# ---- messages and replay (K1, S4, W2, W3) -----------------------------------------
+
+
+@register(
+    "keyed_messages",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        body="SELECT coalesce(CAST(PULocationID AS VARCHAR), 'default') AS key,"
+        " 'yellow_trip_data' AS topic, * FROM trips",
+    ),
+)
+def q_keyed_messages(spark, sf):
+    return _decode_keeping(RP.to_messages(B.trips(spark, sf), taxi_type="yellow"))
+
+
+def _decode_keeping(msgs):
+    parsed = F.from_json(F.col("value"), RP.TRIP_SCHEMA, {"timestampFormat": RP.ISO_SECONDS_PATTERN})
+    return msgs.select("key", "topic", parsed.alias("_d")).select("key", "topic", "_d.*")
+
+
+@register("decode_messages", O.with_ctes(O.TRIPS_SQL, O.PREPARED_SQL, body="SELECT * FROM prepared"))
+def q_decode_messages(spark, sf):
+    msgs = RP.to_messages(B.trips(spark, sf))
+    return ingest.prepare(RP.decode_messages(msgs, keep_raw=False))
+
+
+_ORDER_SQL = ", ".join(f"{c} ASC NULLS FIRST" for c in TRIP_COLUMNS if c != "tpep_pickup_datetime")
+
+
+@register(
+    "replay_schedule",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        """p AS (SELECT *, CAST(year(tpep_pickup_datetime) AS INTEGER) AS year,
+  CAST(month(tpep_pickup_datetime) AS INTEGER) AS month,
+  CAST(day(tpep_pickup_datetime) AS INTEGER) AS day, CAST(hour(tpep_pickup_datetime) AS INTEGER) AS hour FROM trips)""",
+        f"""g AS (SELECT *, (epoch_us(tpep_pickup_datetime) - epoch_us(lag(tpep_pickup_datetime) OVER
+  (PARTITION BY year, month ORDER BY tpep_pickup_datetime ASC NULLS FIRST, {_ORDER_SQL}))) / 1000000 AS gap_seconds FROM p)""",
+        "s AS (SELECT *, coalesce(least(gap_seconds / 2.0, 10.0), 0.0) AS wait_seconds FROM g)",
+        body=f"""SELECT *, sum(wait_seconds) OVER (PARTITION BY year, month ORDER BY tpep_pickup_datetime ASC NULLS FIRST,
+  {_ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS send_offset_seconds FROM s""",
+    ),
+)
+def q_replay_schedule(spark, sf):
+    t = TP.with_calendar(B.trips(spark, sf))
+    tie = [c for c in TRIP_COLUMNS if c != "tpep_pickup_datetime"]
+    return RP.replay_schedule(t, partition_by=("year", "month"), tiebreak=tie)
