@@ -138,3 +138,33 @@ hourly AS (
   FROM (SELECT date_trunc('hour', tpep_pickup_datetime) AS pickup_hour, count(*) AS trip_count
         FROM processed GROUP BY 1)
 )"""
+
+
+FEED_SQL = """
+batches AS (
+  SELECT (epoch_us(ts) // 900000000) * 900 AS seq, max(ts) AS max_pickup_time, count(*) AS batch_trip_count
+  FROM events GROUP BY 1
+),
+feed AS (
+  SELECT seq, strftime(max_pickup_time, '%Y-%m-%d %H:%M:%S') AS timestamp,
+    CAST(sum(batch_trip_count) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS trip_count,
+    strftime(max_pickup_time + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS predicted_timestamp,
+    CAST(sum(batch_trip_count) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         + batch_trip_count * 4 AS BIGINT) AS predicted_trip_count
+  FROM batches
+)"""
+
+TIMELINE_SQL = """
+actual AS (SELECT strptime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts, arg_max(trip_count, seq) AS trip_count
+           FROM feed GROUP BY 1),
+predicted AS (SELECT strptime(predicted_timestamp, '%Y-%m-%d %H:%M:%S') AS ts,
+                     arg_max(predicted_trip_count, seq) AS predicted_trip_count FROM feed GROUP BY 1),
+timeline AS (SELECT coalesce(a.ts, p.ts) AS ts, a.trip_count, p.predicted_trip_count
+             FROM actual a FULL OUTER JOIN predicted p ON a.ts = p.ts),
+latest AS (SELECT max(ts) AS m FROM timeline WHERE trip_count IS NOT NULL),
+chart AS (
+  SELECT t.*, CASE WHEN t.ts > (SELECT m FROM latest) THEN 'predicted' ELSE 'actual' END AS point_kind
+  FROM timeline t
+  WHERE t.ts BETWEEN (SELECT m FROM latest) - INTERVAL 60 MINUTE AND (SELECT m FROM latest) + INTERVAL 60 MINUTE
+    AND (t.trip_count IS NOT NULL OR t.predicted_trip_count IS NOT NULL)
+)"""

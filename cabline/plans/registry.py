@@ -438,3 +438,67 @@ def q_replay_schedule(spark, sf):
     t = TP.with_calendar(B.trips(spark, sf))
     tie = [c for c in TRIP_COLUMNS if c != "tpep_pickup_datetime"]
     return RP.replay_schedule(t, partition_by=("year", "month"), tiebreak=tie)
+
+
+# ---- live timeline (W4, A4, A5, W5, J3, A7, F10, F12, G1, G2, P21, L5, L7) ------
+
+from cabline.operators import timeline as TL  # noqa: E402
+
+
+def feed(spark, sf):
+    return TL.message_feed(B.events(spark, sf), "ts")
+
+
+@register("message_feed", O.with_ctes(O.FEED_SQL, body="SELECT * FROM feed"))
+def q_message_feed(spark, sf):
+    return feed(spark, sf)
+
+
+@register("timeline_merged", O.with_ctes(O.FEED_SQL, O.TIMELINE_SQL, body="SELECT * FROM timeline ORDER BY ts"))
+def q_timeline_merged(spark, sf):
+    return TL.merge_timeline(feed(spark, sf)).orderBy("ts")
+
+
+@register("timeline_window", O.with_ctes(O.FEED_SQL, O.TIMELINE_SQL, body="SELECT * FROM chart ORDER BY ts"))
+def q_timeline_window(spark, sf):
+    return TL.chart_window(TL.merge_timeline(feed(spark, sf)))
+
+
+@register(
+    "timeline_bridge",
+    O.with_ctes(
+        O.FEED_SQL,
+        O.TIMELINE_SQL,
+        body="SELECT ts, trip_count, CASE WHEN ts = (SELECT max(ts) FROM chart WHERE trip_count IS NOT NULL)"
+        " THEN trip_count ELSE predicted_trip_count END AS predicted_trip_count, point_kind FROM chart ORDER BY ts",
+    ),
+)
+def q_timeline_bridge(spark, sf):
+    return TL.bridge(TL.chart_window(TL.merge_timeline(feed(spark, sf))))
+
+
+@register(
+    "time_grid",
+    O.with_ctes(
+        O.FEED_SQL,
+        O.TIMELINE_SQL,
+        body="SELECT unnest(generate_series(m - INTERVAL 60 MINUTE, m + INTERVAL 55 MINUTE, INTERVAL 5 MINUTE))"
+        " AS tick FROM latest WHERE m IS NOT NULL",
+    ),
+)
+def q_time_grid(spark, sf):
+    return TL.time_grid(TL.latest_actual(TL.merge_timeline(feed(spark, sf))))
+
+
+@register(
+    "last_actual_point",
+    O.with_ctes(
+        O.FEED_SQL,
+        O.TIMELINE_SQL,
+        body="SELECT ts, trip_count FROM timeline WHERE trip_count IS NOT NULL ORDER BY ts DESC LIMIT 1",
+    ),
+)
+def q_last_actual_point(spark, sf):
+    """The last actual point (top-1 by time)."""
+    t = TL.merge_timeline(feed(spark, sf))
+    return t.filter(F.col("trip_count").isNotNull()).orderBy(F.col("ts").desc()).limit(1).select("ts", "trip_count")
