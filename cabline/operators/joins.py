@@ -47,16 +47,23 @@ def enrich_zones(
     return df.join(pu, on=pickup_key, how="left").join(do, on=dropoff_key, how="left")
 
 
+def _anti(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key (null-safe) is not in ``other``. Both sides are
+    aliased, so inputs that share lineage do not make the condition ambiguous."""
+    a = df.alias("_l")
+    b = other.select(*keys).alias("_r")
+    cond = [F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`{k}`")) for k in keys]
+    return a.join(b, cond, "left_anti").select(*[F.col(f"_l.`{c}`").alias(c) for c in df.columns])
+
+
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``old`` whose key is not in ``new``, plus all of ``new``.
 
-    ``left_anti`` with null-safe keys; re-applying the same ``new`` is
-    idempotent."""
-    cond = [old[k].eqNullSafe(new[k]) for k in keys]
-    return old.join(new.select(*keys), cond, "left_anti").unionByName(new)
+    A shuffled (or, for a small ``new``, broadcast) anti-join on the key;
+    re-applying the same ``new`` is idempotent."""
+    return _anti(old, new, list(keys)).unionByName(new)
 
 
 def rows_not_in(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Set difference by key (null-safe)."""
-    cond = [df[k].eqNullSafe(other[k]) for k in keys]
-    return df.join(other.select(*keys), cond, "left_anti")
+    return _anti(df, other, list(keys))

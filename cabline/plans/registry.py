@@ -502,3 +502,163 @@ def q_last_actual_point(spark, sf):
     """The last actual point (top-1 by time)."""
     t = TL.merge_timeline(feed(spark, sf))
     return t.filter(F.col("trip_count").isNotNull()).orderBy(F.col("ts").desc()).limit(1).select("ts", "trip_count")
+
+
+# ---- repeatable writes and scans (J4, J5, K5-K7, S1, S5, S6, S8, P12, P13) ----
+
+from cabline.operators.joins import replace_by_key, rows_not_in, zone_role  # noqa: E402
+from cabline.operators.rules import calendar_filter  # noqa: E402
+from cabline.session import scratch_path  # noqa: E402
+from cabline.sinks import tables as K  # noqa: E402
+from cabline.sources import tables as ST  # noqa: E402
+from cabline.sources import trips as SRC  # noqa: E402
+from cabline.sources.zones import read_zones, write_zones_csv  # noqa: E402
+
+CUTOFF = "1998-01-01 00:00:00"
+RERUN_FROM = (1997, 12)
+
+
+@register(
+    "merge_key_replace",
+    O.with_ctes(
+        *O.PROCESSED,
+        O.MONTHLY_SQL,
+        f"""old AS (
+  SELECT year, month, count(*) AS trip_count,
+    {O.r2("sum(total_amount)")} AS total_revenue,
+    {O.r2("avg(trip_distance_km)")} AS avg_distance_km,
+    {O.r2("avg(trip_duration_minutes)")} AS avg_duration_minutes,
+    {O.r2("avg(trip_speed_kph)")} AS avg_speed_kph
+  FROM processed WHERE tpep_dropoff_datetime < TIMESTAMP '{CUTOFF}' GROUP BY year, month
+)""",
+        f"new AS (SELECT * FROM monthly WHERE year * 12 + month >= {RERUN_FROM[0] * 12 + RERUN_FROM[1]})",
+        body="SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.year = o.year AND n.month = o.month)"
+        " UNION ALL SELECT * FROM new",
+    ),
+)
+def q_merge_key_replace(spark, sf):
+    """The table as loaded before the cutoff (trips still running then are
+    missing), merged with a re-run of the last loaded month and later."""
+    valid, _ = valid_and_error(spark, sf)
+    zones = B.zones(spark, sf)
+    before = valid.filter(F.col("tpep_dropoff_datetime") < F.lit(CUTOFF).cast("timestamp"))
+    old = batch.monthly_analytics(batch.process(before, zones))
+    new = batch.monthly_analytics(batch.process(valid, zones)).filter(
+        F.col("year") * 12 + F.col("month") >= RERUN_FROM[0] * 12 + RERUN_FROM[1]
+    )
+    return replace_by_key(old, new, ["year", "month"])
+
+
+@register(
+    "dropoff_only_antijoin",
+    O.with_ctes(
+        *_R,
+        body=f"SELECT d.* FROM routes d WHERE d.dropoff_zone = '{ZONE}' AND NOT EXISTS ("
+        f"SELECT 1 FROM routes p WHERE p.pickup_zone = '{ZONE}' AND p.year = d.year AND p.month = d.month"
+        " AND p.pickup_zone = d.pickup_zone AND p.dropoff_zone = d.dropoff_zone)",
+    ),
+)
+def q_dropoff_only_antijoin(spark, sf):
+    """J4 as written upstream: dropoff matches minus pickup matches by key."""
+    routes = stored_routes(spark, sf)
+    by_pickup = routes.filter(F.col("pickup_zone") == ZONE)
+    by_dropoff = routes.filter(F.col("dropoff_zone") == ZONE)
+    return rows_not_in(by_dropoff, by_pickup, ["year", "month", "pickup_zone", "dropoff_zone"])
+
+
+@register("processed_rewrite", O.with_ctes(*O.PROCESSED, body="SELECT * FROM processed"))
+def q_processed_rewrite(spark, sf):
+    """K5: the processed trips written twice to the same partitioned table
+    (a retried run), then read back (S7): no duplicates."""
+    path = scratch_path(spark, "processed")
+    p = processed(spark, sf)
+    K.write_partitioned(p, path, ("year", "month"))
+    K.write_partitioned(p, path, ("year", "month"))
+    return SRC.read_processed(spark, path)
+
+
+@register("aggregate_rewrite", O.with_ctes(*_M, body="SELECT * FROM monthly"))
+def q_aggregate_rewrite(spark, sf):
+    """K7 + S8: the monthly aggregates stored twice by partition replace,
+    read back from the table."""
+    path = scratch_path(spark, "analyze_by_time")
+    m = stored_monthly(spark, sf)
+    K.replace_partitions(m, path)
+    K.replace_partitions(m, path)
+    return ST.read_aggregate(spark, path)
+
+
+@register(
+    "fact_table_overwrite",
+    O.with_ctes(*O.PROCESSED, body=f"SELECT * FROM processed WHERE year = {YEAR} AND month = {MONTH}"),
+)
+def q_fact_table_overwrite(spark, sf):
+    """K6: the fact table holds only the latest month written."""
+    path = scratch_path(spark, "fact_trips")
+    p = processed(spark, sf)
+    K.write_table(p.filter((F.col("year") == YEAR - 1) & (F.col("month") == MONTH)), path)
+    K.write_table(p.filter((F.col("year") == YEAR) & (F.col("month") == MONTH)), path)
+    return spark.read.parquet(path)
+
+
+@register(
+    "source_month_scan",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        body=f"SELECT * FROM trips WHERE year(tpep_pickup_datetime) = {YEAR} AND month(tpep_pickup_datetime) = {MONTH}",
+    ),
+)
+def q_source_month_scan(spark, sf):
+    """S1 + F4: a monthly source file written by name, then opened by name."""
+    root = scratch_path(spark, "source")
+    month = calendar_filter(B.trips(spark, sf), "tpep_pickup_datetime", YEAR, MONTH)
+    month.write.mode("overwrite").parquet(SRC.trip_file(root, "yellow", YEAR, MONTH))
+    return SRC.read_trips(spark, root, "yellow", YEAR, MONTH)
+
+
+@register(
+    "valid_month_scan",
+    O.with_ctes(*O.BASE, body=f"SELECT * FROM prepared WHERE {O.RULE} AND year = {YEAR} AND month = {MONTH}"),
+)
+def q_valid_month_scan(spark, sf):
+    """Valid trips stored by (year, month); one month read back through
+    partition pruning."""
+    root = scratch_path(spark, "raw_valid")
+    valid, _ = valid_and_error(spark, sf)
+    K.write_partitioned(valid, root, ("year", "month"))
+    return SRC.read_valid(spark, root, YEAR, MONTH)
+
+
+@register(
+    "zone_scan",
+    O.with_ctes(
+        O.ZONES_SQL,
+        body="SELECT LocationID AS PULocationID, Borough AS pickup_borough, Zone AS pickup_zone FROM zones",
+    ),
+)
+def q_zone_scan(spark, sf):
+    """S5 + P12: the zone dimension as a header CSV, scanned typed, in the
+    pickup role."""
+    path = scratch_path(spark, "zones_csv")
+    write_zones_csv(B.zones(spark, sf), path)
+    return zone_role(read_zones(spark, path), "pickup", "PULocationID")
+
+
+@register(
+    "parse_ts",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        """t AS (SELECT *, CASE WHEN payment_type = 7 THEN 'Other'
+  ELSE strftime(tpep_pickup_datetime, '%Y-%m-%dT%H:%M:%S') END AS pickup_text FROM trips)""",
+        body="SELECT * REPLACE (TRY_CAST(pickup_text AS TIMESTAMP) AS pickup_text) FROM t"
+        " WHERE TRY_CAST(pickup_text AS TIMESTAMP) IS NOT NULL",
+    ),
+)
+def q_parse_ts(spark, sf):
+    """Pickup as text (unparseable for out-of-domain payment codes),
+    parsed tolerantly; rows that do not parse are dropped."""
+    from cabline.functions.cleaning import parse_ts
+
+    t = B.trips(spark, sf)
+    text = F.when(F.col("payment_type") == 7, F.lit("Other")).otherwise(TP.iso_text("tpep_pickup_datetime"))
+    return parse_ts(t.withColumn("pickup_text", text), "pickup_text")
