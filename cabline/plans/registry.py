@@ -662,3 +662,120 @@ def q_parse_ts(spark, sf):
     t = B.trips(spark, sf)
     text = F.when(F.col("payment_type") == 7, F.lit("Other")).otherwise(TP.iso_text("tpep_pickup_datetime"))
     return parse_ts(t.withColumn("pickup_text", text), "pickup_text")
+
+
+# ---- streaming (S3, S4, T1-T5, T9, K2-K4, K8, A8) over file streams --------------
+
+from cabline.operators.joins import checked_broadcast  # noqa: E402,F401
+from cabline.schema import MESSAGE_SCHEMA  # noqa: E402
+from cabline.streaming import ingest as SI  # noqa: E402
+from cabline.streaming import live as SL  # noqa: E402
+
+STREAM_FILES, FILES_PER_TRIGGER = 8, 2
+
+
+def publish_messages(spark, sf, base: str) -> str:
+    """K1 to a message folder (the file twin of the topic): one file per
+    hash range of the key, consumed a few files per trigger."""
+    topic = f"{base}/topic"
+    msgs = RP.to_messages(B.trips(spark, sf))
+    msgs.repartition(STREAM_FILES, "key").select("value").write.mode("overwrite").text(topic)
+    return topic
+
+
+def parsed_stream(spark, sf, base: str):
+    topic = publish_messages(spark, sf, base)
+    src = SI.StreamSource(format="text", path=topic, max_files_per_trigger=FILES_PER_TRIGGER)
+    return SI.parse_stream(SI.read_trip_stream(spark, src))
+
+
+def run_storage(spark, sf) -> tuple[str, str]:
+    base = scratch_path(spark, "stream")
+    qv, qe = SI.start_storage(
+        parsed_stream(spark, sf, base), f"{base}/valid", f"{base}/error", f"{base}/ckpt",
+        partition_cols=("year", "month"), available_now=True,
+    )
+    qv.awaitTermination()
+    qe.awaitTermination()
+    return f"{base}/valid", f"{base}/error"
+
+
+@register("stream_valid", O.with_ctes(*O.BASE, body=f"SELECT * FROM prepared WHERE {O.RULE}"))
+def q_stream_valid(spark, sf):
+    valid_path, _ = run_storage(spark, sf)
+    return spark.read.parquet(valid_path)
+
+
+@register(
+    "stream_error",
+    O.with_ctes(*O.BASE, body=f"SELECT * FROM prepared WHERE NOT coalesce({O.RULE}, false)"),
+)
+def q_stream_error(spark, sf):
+    _, error_path = run_storage(spark, sf)
+    return spark.read.parquet(error_path).drop("_raw")
+
+
+def run_live(spark, sf, model=None) -> tuple[str, str]:
+    base = scratch_path(spark, "live")
+    valid, _ = SI.split_stream(parsed_stream(spark, sf, base))
+    sink = SL.LiveSink(f"{base}/state", f"{base}/messages", model=model)
+    q = SI.start_foreach_batch(valid, sink, f"{base}/ckpt", available_now=True)
+    q.awaitTermination()
+    return f"{base}/state", f"{base}/messages"
+
+
+@register(
+    "stream_running_total",
+    O.with_ctes(*O.BASE, body=f"SELECT count(*) AS total FROM prepared WHERE {O.RULE}"),
+)
+def q_stream_running_total(spark, sf):
+    state, _ = run_live(spark, sf)
+    return spark.read.parquet(state).orderBy(F.col("batch_id").desc()).limit(1).select("total")
+
+
+@register(
+    "stream_live_counts",
+    O.with_ctes(
+        *O.BASE,
+        f"""v AS (SELECT p.*, z.Borough AS pickup_borough FROM prepared p
+  LEFT JOIN zones z ON p.PULocationID = z.LocationID WHERE {O.RULE})""",
+        body="SELECT pickup_borough, count(*) AS trip_count FROM v GROUP BY pickup_borough",
+    ),
+)
+def q_stream_live_counts(spark, sf):
+    base = scratch_path(spark, "livecounts")
+    valid, _ = SI.split_stream(parsed_stream(spark, sf, base))
+    counts = SL.live_counts_frame(valid, B.zones(spark, sf))
+    q = SI.start_foreach_batch(counts, SL.overwrite_sink(f"{base}/out"), f"{base}/ckpt",
+                               available_now=True, output_mode="complete")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("timeline_upsert", O.with_ctes(O.FEED_SQL, O.TIMELINE_SQL, body="SELECT * FROM timeline"))
+def q_timeline_upsert(spark, sf):
+    """Real-time messages arrive as a stream and are appended to a log;
+    the timeline is the keyed last-write merge over the log."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    base = scratch_path(spark, "timeline")
+    feed(spark, sf).repartition(STREAM_FILES, "seq").write.mode("overwrite").json(f"{base}/topic")
+    schema = StructType([StructField("seq", LongType(), True)] + MESSAGE_SCHEMA.fields)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).json(f"{base}/topic")
+    q = (stream.writeStream.format("parquet").option("path", f"{base}/log")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return TL.merge_timeline(spark.read.parquet(f"{base}/log"))
+
+
+@register("forecast_next_hour")
+def q_forecast_next_hour(spark, sf):
+    """Train on the labelled hourly
+    history, save and reload the model, then score the next hour after every
+    live micro-batch. Model output has no SQL twin (rows only)."""
+    train = FC.add_label(FC.hourly_series(processed(spark, sf)), gap="grid")
+    model = FC.fit_forecast(train)
+    path = scratch_path(spark, "model")
+    K.save_model(model, path)
+    _, messages = run_live(spark, sf, model=ST.load_model(path))
+    return spark.read.parquet(messages)
