@@ -16,11 +16,20 @@ def _c(c) -> Column:
 
 
 def round_half_up(c, places: int = 2) -> Column:
-    """Round half up on the decimal value of a double.
+    """Round half up (away from zero) on the value fixed to 8 decimals.
 
-    The value is first fixed to 8 decimal places, so results do not depend
-    on the order in which a floating sum or average was accumulated.
-    """
+    The value is fixed to ``decimal(18,8)``, a long-backed decimal, so the
+    rounding and the cast back to double are long arithmetic inside
+    generated code, and the input is referenced once (nested measures do
+    not multiply). Results do not depend on the order a floating sum was
+    accumulated in. Values of 1e10 or more (no real trip measure) give null
+    instead of failing under ANSI."""
+    return F.round(_c(c).try_cast("decimal(18,8)"), places).cast("double")
+
+
+def round_half_up_exact(c, places: int = 2) -> Column:
+    """Same rule through ``decimal(38,8)`` (any magnitude); for aggregates,
+    where it runs once per group."""
     return F.round(_c(c).cast("decimal(38,8)"), places).cast("double")
 
 

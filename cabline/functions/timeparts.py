@@ -91,7 +91,8 @@ def plus_minutes(ts, minutes: int) -> Column:
 
 
 def plus_seconds(ts, seconds) -> Column:
-    return _c(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _c(seconds))
+    """``ts`` plus a per-row whole number of seconds, in long microseconds."""
+    return F.timestamp_micros(F.unix_micros(_c(ts)) + _c(seconds).cast("long") * F.lit(1_000_000))
 
 
 def month_picker(text) -> dict[str, Column]:

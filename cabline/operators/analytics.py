@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cabline.functions.measures import round_half_up
+from cabline.functions.measures import round_half_up_exact as round_half_up
 from cabline.functions.timeparts import hour_start
 from cabline.schema import ROUTE_KEYS, TIME_KEYS
 

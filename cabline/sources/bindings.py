@@ -6,8 +6,9 @@ columns are nulled or pushed out of domain on purpose, so every validity
 rule and default is exercised. Zones are ``nation - region``.
 
 Plan notes: ``lineitem`` and ``orders`` are both fact-sized, so that join
-is a sort-merge join on the order key; supplier and customer joins are left
-to the optimizer (broadcast when their statistics are small, sort-merge
+is a sort-merge join on the order key (hinted: orders is never broadcast,
+its size grows with the data); supplier and customer joins are left to the
+optimizer (broadcast when their statistics are small, sort-merge
 otherwise), so nothing is broadcast on faith.
 """
 
@@ -34,8 +35,10 @@ def trips_from_tables(
     o = orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
     s = supplier.select("s_suppkey", "s_nationkey")
     c = customer.select("c_custkey", "c_nationkey")
+    # orders grows with lineitem: never broadcast it; a sort-merge join on
+    # the order key spreads the fact rows over the shuffle partitions.
     j = (
-        li.join(o, li.l_orderkey == o.o_orderkey)
+        li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
         .join(s, li.l_suppkey == s.s_suppkey)
         .join(c, o.o_custkey == c.c_custkey)
     )
