@@ -11,8 +11,13 @@ BROADCAST_MAX_ROWS = 200_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Cheap, bounded size proof: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Cheap, bounded size proof: reads at most ``max_rows + 1`` rows. The
+    answer is kept on the DataFrame object (an immutable plan over a fixed
+    file listing), so a reused dimension is checked once."""
+    proofs = df.__dict__.setdefault("_row_bound_proofs", {})
+    if max_rows not in proofs:
+        proofs[max_rows] = df.limit(max_rows + 1).count() <= max_rows
+    return proofs[max_rows]
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

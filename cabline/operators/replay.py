@@ -26,7 +26,7 @@ from cabline.schema import (
 def arrival_gaps(df: DataFrame, ts: str, partition_by, tiebreak) -> DataFrame:
     """Seconds since the previous record of the same replay unit; null
     for the first record."""
-    x = previous_value(df, ts, ts, "_prev_ts", partition_by, tiebreak, bucket_unit="hour")
+    x = previous_value(df, ts, ts, "_prev_ts", partition_by, tiebreak, bucket_unit="minute")
     gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_prev_ts"))
     return x.withColumn("gap_seconds", gap / F.lit(1_000_000)).drop("_prev_ts")
 
@@ -44,7 +44,7 @@ def replay_schedule(
     x = arrival_gaps(df, ts, partition_by, tiebreak)
     wait = F.coalesce(F.least(F.col("gap_seconds") / F.lit(speed), F.lit(float(cap))), F.lit(0.0))
     x = x.withColumn("wait_seconds", wait)
-    return running_sum(x, ts, "wait_seconds", "send_offset_seconds", partition_by, tiebreak, bucket_unit="hour")
+    return running_sum(x, ts, "wait_seconds", "send_offset_seconds", partition_by, tiebreak, bucket_unit="minute")
 
 
 def to_messages(

@@ -34,12 +34,17 @@ def register(name: str, sql: str | None = None):
 
 
 def valid_and_error(spark: SparkSession, sf: str, null_policy: str = "quarantine"):
-    return ingest.split(B.trips(spark, sf), null_policy=null_policy)
+    return B.session_memo(
+        spark, ("split", sf, null_policy), lambda: ingest.split(B.trips(spark, sf), null_policy=null_policy)
+    )
 
 
 def processed(spark: SparkSession, sf: str) -> DataFrame:
-    valid, _ = valid_and_error(spark, sf)
-    return batch.process(valid, B.zones(spark, sf))
+    def build():
+        valid, _ = valid_and_error(spark, sf)
+        return batch.process(valid, B.zones(spark, sf))
+
+    return B.session_memo(spark, ("processed", sf), build)
 
 
 # ---- ingest split (F1, F2, P1, P2) -----------------------------------------
@@ -779,3 +784,25 @@ def q_forecast_next_hour(spark, sf):
     K.save_model(model, path)
     _, messages = run_live(spark, sf, model=ST.load_model(path))
     return spark.read.parquet(messages)
+
+
+@register(
+    "stream_live_top_zones",
+    O.with_ctes(
+        *O.BASE,
+        f"""v AS (SELECT p.*, z.Zone AS pickup_zone FROM prepared p
+  LEFT JOIN zones z ON p.PULocationID = z.LocationID WHERE {O.RULE})""",
+        body="SELECT pickup_zone, count(*) AS trip_count FROM v GROUP BY pickup_zone"
+        " ORDER BY trip_count DESC, pickup_zone ASC NULLS FIRST LIMIT 10",
+    ),
+)
+def q_stream_live_top_zones(spark, sf):
+    """A8 by pickup zone: running counts in complete mode, then the top 10
+    (ties by zone name)."""
+    base = scratch_path(spark, "livezones")
+    valid, _ = SI.split_stream(parsed_stream(spark, sf, base))
+    counts = SL.live_counts_frame(valid, B.zones(spark, sf), dim="pickup_zone")
+    q = SI.start_foreach_batch(counts, SL.overwrite_sink(f"{base}/out"), f"{base}/ckpt",
+                               available_now=True, output_mode="complete")
+    q.awaitTermination()
+    return SL.top_k(spark.read.parquet(f"{base}/out"), k=10, tie="pickup_zone")

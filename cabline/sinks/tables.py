@@ -14,16 +14,17 @@ from cabline.operators.joins import replace_by_key
 
 
 def _files_layout(df: DataFrame, partition_cols, files_per_partition: int | None) -> DataFrame:
-    """Bound the number of files per output partition without a hot task.
-
-    Default: no shuffle; rows are sorted by the partition columns inside each
-    task, so a task writes at most one file per partition value it holds.
-    With ``files_per_partition`` the rows are hash-distributed on the
-    partition columns plus a deterministic salt (stable under task retry),
-    so one big partition value is still written by several tasks."""
+    """Bound the number and size of files per output partition.
+
+    Default: the ``rebalance`` hint on the partition columns. AQE then sizes
+    the write tasks: small partition values are coalesced into one task and
+    a hot value (say a third of all rows) is split over several, so neither
+    tasks x values small files nor one huge task appear. With
+    ``files_per_partition`` the rows are hash-distributed on the partition
+    columns plus a deterministic salt (stable under task retry)."""
     cols = list(partition_cols)
     if not files_per_partition:
-        return df.sortWithinPartitions(*cols)
+        return df.hint("rebalance", *cols)
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
     return df.repartition(*[F.col(c) for c in cols], salt).sortWithinPartitions(*cols)
 

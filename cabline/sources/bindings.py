@@ -21,8 +21,22 @@ from cabline.functions.timeparts import plus_seconds
 from cabline.schema import TRIP_COLUMNS, TRIP_SCHEMA
 
 
+_PLANS: dict = {}
+
+
+def session_memo(spark: SparkSession, key: tuple, build):
+    """Reuse a lazily built DataFrame plan for the life of a session (like a
+    temp view): files are listed and plans analysed once, every action still
+    reads and computes the data in full."""
+    k = (spark.sparkContext.applicationId, id(spark)) + key
+    if k not in _PLANS:
+        _PLANS[k] = build()
+    return _PLANS[k]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return session_memo(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def trips_from_tables(
@@ -73,31 +87,36 @@ def trips_from_tables(
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trips_from_tables(
+    return session_memo(spark, ("trips", sf_dir), lambda: trips_from_tables(
         table(spark, sf_dir, "lineitem"),
         table(spark, sf_dir, "orders"),
         table(spark, sf_dir, "supplier"),
         table(spark, sf_dir, "customer"),
-    )
+    ))
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone dimension: ``LocationID = n_nationkey + 1``, Zone = nation name,
     Borough = region name."""
-    n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
-        (F.col("n_nationkey") + 1).cast("int").alias("LocationID"),
-        F.col("r_name").alias("Borough"),
-        F.col("n_name").alias("Zone"),
-        F.lit(None).cast("string").alias("service_zone"),
-    )
+    def build():
+        n = table(spark, sf_dir, "nation")
+        r = table(spark, sf_dir, "region")
+        return n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
+            (F.col("n_nationkey") + 1).cast("int").alias("LocationID"),
+            F.col("r_name").alias("Borough"),
+            F.col("n_name").alias("Zone"),
+            F.lit(None).cast("string").alias("service_zone"),
+        )
+
+    return session_memo(spark, ("zones", sf_dir), build)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event stream table; ``ts`` as a session-zone timestamp."""
-    e = table(spark, sf_dir, "events")
-    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+    return session_memo(
+        spark, ("events", sf_dir),
+        lambda: table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")),
+    )
 
 
 # SQL twin of the bindings for the DuckDB oracle (tables are views there).

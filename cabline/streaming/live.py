@@ -38,11 +38,14 @@ def _write_batch_partition(df: DataFrame, path: str) -> None:
 
 
 def _previous_state(spark: SparkSession, path: str, batch_id: int):
+    """The state row of batch ``batch_id - 1`` (batch ids are consecutive and
+    every batch writes one), read by its partition path: O(1) per batch, no
+    listing of the whole history."""
+    prev = f"{path.rstrip('/')}/batch_id={batch_id - 1}"
     try:
-        st = spark.read.parquet(path)
-    except Exception:  # no state yet
+        return spark.read.schema(STATE_SCHEMA).parquet(prev).drop("batch_id").first()
+    except Exception:  # first batch of this state table
         return None
-    return st.filter(F.col("batch_id") < batch_id).orderBy(F.col("batch_id").desc()).limit(1).first()
 
 
 class LiveSink:
@@ -74,11 +77,16 @@ class LiveSink:
     def _process(self, spark: SparkSession, batch_df: DataFrame, batch_id: int) -> None:
         ts = F.col(self.ts)
         stats = batch_df.agg(F.max(ts).alias("m"), F.count(F.lit(1)).alias("n")).first()
-        if stats["m"] is None:  # empty batch: no state change, no message
+        prev = _previous_state(spark, self.state_path, batch_id)
+        if stats["m"] is None:
+            # empty batch: the state is carried forward unchanged, no message
+            if prev is not None:
+                row = (batch_id, prev["total"], prev["hour"], prev["hour_count"], prev["max_pickup_time"], 0,
+                       prev["updated_at"])
+                _write_batch_partition(spark.createDataFrame([row], STATE_SCHEMA), self.state_path)
             return
         max_hour = stats["m"].replace(minute=0, second=0, microsecond=0)
         in_hour = batch_df.filter(hour_start(ts) == F.lit(max_hour)).count()
-        prev = _previous_state(spark, self.state_path, batch_id)
         now = self.now()
         alive = prev is not None and prev["updated_at"] >= now - self.ttl
         total = (prev["total"] if alive else 0) + stats["n"]
@@ -133,6 +141,7 @@ def overwrite_sink(path: str):
     return write
 
 
-def top_k(df: DataFrame, k: int = 10, by: str = "trip_count") -> DataFrame:
-    """Top of the live counts (``TakeOrderedAndProject``)."""
-    return df.orderBy(F.col(by).desc()).limit(k)
+def top_k(df: DataFrame, k: int = 10, by: str = "trip_count", tie: str | None = None) -> DataFrame:
+    """Top of the live counts (``TakeOrderedAndProject``), ties by ``tie``."""
+    order = [F.col(by).desc()] + ([F.col(tie).asc_nulls_first()] if tie else [])
+    return df.orderBy(*order).limit(k)

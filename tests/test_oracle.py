@@ -28,6 +28,7 @@ def con():
 def test_every_query_has_an_oracle_or_is_documented():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {"forecast_next_hour"}
+    assert len(QUERIES) >= 50
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
