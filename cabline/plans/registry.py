@@ -448,12 +448,22 @@ def q_replay_schedule(spark, sf):
 # ---- live timeline (W4, A4, A5, W5, J3, A7, F10, F12, G1, G2, P21, L5, L7) ------
 
 from cabline.operators import timeline as TL  # noqa: E402
+from cabline.session import shared_dir  # noqa: E402
 
 
 def feed(spark, sf):
     return TL.message_feed(B.events(spark, sf), "ts")
 
 
+def stored_timeline(spark, sf):
+    """The merged timeline (one row per distinct timestamp, so small),
+    written once to the shared checkpoint folder: the chart queries anchor
+    on its latest point several times, and each anchor then reads this table
+    instead of re-aggregating the raw events."""
+    shared_dir(spark)
+    return TL.merge_timeline(feed(spark, sf)).checkpoint(eager=True)
+
+
 @register("message_feed", O.with_ctes(O.FEED_SQL, body="SELECT * FROM feed"))
 def q_message_feed(spark, sf):
     return feed(spark, sf)
@@ -466,7 +476,7 @@ def q_timeline_merged(spark, sf):
 
 @register("timeline_window", O.with_ctes(O.FEED_SQL, O.TIMELINE_SQL, body="SELECT * FROM chart ORDER BY ts"))
 def q_timeline_window(spark, sf):
-    return TL.chart_window(TL.merge_timeline(feed(spark, sf)))
+    return TL.chart_window(stored_timeline(spark, sf))
 
 
 @register(
@@ -479,7 +489,7 @@ def q_timeline_window(spark, sf):
     ),
 )
 def q_timeline_bridge(spark, sf):
-    return TL.bridge(TL.chart_window(TL.merge_timeline(feed(spark, sf))))
+    return TL.bridge(TL.chart_window(stored_timeline(spark, sf)))
 
 
 @register(
@@ -694,21 +704,21 @@ def parsed_stream(spark, sf, base: str):
     return SI.parse_stream(SI.read_trip_stream(spark, src))
 
 
-def run_storage(spark, sf) -> tuple[str, str]:
+def run_store(spark, sf, side: str) -> str:
+    """One storage query (K2 valid or K3 error) over the message stream."""
     base = scratch_path(spark, "stream")
-    qv, qe = SI.start_storage(
-        parsed_stream(spark, sf, base), f"{base}/valid", f"{base}/error", f"{base}/ckpt",
+    valid, error = SI.split_stream(parsed_stream(spark, sf, base))
+    q = SI.start_parquet_sink(
+        valid if side == "valid" else error, f"{base}/{side}", f"{base}/ckpt-{side}",
         partition_cols=("year", "month"), available_now=True,
     )
-    qv.awaitTermination()
-    qe.awaitTermination()
-    return f"{base}/valid", f"{base}/error"
+    q.awaitTermination()
+    return f"{base}/{side}"
 
 
 @register("stream_valid", O.with_ctes(*O.BASE, body=f"SELECT * FROM prepared WHERE {O.RULE}"))
 def q_stream_valid(spark, sf):
-    valid_path, _ = run_storage(spark, sf)
-    return spark.read.parquet(valid_path)
+    return spark.read.parquet(run_store(spark, sf, "valid"))
 
 
 @register(
@@ -716,8 +726,7 @@ def q_stream_valid(spark, sf):
     O.with_ctes(*O.BASE, body=f"SELECT * FROM prepared WHERE NOT coalesce({O.RULE}, false)"),
 )
 def q_stream_error(spark, sf):
-    _, error_path = run_storage(spark, sf)
-    return spark.read.parquet(error_path).drop("_raw")
+    return spark.read.parquet(run_store(spark, sf, "error")).drop("_raw")
 
 
 def run_live(spark, sf, model=None) -> tuple[str, str]:
