@@ -9,10 +9,10 @@ waits), computed per replay unit (taxi type / month) in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cabline.operators.ordered import previous_value, running_sum
+from cabline.operators.ordered import previous_value
 from cabline.schema import (
     DEFAULT_MESSAGE_KEY,
     ISO_SECONDS_PATTERN,
@@ -38,13 +38,52 @@ def replay_schedule(
     tiebreak=None,
     speed: float = REPLAY_SPEED,
     cap: float = REPLAY_CAP_SECONDS,
+    bucket_unit: str = "hour",
 ) -> DataFrame:
-    """``wait_seconds = min(gap / speed, cap)`` (0 for the first record)
-    and ``send_offset_seconds`` = running sum of waits."""
-    x = arrival_gaps(df, ts, partition_by, tiebreak)
-    wait = F.coalesce(F.least(F.col("gap_seconds") / F.lit(speed), F.lit(float(cap))), F.lit(0.0))
-    x = x.withColumn("wait_seconds", wait)
-    return running_sum(x, ts, "wait_seconds", "send_offset_seconds", partition_by, tiebreak, bucket_unit="hour")
+    """W2 + W3: ``gap_seconds`` to the previous record of the replay unit
+    (null for the first), ``wait_seconds = min(gap / speed, cap)`` (0 for
+    the first) and ``send_offset_seconds`` = running sum of waits.
+
+    One window pass per (unit, time bucket) computes the in-bucket lag,
+    waits and their running sum; one per-bucket summary (first and last
+    time, in-bucket wait total; one row per bucket) gives each bucket the
+    last time of the bucket before it and the waits of all earlier buckets.
+    No window spans a whole unit of raw rows."""
+    keys = list(partition_by or [])
+    order = [ts] + list(tiebreak or [])
+    t = F.col(ts)
+
+    def secs(a, b):
+        return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1_000_000)
+
+    def wait_of(gap):
+        return F.least(gap / F.lit(speed), F.lit(float(cap)))
+
+    x = df.withColumn("_bk", F.date_trunc(bucket_unit, t))
+    w = Window.partitionBy(*keys, "_bk").orderBy(*order)
+    x = x.withColumn("_lag", F.lag(ts).over(w)).withColumn("_pos", F.row_number().over(w))
+    x = x.withColumn("_w", F.when(F.col("_pos") > 1, wait_of(secs(t, F.col("_lag")))).otherwise(F.lit(0.0)))
+    x = x.withColumn("_cum", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    wb = Window.partitionBy(*keys).orderBy("_bk")
+    summary = (
+        x.groupBy(*keys, "_bk")
+        .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_w").alias("_inb"))
+        .withColumn("_carry", F.lag("_last").over(wb))
+        .withColumn("_fw", F.coalesce(wait_of(secs(F.col("_first"), F.col("_carry"))), F.lit(0.0)))
+        .withColumn("_off", F.coalesce(
+            F.sum(F.col("_fw") + F.col("_inb")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        .select(*keys, "_bk", "_carry", "_fw", "_off")
+    )
+    x = x.join(summary, on=keys + ["_bk"], how="left")
+    first = F.col("_pos") == 1
+    return x.withColumns(
+        {
+            "gap_seconds": F.when(first, secs(t, F.col("_carry"))).otherwise(secs(t, F.col("_lag"))),
+            "wait_seconds": F.when(first, F.col("_fw")).otherwise(F.col("_w")),
+            "send_offset_seconds": F.col("_off") + F.col("_fw") + F.col("_cum"),
+        }
+    ).drop("_bk", "_lag", "_pos", "_w", "_cum", "_carry", "_fw", "_off")
 
 
 def to_messages(
