@@ -686,7 +686,7 @@ from cabline.schema import MESSAGE_SCHEMA  # noqa: E402
 from cabline.streaming import ingest as SI  # noqa: E402
 from cabline.streaming import live as SL  # noqa: E402
 
-STREAM_FILES, FILES_PER_TRIGGER = 8, 2
+STREAM_FILES, FILES_PER_TRIGGER = 8, 4
 
 
 def publish_messages(spark, sf, base: str) -> str:
