@@ -692,9 +692,10 @@ STREAM_FILES, FILES_PER_TRIGGER = 8, 4
 def publish_messages(spark, sf, base: str) -> str:
     """K1 to a message folder (the file twin of the topic): one file per
     hash range of the key, consumed a few files per trigger."""
+    from cabline.sinks.messages import MessageTarget, write_messages
+
     topic = f"{base}/topic"
-    msgs = RP.to_messages(B.trips(spark, sf))
-    msgs.repartition(STREAM_FILES, "key").select("value").write.mode("overwrite").text(topic)
+    write_messages(RP.to_messages(B.trips(spark, sf)), MessageTarget(format="text", path=topic, files=STREAM_FILES))
     return topic
 
 

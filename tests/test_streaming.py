@@ -127,3 +127,18 @@ def test_running_total_builtin_state(spark, tmp_dir):
     totals = [r["total"] for r in spark.sql(f"SELECT total FROM {name}").collect()]
     assert max(totals) == split(trips)[0].count()
     assert sorted(totals) == totals or len(set(totals)) == len(totals)
+
+
+def test_message_writer_file_forms(spark, tmp_dir):
+    import pytest
+
+    from cabline.sinks.messages import MessageTarget, write_messages
+
+    msgs = to_messages(frame(spark).drop("case"))
+    write_messages(msgs, MessageTarget(format="json", path=f"{tmp_dir}/j", files=2))
+    back = spark.read.json(f"{tmp_dir}/j")
+    assert sorted(back.columns) == ["key", "value"] and back.count() == msgs.count()
+    write_messages(msgs, MessageTarget(format="text", path=f"{tmp_dir}/t"))
+    assert spark.read.text(f"{tmp_dir}/t").count() == msgs.count()
+    with pytest.raises(ValueError):
+        write_messages(msgs, MessageTarget(format="xml", path=f"{tmp_dir}/x"))
