@@ -54,8 +54,16 @@ def forecast_pipeline(seed: int = 42, num_trees: int = 20, max_depth: int = 5) -
 
 
 def fit_forecast(train: DataFrame, **kw) -> PipelineModel:
-    """M3: fit on the whole labelled history."""
-    return forecast_pipeline(**kw).fit(train.withColumn("future_trip_count", F.col("future_trip_count").cast("double")))
+    """M3: fit on the whole labelled history.
+
+    The estimator passes over its input several times; the labelled series
+    (one row per hour, small at any scale) is persisted for the fit so the
+    raw trips are aggregated once, not once per pass."""
+    data = train.withColumn("future_trip_count", F.col("future_trip_count").cast("double")).persist()
+    try:
+        return forecast_pipeline(**kw).fit(data)
+    finally:
+        data.unpersist()
 
 
 def serving_features(stats: DataFrame, ts: str = "max_pickup_time", count: str = "hour_trip_count") -> DataFrame:
