@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cabline.functions.measures import round_half_up
 from cabline.functions.timeparts import iso_text, month_label_from_parts, month_picker
+from cabline.operators.analytics import zone_names
 from cabline.schema import PAGE_LIMIT_MAX, PAGE_LIMIT_MIN, POPULAR_ROUTES_SHOWN, TOP_ROUTES_K
 
 
@@ -133,7 +134,7 @@ def popular_routes(df: DataFrame, year: int, month: int, zone: str, k: int = TOP
 
 def zone_name_list(zones: DataFrame) -> DataFrame:
     """U4: each distinct zone name once, in first-id order."""
-    return zones.groupBy("Zone").agg(F.min("LocationID").alias("first_location_id")).orderBy("first_location_id")
+    return zone_names(zones).orderBy("first_location_id")
 
 
 # ---- paging --------------------------------------------------------------------------

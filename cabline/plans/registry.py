@@ -681,7 +681,6 @@ def q_parse_ts(spark, sf):
 
 # ---- streaming (S3, S4, T1-T5, T9, K2-K4, K8, A8) over file streams --------------
 
-from cabline.operators.joins import checked_broadcast  # noqa: E402,F401
 from cabline.schema import MESSAGE_SCHEMA  # noqa: E402
 from cabline.streaming import ingest as SI  # noqa: E402
 from cabline.streaming import live as SL  # noqa: E402
