@@ -48,3 +48,14 @@ def test_checked_broadcast_falls_back(spark):
     assert not has_at_most(big, 10)
     assert checked_broadcast(big, 10) is big
     assert has_at_most(big, 1000)
+
+
+def test_merge_by_key_replaces_and_keeps(spark, tmp_dir):
+    old = spark.createDataFrame([(2023, 1, 10), (2023, 2, 20), (2023, 3, 30)], "year int, month int, n long")
+    new = spark.createDataFrame([(2023, 3, 33), (2023, 4, 40)], "year int, month int, n long")
+    first = K.merge_by_key(spark, old, f"{tmp_dir}/absent", ["year", "month"], f"{tmp_dir}/v1")
+    assert first.count() == 3  # no table yet: the new rows are the table
+    merged = K.merge_by_key(spark, new, f"{tmp_dir}/v1", ["year", "month"], f"{tmp_dir}/v2")
+    assert sorted(tuple(r) for r in merged.collect()) == [(2023, 1, 10), (2023, 2, 20), (2023, 3, 33), (2023, 4, 40)]
+    again = K.merge_by_key(spark, new, f"{tmp_dir}/v2", ["year", "month"], f"{tmp_dir}/v3")
+    assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in merged.collect())
