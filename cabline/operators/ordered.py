@@ -29,6 +29,27 @@ def _bucket(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
+def with_buckets(df: DataFrame, ts: str, keys: list[str], unit: str, hot_rows: int | None = None,
+                 fine_unit: str = "second") -> DataFrame:
+    """Adds ``_bk``, the time bucket of each row.
+
+    With ``hot_rows``, rows are first counted per (keys, bucket) (partial
+    aggregation, one row per bucket); a bucket holding more rows is cut into
+    ``fine_unit`` buckets. Bucket keys stay monotone in time, so the order and
+    the results do not change; only a hot bucket's window work is spread."""
+    coarse = _bucket(ts, unit)
+    if not hot_rows:
+        return df.withColumn("_bk", coarse)
+    x = df.withColumn("_coarse", coarse)
+    hot = (
+        x.groupBy(*keys, "_coarse").agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows).select(*keys, "_coarse", F.lit(True).alias("_hot"))
+    )
+    x = x.join(hot, on=keys + ["_coarse"], how="left")
+    bk = F.when(F.col("_hot"), _bucket(ts, fine_unit)).otherwise(F.col("_coarse"))
+    return x.withColumn("_bk", bk).drop("_coarse", "_hot")
+
+
 def previous_value(
     df: DataFrame,
     ts: str,
@@ -37,11 +58,12 @@ def previous_value(
     partition_by=None,
     tiebreak=None,
     bucket_unit: str = "hour",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``lag(value)`` over (partition_by) ordered by (ts, *tiebreak)."""
     keys = _cols(partition_by)
     order = [ts] + _cols(tiebreak)
-    x = df.withColumn("_bk", _bucket(ts, bucket_unit))
+    x = with_buckets(df, ts, keys, bucket_unit, hot_rows)
     w = Window.partitionBy(*keys, "_bk").orderBy(*order)
     x = x.withColumn("_lag", F.lag(value).over(w)).withColumn("_pos", F.row_number().over(w))
     # last row of every bucket, then the previous non-empty bucket's last row
@@ -61,11 +83,12 @@ def next_value(
     partition_by=None,
     tiebreak=None,
     bucket_unit: str = "month",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``lead(value)`` over (partition_by) ordered by (ts, *tiebreak)."""
     keys = _cols(partition_by)
     order = [ts] + _cols(tiebreak)
-    x = df.withColumn("_bk", _bucket(ts, bucket_unit))
+    x = with_buckets(df, ts, keys, bucket_unit, hot_rows)
     w = Window.partitionBy(*keys, "_bk").orderBy(*order)
     wd = Window.partitionBy(*keys, "_bk").orderBy(*[F.col(c).desc() for c in order])
     x = x.withColumn("_lead", F.lead(value).over(w)).withColumn("_rpos", F.row_number().over(wd))
@@ -85,12 +108,13 @@ def running_sum(
     partition_by=None,
     tiebreak=None,
     bucket_unit: str = "hour",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Cumulative ``sum(value)`` over (partition_by) ordered by (ts, *tiebreak),
     rows from the first to the current one."""
     keys = _cols(partition_by)
     order = [ts] + _cols(tiebreak)
-    x = df.withColumn("_bk", _bucket(ts, bucket_unit))
+    x = with_buckets(df, ts, keys, bucket_unit, hot_rows)
     w = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("_local", F.sum(value).over(w))
     totals = x.groupBy(*keys, "_bk").agg(F.sum(value).alias("_tot"))

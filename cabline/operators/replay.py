@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cabline.operators.ordered import previous_value
+from cabline.operators.ordered import previous_value, with_buckets
 from cabline.schema import (
     DEFAULT_MESSAGE_KEY,
     ISO_SECONDS_PATTERN,
@@ -39,6 +39,7 @@ def replay_schedule(
     speed: float = REPLAY_SPEED,
     cap: float = REPLAY_CAP_SECONDS,
     bucket_unit: str = "hour",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """W2 + W3: ``gap_seconds`` to the previous record of the replay unit
     (null for the first), ``wait_seconds = min(gap / speed, cap)`` (0 for
@@ -48,7 +49,8 @@ def replay_schedule(
     waits and their running sum; one per-bucket summary (first and last
     time, in-bucket wait total; one row per bucket) gives each bucket the
     last time of the bucket before it and the waits of all earlier buckets.
-    No window spans a whole unit of raw rows."""
+    No window spans a whole unit of raw rows; with ``hot_rows`` a bucket
+    above that many rows is cut into one-second buckets."""
     keys = list(partition_by or [])
     order = [ts] + list(tiebreak or [])
     t = F.col(ts)
@@ -59,7 +61,7 @@ def replay_schedule(
     def wait_of(gap):
         return F.least(gap / F.lit(speed), F.lit(float(cap)))
 
-    x = df.withColumn("_bk", F.date_trunc(bucket_unit, t))
+    x = with_buckets(df, ts, keys, bucket_unit, hot_rows)
     w = Window.partitionBy(*keys, "_bk").orderBy(*order)
     x = x.withColumn("_lag", F.lag(ts).over(w)).withColumn("_pos", F.row_number().over(w))
     x = x.withColumn("_w", F.when(F.col("_pos") > 1, wait_of(secs(t, F.col("_lag")))).otherwise(F.lit(0.0)))
