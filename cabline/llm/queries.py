@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cabline.llm import decontaminate, line_dedup, packing, secrets, sharding, token_counts
+from cabline.llm import decontaminate, hamming, jaccard, line_dedup, packing, quality, repeats, secrets, sharding, token_counts
 from cabline.llm.common import documents
 
 
@@ -15,14 +15,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), size=4, num=85, den=100)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(repeats.remove_repeats(documents(spark, sf_dir), length=50))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -31,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.search_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=20)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -41,7 +57,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_secret_scan, op4_token_counts, op6_decontamination, op7_best_fit_packing, op9_line_dedup, op10_sharding)
+    for f in (
+        op1_ngram_jaccard,
+        op2_secret_scan,
+        op3_suffix_dedup,
+        op4_token_counts,
+        op5_quality_classifier,
+        op6_decontamination,
+        op7_best_fit_packing,
+        op8_hamming_search,
+        op9_line_dedup,
+        op10_sharding,
+    )
 }
 
-ORACLE = {"op9_line_dedup": line_dedup.PAGES_SQL}
+ORACLE = {"op8_hamming_search": hamming.SEARCH_SQL, "op9_line_dedup": line_dedup.PAGES_SQL}
