@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cabline.llm.common import stored
+
 #: A line goes if over this share of its host's pages has it ...
 MAX_RATIO = 0.1
 #: ... and as many pages at least; hosts of few pages say nothing.
@@ -33,14 +35,15 @@ def _digest(line: Column) -> Column:
 
 
 def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` (id, host, lines array<string>) with ``kept``: the lines that aren't boilerplate, in order.
+    """``pages`` (id, host, lines array<string>, ...) with ``kept``: the lines that aren't boilerplate, in order.
 
     A line counts once a page; lines that are empty once trimmed are kept and
     never counted. Each row is a page, repeated rows too; rows that share an id
     and host lose the same lines. A null host is a host, null lines are no
-    lines, a null id is one id. Expects exactly these columns.
+    lines, a null id is one id. Further columns come along; none may be called
+    line, pages, n, dropped, hit_id or hit_host.
     """
-    pages = pages.select("id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
+    pages = pages.withColumns({"host": F.coalesce("host", F.lit("")), "lines": F.coalesce("lines", F.array().cast("array<string>"))})
     shown = F.array_distinct(F.transform(F.filter("lines", lambda x: normal(x) != ""), _digest))
     seen = pages.select("id", "host", F.explode(shown).alias("line"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
@@ -50,7 +53,7 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     hits = hits.select(F.col("id").alias("hit_id"), F.col("host").alias("hit_host"), "dropped")
     both = pages.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("host") == F.col("hit_host")), "left")
     keep = lambda x: (normal(x) == "") | ~F.array_contains("dropped", _digest(x))
-    return both.select("id", "host", "lines", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", keep)).alias("kept"))
+    return both.select(*pages.columns, F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", keep)).alias("kept"))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -67,9 +70,10 @@ def clean_pages(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
     A null or empty html has no lines and an empty text; a null url has the
     empty host. See ``drop_boilerplate`` for repeated rows. An empty table
-    gives an empty result; other columns are left out.
+    gives an empty result; other columns are left out. The lines are stored
+    once, so markup is parsed once.
     """
-    out = drop_boilerplate(page_lines(pages), max_ratio, min_pages)
+    out = drop_boilerplate(stored(page_lines(pages), "page-lines"), max_ratio, min_pages)
     n = F.size("lines").cast("long")
     return out.select(F.col("id").alias("page_id"), "host", n.alias("n_lines"), (n - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
