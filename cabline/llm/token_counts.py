@@ -4,38 +4,38 @@ A byte-level BPE never merges across pre-tokens, so a document's count is the
 sum, over its pre-tokens, of the pieces of each. Each distinct pre-token is
 encoded once; documents only bring their pre-token frequencies.
 
-Plan: each batch of documents becomes one row per distinct pre-token with
-packed (document, frequency) postings, which is the map-side combine: a
-pre-token in every document is one row per batch, not per document. The rows
-are stored, their distinct pre-tokens are counted, joined back (a plain
-equi-join, so a hot pre-token is split by the skew-join rule), expanded to
-partial sums per document and added up.
+Plan: a bounded sample of documents tells the common pre-tokens, whose pieces
+every task gets as a small table, so no pre-token of very many documents is
+shuffled. All others leave as (document, pre-token, frequency) rows, dealt by
+pre-token: there each distinct one is encoded once, joined to its rows, and
+the products go back to be added up per document. Which pre-tokens count as
+common changes no result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cabline.llm.common import LETTER, NOT_PLAIN, NUMBER, id_text, prepare, stored
+from cabline.llm.common import LETTER, NOT_PLAIN, NUMBER, id_text, prepare
 
 # FIXED VALUES: the tokenizer's split pattern, over plain characters, and its special token.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"
-NULL_ID = -(1 << 63)
 
-POSTINGS = "pre string, base long, width int, docs binary, times binary"
+#: Documents, about, that tell the common pre-tokens, and how many of these at most.
+SAMPLE, COMMON = 2_000, 100_000
+#: Distinct pre-tokens whose pieces a task keeps; when full, the store starts anew.
+STORE = 500_000
 
-
-def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Row i holds the bytes of values[ends[i-1]:ends[i]]."""
-    offsets = np.concatenate([[0], ends]).astype(np.int64) * values.itemsize
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+ROWS = "doc_id long, pre string, n int, n_bytes long"
 
 
 def _tokenizer(path: str):
@@ -50,87 +50,83 @@ def _tokenizer(path: str):
     return t
 
 
-def _postings(path: str, limit: int = 4_000_000):
-    """Rows of POSTINGS for each batch, or for each ``limit`` of its pre-tokens."""
+class Splitter:
+    """The pre-tokens of a text, as the library cuts them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-        special = [x.content for x in t.get_added_tokens_decoder().values()]
-        cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        plain, odd = re.compile(SPLIT).findall, re.compile(NOT_PLAIN).search
-
-        def pre_tokens(text: str) -> list[str]:
-            if cut and any(s in text for s in special):
-                return [p for part in cut.split(text) for p in ([part] if part in special else pre_tokens(part))]
-            if odd(text):  # the library maps each byte of a pre-token to one character; the offsets give the text back
-                return [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
-            return plain(text)
-
-        def flush() -> pa.RecordBatch:
-            word, doc, n = np.concatenate(words), np.array(ids, np.int64).repeat(sizes), np.concatenate(times)
-            base = int(doc.min())
-            off = (doc - base).astype(np.uint64)
-            width = next(w for w in (2, 4, 8) if w == 8 or int(off.max()) < 1 << (8 * w))
-            more = -(-n // 255)  # a frequency over 255 takes several postings
-            word, off, n = word.repeat(more), off.repeat(more), np.concatenate([np.minimum(255, n)]) if more.max() == 1 else np.concatenate([[255] * (k - 1) + [x - 255 * (k - 1)] for x, k in zip(n.tolist(), more.tolist())])
-            order = np.argsort(word, kind="stable")
-            ends = np.cumsum(np.bincount(word, minlength=len(vocab)))
-            rows = len(vocab)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(vocab), pa.string()), pa.array(np.full(rows, base)), pa.array(np.full(rows, width, np.int32)), _binary(off[order].astype(f"<u{width}"), ends), _binary(n[order].astype(np.uint8), ends)],
-                names=["pre", "base", "width", "docs", "times"],
-            )
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.plain, self.odd = re.compile(SPLIT).findall, re.compile(NOT_PLAIN).search
+
+    def __call__(self, text: str) -> list[str]:
+        if any(s in text for s in self.special):
+            return [p for part in self.cut.split(text) for p in ([part] if part in self.special else self(part))]
+        if self.odd(text):  # the library maps each byte of a pre-token to one character; the offsets give the text back
+            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return self.plain(text)
+
+    def pieces(self, pre: list[str]) -> list[int]:
+        return [len(x) for x in self.tokenizer.encode_batch_fast(pre, add_special_tokens=False)]
 
+
+def _common(path: str):
+    """(pre, n) of the sampled documents, added up per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Splitter(path)
         for b in batches:
-            vocab, words, times, ids, sizes, held = defaultdict(), [], [], [], [], 0
-            vocab.default_factory = vocab.__len__
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1)):
-                pre = pre_tokens(x.as_py())
-                if pre:
-                    w, n = np.unique(np.fromiter(map(vocab.__getitem__, pre), np.int64, len(pre)), return_counts=True)
-                    words.append(w), times.append(n), ids.append(NULL_ID if doc is None else doc), sizes.append(len(w))
-                    held += len(w)
-                if held > limit:
-                    yield flush()
-                    vocab, words, times, ids, sizes, held = defaultdict(), [], [], [], [], 0
-                    vocab.default_factory = vocab.__len__
-            if held:
-                yield flush()
+            seen: Counter = Counter()
+            for x in b.column(1):
+                seen.update(set(split(x.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pre", "n"])
 
     return run
 
 
-def _pieces(path: str):
+def _frequencies(path: str, common: dict[str, int]):
+    """For each document a row with the pieces of its common pre-tokens, and one for each other pre-token."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
+        split, known = Splitter(path), common.get
         for b in batches:
-            got = t.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in got], pa.int32())], names=["pre", "pieces"])
+            doc, pre, n, size = [], [], [], []
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                text = x.as_py()
+                cut = split(text)
+                pieces = list(map(known, cut, repeat(0)))
+                doc.append(i), pre.append(None), n.append(sum(pieces)), size.append(len(text.encode()))
+                rare = Counter(p for p, k in zip(cut, pieces) if not k)
+                doc.extend(repeat(i, len(rare))), pre.extend(rare), n.extend(rare.values()), size.extend(repeat(0, len(rare)))
+                if len(doc) > 100_000:
+                    yield _batch(doc, pre, n, size)
+                    doc, pre, n, size = [], [], [], []
+            yield _batch(doc, pre, n, size)
 
     return run
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums per document; a task's rows are added up before they leave it."""
-    ids, sums, held = [], [], 0
+def _batch(doc: list, pre: list, n: list, size: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pre, pa.string()), pa.array(n, pa.int32()), pa.array(size, pa.int64())], names=["doc_id", "pre", "n", "n_bytes"])
+
+
+def _join_pieces(path: str):
+    """Frequencies times pieces; all rows of a pre-token come to one task, which encodes it once."""
 
-    def flush() -> pa.RecordBatch:
-        doc, at = np.unique(np.concatenate(ids), return_inverse=True)
-        n = np.zeros(len(doc), np.int64)
-        np.add.at(n, at, np.concatenate(sums))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n)], names=["doc_id", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, store = Splitter(path), {}
+        for b in batches:
+            pre = b.column(1).dictionary_encode()
+            names = pre.dictionary.to_pylist()
+            if len(store) > STORE:
+                store = {}
+            new = [p for p in names if p not in store]
+            store.update(zip(new, split.pieces(new)))
+            pieces = np.array([store[p] for p in names] + [1], np.int64)  # a row without pre-token has its sum already
+            at = pc.fill_null(pre.indices, len(names)).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(b.column(2).to_numpy() * pieces[at]), b.column(3)], names=["doc_id", "n", "n_bytes"])
 
-    for b in batches:
-        for base, width, docs, times, pieces in zip(*(b.column(i).to_pylist() for i in range(5))):
-            d = np.frombuffer(docs, f"<u{width}")
-            ids.append(d.astype(np.int64) + base if width < 8 else (d + np.array(base).astype(np.uint64)).astype(np.int64))
-            sums.append(np.frombuffer(times, np.uint8).astype(np.int64) * pieces)
-            held += len(d)
-            if held > 4_000_000:
-                yield flush()
-                ids, sums, held = [], [], 0
-    if held:
-        yield flush()
+    return run
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
@@ -141,15 +137,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     n_tokens > ``limit``. A null or empty text has 0 tokens. ``doc_id`` names a
     document: rows that share one (null is one too) are parts of one document
     and are added up. An empty table gives an empty result; other columns are
-    left out.
+    left out. To the driver come COMMON pre-tokens at most.
     """
     spark = docs.sparkSession
     prepare(spark)
     texts = id_text(docs)
-    post = stored(texts.mapInArrow(_postings(tokenizer), POSTINGS), "postings")
-    pieces = post.select("pre").distinct().mapInArrow(_pieces(tokenizer), "pre string, pieces int")
-    parts = post.join(pieces, "pre").select("base", "width", "docs", "times", "pieces").mapInArrow(_sums, "doc_id long, n long")
-    parts = parts.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.lit(0).cast("long").alias("n_bytes"), "n")
-    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n"))
-    out = sizes.union(parts).groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    part = int(min(1.0, SAMPLE / max(1, texts.count())) * (1 << 40))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < part).mapInArrow(_common(tokenizer), "pre string, n long")
+    top = sample.groupBy("pre").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "pre").limit(COMMON)
+    common = [r["pre"] for r in top.select("pre").collect()]
+    common = dict(zip(common, Splitter(tokenizer).pieces(common)))
+    rows = texts.mapInArrow(_frequencies(tokenizer, common), ROWS)
+    rows = rows.repartition(F.coalesce("pre", F.col("doc_id").cast("string")))
+    parts = rows.mapInArrow(_join_pieces(tokenizer), "doc_id long, n long, n_bytes long")
+    out = parts.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
