@@ -14,8 +14,10 @@ the anchor and half from all bytes that its windows cover. Segments are dealt
 by anchor and sorted by name:
 
 1. equal names: the windows of every document but the smallest are repeats;
-2. names that differ though the anchor is the same: their smallest documents'
-   windows are hashed one by one and dealt by that hash;
+2. names that differ though the anchor is the same: a few bits of the bytes
+   that all windows in a band of offsets have around the anchor tell in which
+   bands the names can agree at all; there, the windows of their smallest
+   documents are hashed one by one and dealt by that hash;
 3. an anchor with one name has no more to tell.
 
 A batch of documents sends a name once, with its smallest document, and keeps
@@ -30,15 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cabline.llm.common import id_text, prepare
+from cabline.llm.common import id_text, prepare, stored
 
 #: Bytes hashed at a time in a task.
 CHUNK = 1 << 20
 
-SEGMENTS = "settled boolean, name long, doc long, start long, windows int"
+#: Bands of offsets of the anchor in its window; each has 8 bits in ``near``.
+BANDS = 4
+#: place: first window times SPAN, plus STEP times the first window's offset of the anchor, plus the number of
+#: windows; for spans that the batch has settled, minus first window times SPAN plus number of windows.
+SEGMENTS = "name long, doc long, place long, near int"
+SPAN, STEP = 1 << 24, 1 << 12
 _A = 0xD1342543DE82EF95
 _A_INV = pow(_A, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
@@ -74,11 +82,17 @@ class Hasher:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def segments(h: Hasher, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, document, first window, windows) of the loaded chunk, whose documents lie from starts to ends."""
+def bands(length: int, k: int) -> list[tuple[int, int]]:
+    """(least, greatest) offset of each band."""
+    edges = [(length - k + 1) * j // BANDS for j in range(BANDS + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
+def segments(h: Hasher, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(name, document, first window, windows, offset, near) of the loaded chunk, whose documents lie from starts to ends."""
     n = len(h.sums) - 1
     if n < length:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5)
     gram = h.every(k)
     width = length - k + 1
     low = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)  # the least hash, the first of equals
@@ -98,8 +112,12 @@ def segments(h: Hasher, starts: np.ndarray, ends: np.ndarray, length: int, k: in
     first, windows = first[ok], windows[ok]
     top = mix(gram[anchor[first]] + np.uint64(1)) & np.uint64(0xFFFFFFFF00000000)
     name = top | (h.some(first, first + windows - 1 + length) >> np.uint64(32))
-    at = doc[first]
-    return name, at, first - starts[at], windows
+    at, a = doc[first], anchor[first]
+    near = np.zeros(len(a), np.int64)
+    for j, (lo, hi) in enumerate(bands(length, k)):
+        around = h.some(np.maximum(0, a - lo), np.minimum(n, a + max(k, length - hi)))
+        near |= (around & np.uint64(255)).astype(np.int64) << 8 * j
+    return name, at, first - starts[at], windows, a - first, near
 
 
 def _chunks(docs: list, texts: pa.Array, reach: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,22 +162,27 @@ def _spans(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.
     return doc[head], start[head], top[np.r_[head[1:] - 1, len(doc) - 1]] - start[head]
 
 
-def _rows(settled: bool, name, doc, start, windows) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, settled)), pa.array(np.asarray(name).view(np.int64)), pa.array(doc), pa.array(start), pa.array(windows.astype(np.int32))], names=["settled", "name", "doc", "start", "windows"]
-    )
+def _rows(name: np.ndarray, doc: np.ndarray, place: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(doc), pa.array(place), pa.array(near.astype(np.uint32).view(np.int32))], names=["name", "doc", "place", "near"])
+
+
+def _unpack(part: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and numbers of windows."""
+    p = np.array(part, np.int64)
+    return p // SPAN, p % SPAN
 
 
-def _combine(name, doc, start, windows) -> Iterator[pa.RecordBatch]:
+def _combine(name, doc, start, windows, offset, near) -> Iterator[pa.RecordBatch]:
     """What a batch sends: per name and smallest document one row for each place, and the spans it settles itself."""
     order, other = smallest(name, doc)
-    name, doc, start, windows = name[order], doc[order], start[order], windows[order]
-    mine = ~other
-    # a document that has the name more than once must learn of each place
-    yield _rows(False, name[mine], doc[mine], start[mine], windows[mine])
+    # a document that has the name more than once must learn of each place; in the order of the texts, rows compress well
+    mine, other = np.sort(order[~other]), order[other]
+    yield _rows(name[mine], doc[mine], start[mine] * SPAN + offset[mine] * STEP + windows[mine], near[mine])
     d, s, w = _spans(doc[other], start[other], windows[other])
-    yield _rows(True, mix(d.view(np.uint64) ^ s.view(np.uint64) << np.uint64(20)), d, s, w)
+    parts = -(-w // (SPAN - 1))
+    part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    d, s, w = d.repeat(parts), s.repeat(parts) + part * (SPAN - 1), np.minimum(w.repeat(parts) - part * (SPAN - 1), SPAN - 1)
+    yield _rows(mix(d.view(np.uint64) ^ s.view(np.uint64) << np.uint64(20)), d, -(s * SPAN + w), np.zeros(len(d), np.int64))
 
 
 def _segments(length: int, k: int):
@@ -169,8 +192,8 @@ def _segments(length: int, k: int):
             got = []
             for raw, starts, ends, ids, offsets in _chunks(b.column(0).to_pylist(), b.column(1), length - 1):
                 h.load(raw)
-                name, at, first, windows = segments(h, starts, ends, length, k)
-                got.append((name, ids[at], first + offsets[at], windows))
+                name, at, first, *rest = segments(h, starts, ends, length, k)
+                got.append((name, ids[at], first + offsets[at], *rest))
             if got:
                 yield from _combine(*(np.concatenate(x) for x in zip(*got)))
 
@@ -181,12 +204,12 @@ def _windows(length: int):
     """Single windows of the segments in question, named by all their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher()
+        h, unzip = Hasher(), zstandard.ZstdDecompressor().decompress
         for b in batches:
             got = []
-            for doc, x, start, windows in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
-                raw = x.as_py().encode()
-                s, w = np.array(start.as_py(), np.int64), np.array(windows.as_py(), np.int64)
+            for doc, x, place in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                raw = unzip(x.as_py())
+                s, w = _unpack(place.as_py())
                 order = np.argsort(s, kind="stable")
                 s, w = s[order], w[order]
                 # the bytes between the segments aren't hashed in vain: far ones are loaded one after the other
@@ -198,27 +221,36 @@ def _windows(length: int):
                     h.load(raw[base : int((s[i:j] + w[i:j]).max()) + length - 1])
                     at = np.repeat(s[i:j] - np.r_[0, np.cumsum(w[i:j])[:-1]], w[i:j]) + np.arange(w[i:j].sum())
                     at = np.unique(at[at + length <= len(raw)])
-                    got.append((h.some(at - base, at - base + length), np.full(len(at), doc), at, np.ones(len(at), np.int64)))
+                    zero = np.zeros(len(at), np.int64)
+                    got.append((h.some(at - base, at - base + length), zero + doc, at, zero + 1, zero, zero))
             if got:
                 yield from _combine(*(np.concatenate(x) for x in zip(*got)))
 
     return run
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts' bytes compressed, as they are shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x.as_py().encode()) for x in b.column(1)], pa.binary())], names=["doc_id", "text"])
+
+
 def _remove(length: int):
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
             sizes, spans, kept = [], [], []
-            for x, start, windows in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                raw = x.as_py().encode()
+            for x, place in zip(b.column(1), b.column(2)):
+                raw = unzip(x.as_py())
                 sizes.append(len(raw))
-                if not start:
+                s, w = _unpack(place.as_py() or [])
+                if not len(s):
                     spans.append([]), kept.append(raw)
                     continue
-                s = np.array(start, np.int64)
-                e = np.minimum(s + np.array(windows, np.int64) - 1 + length, len(raw))
+                e = np.minimum(s + w - 1 + length, len(raw))
                 _, s, n = _spans(np.zeros(len(s), np.int64), s, e - s)
                 cuts = np.r_[0, np.stack([s, s + n], 1).ravel(), len(raw)].tolist()
                 spans.append([{"start": i, "end": j} for i, j in zip(cuts[1:-1:2], cuts[2:-1:2])])
@@ -228,13 +260,14 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start,end>>, kept binary) for every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes; a null text is empty. A byte goes if a string of
     ``length`` bytes that covers it also starts in a document with a smaller
     doc_id; strings are judged on the input. ``spans``: the maximal removed
-    runs, end exclusive; ``kept``: the other bytes. ``k``: bytes of an anchor.
+    runs, end exclusive; ``kept``: the other bytes. ``k``: bytes of an anchor,
+    ``length`` at most.
 
     Rows that share a doc_id are one document and must have the same text; each
     is returned. A row without doc_id is kept whole and removes nothing from
@@ -242,29 +275,42 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20) -> DataFrame:
     """
     prepare(docs.sparkSession)
     texts = id_text(docs)
-    cut = texts.where("doc_id is not null").mapInArrow(_segments(length, k), SEGMENTS).withColumn("anchor", F.shiftright("name", 32))
-    by_name = Window.partitionBy("settled", "anchor", "name")
+    settled, anchor = F.col("place") < 0, F.shiftright("name", 32)
+    cut = texts.where("doc_id is not null").mapInArrow(_segments(length, k), SEGMENTS).repartition(settled, anchor)
+    cut = cut.select(settled.alias("settled"), anchor.alias("anchor"), "name", "doc", "place", "near")
     by_anchor = Window.partitionBy("settled", "anchor")
-    cut = cut.repartition("settled", "anchor").withColumn("least", F.min("doc").over(by_name))
+    cut = cut.withColumn("least", F.min("doc").over(Window.partitionBy("settled", "anchor", "name")))
     cut = cut.withColumn("lowest", F.min("name").over(by_anchor)).withColumn("highest", F.max("name").over(by_anchor))
     known = F.col("settled") | (F.col("doc") > F.col("least"))
-    open_ = ~known & (F.col("lowest") != F.col("highest"))
-    place = F.struct("start", "windows")
-    per_doc = cut.where(known | open_).groupBy("doc").agg(F.collect_list(F.when(known, place)).alias("known"), F.collect_list(F.when(open_, place)).alias("open"))
-    per_doc = per_doc.select("doc", F.col("known.start").alias("known_start"), F.col("known.windows").alias("known_windows"), F.col("open.start").alias("open_start"), F.col("open.windows").alias("open_windows"))
-    from cabline.llm.common import stored
-
+    cut = cut.where(known | (F.col("lowest") != F.col("highest")))
+
+    # the windows of each band, where they go on; all of a settled span or known segment in one
+    start, offset, windows = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(4095), F.col("place").bitwiseAND(4095)
+    parts = [F.struct(F.lit(-1).alias("band"), F.lit(0).alias("around"), F.when(F.col("settled"), -F.col("place")).otherwise(start * SPAN + windows).alias("part"), F.lit(1).cast("long").alias("n"))]
+    bits = []
+    for j, (lo, hi) in enumerate(bands(length, k)):
+        top, low = F.least(offset, F.lit(hi)), F.greatest(offset - windows + 1, F.lit(lo))
+        around = F.shiftright("near", 8 * j).bitwiseAND(255)
+        bits.append(F.struct(F.lit(j).alias("band"), around.alias("around"), ((start + offset - top) * SPAN + top - low + 1).alias("part"), (top - low + 1).alias("n")))
+    part = F.explode(F.when(known, F.array(*parts)).otherwise(F.filter(F.array(*bits), lambda x: x["n"] > 0)))
+    cut = cut.select("settled", "anchor", "name", "doc", part.alias("p")).select("settled", "anchor", "name", "doc", "p.band", "p.around", "p.part")
+    alike = Window.partitionBy("settled", "anchor", "band", "around")
+    cut = cut.withColumn("lowest", F.min("name").over(alike)).withColumn("highest", F.max("name").over(alike))
+    is_known, open_ = F.col("band") < 0, (F.col("band") >= 0) & (F.col("lowest") != F.col("highest"))
+    per_doc = cut.where(is_known | open_).groupBy("doc").agg(F.collect_list(F.when(is_known, F.col("part"))).alias("known"), F.collect_list(F.when(open_, F.col("part"))).alias("open"))
     per_doc = stored(per_doc, "repeats-segments")
 
-    # the texts are dealt by doc_id once: both joins read the same exchange
-    asked = per_doc.where(F.size("open_start") > 0).select("doc", "open_start", "open_windows")
-    asked = texts.join(asked.hint("merge"), texts["doc_id"] == asked["doc"]).select("doc_id", "text", "open_start", "open_windows")
-    single = asked.mapInArrow(_windows(length), SEGMENTS)
+    # the texts are dealt by doc_id once, compressed: both joins read the same exchange
+    texts = texts.mapInArrow(_zipped, "doc_id long, text binary")
+    asked = per_doc.where(F.size("open") > 0).select("doc", "open")
+    asked = texts.join(asked.hint("merge"), texts["doc_id"] == asked["doc"]).select("doc_id", "text", "open")
+    single = asked.mapInArrow(_windows(length), SEGMENTS).withColumn("settled", settled)
     single = single.withColumn("least", F.min("doc").over(Window.partitionBy("settled", "name"))).where(F.col("settled") | (F.col("doc") > F.col("least")))
-    single = single.groupBy("doc").agg(F.collect_list("start").alias("start"), F.collect_list("windows").alias("windows"))
-    first = per_doc.where(F.size("known_start") > 0).select("doc", F.col("known_start").alias("start"), F.col("known_windows").alias("windows"))
-    found = first.union(single).groupBy("doc").agg(F.flatten(F.collect_list("start")).alias("start"), F.flatten(F.collect_list("windows")).alias("windows"))
-    out = texts.join(found.hint("merge"), texts["doc_id"] == found["doc"], "left").select("doc_id", "text", "start", "windows")
+    one = F.when(F.col("settled"), -F.col("place")).otherwise(F.col("place"))
+    single = single.groupBy("doc").agg(F.collect_list(one).alias("place"))
+    first = per_doc.where(F.size("known") > 0).select("doc", F.col("known").alias("place"))
+    found = first.union(single).groupBy("doc").agg(F.flatten(F.collect_list("place")).alias("place"))
+    out = texts.join(found.hint("merge"), texts["doc_id"] == found["doc"], "left").select("doc_id", "text", "place")
     return out.mapInArrow(_remove(length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
