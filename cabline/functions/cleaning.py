@@ -46,8 +46,3 @@ def decode_code(c, mapping: dict, default: str) -> Column:
 
 def payment_type_name(c="payment_type") -> Column:
     return decode_code(c, PAYMENT_TYPE_NAMES, PAYMENT_TYPE_OTHER)
-
-
-def flatten(df: DataFrame, struct_col: str) -> DataFrame:
-    """Struct fields to top-level columns."""
-    return df.select(f"{struct_col}.*")

@@ -18,19 +18,18 @@ def _c(c) -> Column:
 def round_half_up(c, places: int = 2) -> Column:
     """Round half up (away from zero) on the value fixed to 8 decimals.
 
-    The value is fixed to ``decimal(18,8)``, a long-backed decimal, so the
-    rounding and the cast back to double are long arithmetic inside
-    generated code, and the input is referenced once (nested measures do
-    not multiply). Results do not depend on the order a floating sum was
-    accumulated in. Values of 1e10 or more (no real trip measure) give null
-    instead of failing under ANSI."""
-    return F.round(_c(c).try_cast("decimal(18,8)"), places).cast("double")
-
-
-def round_half_up_exact(c, places: int = 2) -> Column:
-    """Same rule through ``decimal(38,8)`` (any magnitude); for aggregates,
-    where it runs once per group."""
-    return F.round(_c(c).cast("decimal(38,8)"), places).cast("double")
+    One rule for any magnitude: below 1e10 the decimal fits a long, which is
+    fast in generated code; beyond, the wide decimal gives the same digits;
+    from 1e30 on, where that ends, a double has no decimals left to round.
+    It does not make a sum of doubles exact; ``exact_sum`` does."""
+    v = _c(c)
+    long, wide = (F.round(v.try_cast(t), places).cast("double") for t in ("decimal(18,8)", "decimal(38,8)"))
+    return F.coalesce(long, wide, v.cast("double"))
+
+
+def exact_sum(c) -> Column:
+    """Sum of the values fixed to 8 decimals: the same in any row order."""
+    return F.sum(_c(c).cast("decimal(28,8)"))
 
 
 def miles_to_km(c, places: int = 2) -> Column:

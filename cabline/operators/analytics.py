@@ -1,12 +1,12 @@
-"""Aggregations: monthly and route analytics, hourly counts, batch stats,
-live counts and zone names."""
+"""Aggregations: monthly and route analytics, hourly counts, live counts and
+zone names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cabline.functions.measures import round_half_up_exact as round_half_up
+from cabline.functions.measures import exact_sum, round_half_up
 from cabline.functions.timeparts import hour_start
 from cabline.schema import ROUTE_KEYS, TIME_KEYS
 
@@ -16,7 +16,7 @@ def monthly_analytics(processed: DataFrame) -> DataFrame:
     so only one row per month and task crosses the network."""
     return processed.groupBy(*TIME_KEYS).agg(
         F.count(F.lit(1)).alias("trip_count"),
-        round_half_up(F.sum("total_amount")).alias("total_revenue"),
+        round_half_up(exact_sum("total_amount")).alias("total_revenue"),
         round_half_up(F.avg("trip_distance_km")).alias("avg_distance_km"),
         round_half_up(F.avg("trip_duration_minutes")).alias("avg_duration_minutes"),
         round_half_up(F.avg("trip_speed_kph")).alias("avg_speed_kph"),
@@ -30,7 +30,7 @@ def route_analytics(processed: DataFrame) -> DataFrame:
         round_half_up(F.avg("trip_distance_km")).alias("avg_distance_km"),
         round_half_up(F.avg("trip_duration_minutes")).alias("avg_duration_minutes"),
         round_half_up(F.avg("fare_amount")).alias("avg_fare"),
-        round_half_up(F.sum("total_amount")).alias("total_revenue"),
+        round_half_up(exact_sum("total_amount")).alias("total_revenue"),
     )
 
 
@@ -39,11 +39,6 @@ def hourly_counts(df: DataFrame, ts: str = "tpep_pickup_datetime") -> DataFrame:
     return df.groupBy(hour_start(ts).alias("pickup_hour")).agg(F.count(F.lit(1)).alias("trip_count"))
 
 
-def batch_stats(df: DataFrame, ts: str = "tpep_pickup_datetime") -> DataFrame:
-    """A4 + A5 in one pass: latest pickup and row count of a (micro-)batch."""
-    return df.agg(F.max(ts).alias("max_pickup_time"), F.count(F.lit(1)).alias("batch_trip_count"))
-
-
 def live_counts(df: DataFrame, dim: str) -> DataFrame:
     """Trips per dimension value (e.g. pickup borough or zone)."""
     return df.groupBy(dim).agg(F.count(F.lit(1)).alias("trip_count"))

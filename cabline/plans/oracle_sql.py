@@ -69,7 +69,7 @@ processed AS (
 MONTHLY_SQL = f"""
 monthly AS (
   SELECT year, month, count(*) AS trip_count,
-    {r2("sum(total_amount)")} AS total_revenue,
+    {r2("sum(CAST(total_amount AS DECIMAL(28,8)))")} AS total_revenue,
     {r2("avg(trip_distance_km)")} AS avg_distance_km,
     {r2("avg(trip_duration_minutes)")} AS avg_duration_minutes,
     {r2("avg(trip_speed_kph)")} AS avg_speed_kph
@@ -82,7 +82,7 @@ routes AS (
     {r2("avg(trip_distance_km)")} AS avg_distance_km,
     {r2("avg(trip_duration_minutes)")} AS avg_duration_minutes,
     {r2("avg(fare_amount)")} AS avg_fare,
-    {r2("sum(total_amount)")} AS total_revenue
+    {r2("sum(CAST(total_amount AS DECIMAL(28,8)))")} AS total_revenue
   FROM processed GROUP BY year, month, pickup_zone, dropoff_zone
 )"""
 

@@ -98,18 +98,26 @@ def test_derive_measures_columns(spark):
     assert r["trip_distance_km"] == 8.05 and r["trip_duration_minutes"] == 30.0 and r["trip_speed_kph"] == 16.1
 
 
-def test_fast_rounding_equals_exact_rule(spark):
-    """Per-row rounding (long-backed decimal) equals the exact decimal(38,8)
-    rule used for aggregates, over random values of many magnitudes and
-    exact half-cent ties."""
+def test_rounding_rule_at_any_magnitude(spark):
+    """Half up on the value fixed to 8 decimals, exact half-cent ties and
+    values far beyond 1e10 included; beyond 1e30 nothing is left to round."""
     import random
+    from decimal import ROUND_HALF_UP, Decimal, getcontext
 
-    from cabline.functions.measures import round_half_up_exact
+    getcontext().prec = 60
+
+    def rule(v):
+        if abs(v) >= 1e30:
+            return v
+        eight = Decimal(repr(v)).quantize(Decimal("1e-8"), ROUND_HALF_UP)
+        return float(eight.quantize(Decimal("0.01"), ROUND_HALF_UP))
 
     rnd = random.Random(11)
     vals = [rnd.uniform(-1e6, 1e6) for _ in range(3000)] + [rnd.uniform(-1, 1) for _ in range(1000)]
     vals += [k / 1000 + 0.005 for k in range(-2000, 2000, 7)] + [0.0, -0.0, 1.005, 2.675, -2.675]
+    vals += [2e11 + 0.125, 1e10, -3.3e15, 1e29, 1e35, 1.5e300]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    bad = df.filter(~round_half_up("x").eqNullSafe(round_half_up_exact("x"))).count()
-    assert bad == 0
+    for r in df.select("x", round_half_up("x").alias("y")).collect():
+        assert r.y == rule(r.x), r
+    assert spark.range(1).select(round_half_up(F.lit(None).cast("double"))).first()[0] is None
     assert df.filter(round_half_up("x") == 0).select(F.sum(F.signum(round_half_up("x")))).first()[0] in (0, None)
