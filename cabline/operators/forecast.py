@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cabline.functions.timeparts import hour_start, message_time, plus_hours, time_features
+from cabline.functions.timeparts import message_time, plus_hours, time_features
 from cabline.operators.analytics import hourly_counts
-from cabline.operators.ordered import next_value
+from cabline.operators.timeline import micro_batches
 from cabline.schema import FORECAST_FEATURES
 
 
@@ -32,7 +32,8 @@ def add_label(series: DataFrame, gap: str = "skip") -> DataFrame:
     of the clock hour right after, so an hour followed by an empty hour gets
     no label. Rows without a label are dropped (F5)."""
     if gap == "skip":
-        out = next_value(series, "pickup_hour", "trip_count", "future_trip_count", bucket_unit="month")
+        # one row per hour, 87,000 in ten years: a window over all of it is small at any data size
+        out = series.withColumn("future_trip_count", F.lead("trip_count").over(Window.orderBy("pickup_hour")))
     elif gap == "grid":
         nxt = series.select(
             plus_hours("pickup_hour", -1).alias("pickup_hour"), F.col("trip_count").alias("future_trip_count")
@@ -75,12 +76,14 @@ def serving_features(stats: DataFrame, ts: str = "max_pickup_time", count: str =
     ).drop("_next")
 
 
-def score_next_hour(model: PipelineModel, features: DataFrame, total_col: str = "trip_count_total",
-                    ts: str = "max_pickup_time") -> DataFrame:
-    """M4 + P16 + P17: the real-time message columns. The prediction is
-    truncated to a whole count and added to the running total."""
-    scored = model.transform(features)
+def score_next_hour(model: PipelineModel | None, features: DataFrame, total_col: str = "trip_count_total",
+                    ts: str = "max_pickup_time", keep: tuple[str, ...] = ()) -> DataFrame:
+    """M4 + P16 + P17: the real-time message columns, after those in ``keep``.
+    The prediction is truncated to a whole count and added to the running
+    total; without a model there is none."""
+    scored = model.transform(features) if model else features.withColumn("prediction", F.lit(None).cast("double"))
     return scored.select(
+        *keep,
         message_time(ts).alias("timestamp"),
         F.col(total_col).cast("bigint").alias("trip_count"),
         message_time(plus_hours(ts, 1)).alias("predicted_timestamp"),
@@ -88,6 +91,14 @@ def score_next_hour(model: PipelineModel, features: DataFrame, total_col: str =
     )
 
 
-def current_hour_counts(df: DataFrame, ts: str = "tpep_pickup_datetime") -> DataFrame:
-    """Trips in the clock hour of each batch's latest pickup (trap 3)."""
-    return df.groupBy(hour_start(ts).alias("pickup_hour")).agg(F.count(F.lit(1)).alias("hour_trip_count"))
+def batch_features(events: DataFrame, ts: str, seconds: int = 900) -> DataFrame:
+    """P11 for every event-time batch: ``seq``, the latest time and the
+    features one hour later. ``trip_count`` is what the hour has so far, as
+    in training and in the live sink. Batches divide the hour, so an hour's
+    window has a handful of rows."""
+    if 3600 % seconds:
+        raise ValueError("seconds must divide an hour")
+    b = micro_batches(events, ts, seconds)
+    so_far = Window.partitionBy(F.floor(F.col("seq") / 3600)).orderBy("seq")
+    b = b.withColumn("hour_trip_count", F.sum("batch_trip_count").over(so_far))
+    return serving_features(b).select("seq", "max_pickup_time", *FORECAST_FEATURES)

@@ -1,30 +1,10 @@
-"""Dimension joins, checked broadcast and keyed merges."""
+"""Dimension joins and keyed merges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it is proven to have at most this many
-# rows; beyond it the join stays a shuffled (sort-merge) join.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Cheap, bounded size proof: reads at most ``max_rows + 1`` rows. The
-    answer is kept on the DataFrame object (an immutable plan over a fixed
-    file listing), so a reused dimension is checked once."""
-    proofs = df.__dict__.setdefault("_row_bound_proofs", {})
-    if max_rows not in proofs:
-        proofs[max_rows] = df.limit(max_rows + 1).count() <= max_rows
-    return proofs[max_rows]
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if its row count is proven small, else ``df`` as is."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
 def zone_role(zones: DataFrame, role: str, key: str) -> DataFrame:
     """The zone dimension renamed for one role (pickup / dropoff)."""
     return zones.select(
@@ -35,20 +15,13 @@ def zone_role(zones: DataFrame, role: str, key: str) -> DataFrame:
 
 
 def enrich_zones(
-    df: DataFrame,
-    zones: DataFrame,
-    pickup_key: str = "PULocationID",
-    dropoff_key: str = "DOLocationID",
-    max_broadcast_rows: int = BROADCAST_MAX_ROWS,
+    df: DataFrame, zones: DataFrame, pickup_key: str = "PULocationID", dropoff_key: str = "DOLocationID"
 ) -> DataFrame:
     """J1 + J2: left joins of the zone dimension in its pickup and dropoff
-    roles. The dimension is broadcast once its size is checked, so the fact
-    side is never shuffled; ``USING`` joins put the keys first."""
-    small = has_at_most(zones, max_broadcast_rows)
+    roles. Whether it is broadcast follows its size in bytes, from statistics
+    or from the running query; ``USING`` joins put the keys first."""
     pu = zone_role(zones, "pickup", pickup_key)
     do = zone_role(zones, "dropoff", dropoff_key)
-    if small:
-        pu, do = F.broadcast(pu), F.broadcast(do)
     return df.join(pu, on=pickup_key, how="left").join(do, on=dropoff_key, how="left")
 
 

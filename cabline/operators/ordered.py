@@ -12,7 +12,8 @@ scan is done in two levels instead:
    the number of buckets and not the number of rows, is ordered as a whole
    within the caller's keys.
 
-Results equal those of the plain window over the caller's keys.
+Results equal those of the plain window over the caller's keys, null keys,
+times and values included (nulls sort first, as Spark sorts them).
 """
 
 from __future__ import annotations
@@ -25,6 +26,14 @@ def _cols(names) -> list[str]:
     return [names] if isinstance(names, str) else list(names or [])
 
 
+def join_buckets(df: DataFrame, summary: DataFrame, keys: list[str], bucket: str = "_bk") -> DataFrame:
+    """Left join of a per-bucket summary; a null key or bucket matches a null one."""
+    on = [*keys, bucket]
+    s = summary.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in summary.columns if c not in on])
+    cond = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return df.join(s, cond, "left").drop(*[f"_on_{c}" for c in on])
+
+
 def _bucket(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts))
 
@@ -45,7 +54,7 @@ def with_buckets(df: DataFrame, ts: str, keys: list[str], unit: str, hot_rows: i
         x.groupBy(*keys, "_coarse").agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows).select(*keys, "_coarse", F.lit(True).alias("_hot"))
     )
-    x = x.join(hot, on=keys + ["_coarse"], how="left")
+    x = join_buckets(x, hot, keys, "_coarse")
     bk = F.when(F.col("_hot"), _bucket(ts, fine_unit)).otherwise(F.col("_coarse"))
     return x.withColumn("_bk", bk).drop("_coarse", "_hot")
 
@@ -67,10 +76,10 @@ def previous_value(
     w = Window.partitionBy(*keys, "_bk").orderBy(*order)
     x = x.withColumn("_lag", F.lag(value).over(w)).withColumn("_pos", F.row_number().over(w))
     # last row of every bucket, then the previous non-empty bucket's last row
-    last = x.groupBy(*keys, "_bk").agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    last = x.groupBy(*keys, "_bk").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))["v"].alias("_last"))
     wb = Window.partitionBy(*keys).orderBy("_bk")
     carry = last.withColumn("_carry", F.lag("_last").over(wb)).select(*keys, "_bk", "_carry")
-    x = x.join(carry, on=keys + ["_bk"], how="left")
+    x = join_buckets(x, carry, keys)
     res = F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_lag"))
     return x.withColumn(out, res).drop("_bk", "_lag", "_pos", "_carry")
 
@@ -92,10 +101,10 @@ def next_value(
     w = Window.partitionBy(*keys, "_bk").orderBy(*order)
     wd = Window.partitionBy(*keys, "_bk").orderBy(*[F.col(c).desc() for c in order])
     x = x.withColumn("_lead", F.lead(value).over(w)).withColumn("_rpos", F.row_number().over(wd))
-    first = x.groupBy(*keys, "_bk").agg(F.min_by(F.col(value), F.struct(*order)).alias("_first"))
+    first = x.groupBy(*keys, "_bk").agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order))["v"].alias("_first"))
     wb = Window.partitionBy(*keys).orderBy("_bk")
     carry = first.withColumn("_carry", F.lead("_first").over(wb)).select(*keys, "_bk", "_carry")
-    x = x.join(carry, on=keys + ["_bk"], how="left")
+    x = join_buckets(x, carry, keys)
     res = F.when(F.col("_rpos") == 1, F.col("_carry")).otherwise(F.col("_lead"))
     return x.withColumn(out, res).drop("_bk", "_lead", "_rpos", "_carry")
 
@@ -117,8 +126,12 @@ def running_sum(
     x = with_buckets(df, ts, keys, bucket_unit, hot_rows)
     w = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("_local", F.sum(value).over(w))
-    totals = x.groupBy(*keys, "_bk").agg(F.sum(value).alias("_tot"))
+    totals = x.groupBy(*keys, "_bk").agg(F.sum(value).alias("_tot"), F.count(value).alias("_cnt"))
     wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(wb), F.lit(0))).select(*keys, "_bk", "_off")
-    x = x.join(offsets, on=keys + ["_bk"], how="left")
-    return x.withColumn(out, F.col("_off") + F.col("_local")).drop("_bk", "_local", "_off")
+    offsets = totals.withColumns({
+        "_off": F.coalesce(F.sum("_tot").over(wb), F.lit(0)), "_any": F.coalesce(F.sum("_cnt").over(wb), F.lit(0)) > 0
+    }).select(*keys, "_bk", "_off", "_any")
+    x = join_buckets(x, offsets, keys)
+    # like a plain window, null until the first value that is not null
+    total = F.when(F.col("_any") | F.col("_local").isNotNull(), F.col("_off") + F.coalesce("_local", F.lit(0)))
+    return x.withColumn(out, total).drop("_any","_bk", "_local", "_off")

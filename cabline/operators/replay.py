@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cabline.operators.ordered import previous_value, with_buckets
+from cabline.operators.ordered import join_buckets, with_buckets
+from cabline.operators.rules import calendar_filter
 from cabline.schema import (
     DEFAULT_MESSAGE_KEY,
     ISO_SECONDS_PATTERN,
@@ -23,14 +24,6 @@ from cabline.schema import (
 )
 
 
-def arrival_gaps(df: DataFrame, ts: str, partition_by, tiebreak) -> DataFrame:
-    """Seconds since the previous record of the same replay unit; null
-    for the first record."""
-    x = previous_value(df, ts, ts, "_prev_ts", partition_by, tiebreak, bucket_unit="hour")
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_prev_ts"))
-    return x.withColumn("gap_seconds", gap / F.lit(1_000_000)).drop("_prev_ts")
-
-
 def replay_schedule(
     df: DataFrame,
     ts: str = "tpep_pickup_datetime",
@@ -59,7 +52,8 @@ def replay_schedule(
         return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1_000_000)
 
     def wait_of(gap):
-        return F.least(gap / F.lit(speed), F.lit(float(cap)))
+        # least() skips nulls: without a record before it, there is no wait
+        return F.when(gap.isNotNull(), F.least(gap / F.lit(speed), F.lit(float(cap))))
 
     x = with_buckets(df, ts, keys, bucket_unit, hot_rows)
     w = Window.partitionBy(*keys, "_bk").orderBy(*order)
@@ -77,7 +71,7 @@ def replay_schedule(
             F.sum(F.col("_fw") + F.col("_inb")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .select(*keys, "_bk", "_carry", "_fw", "_off")
     )
-    x = x.join(summary, on=keys + ["_bk"], how="left")
+    x = join_buckets(x, summary, keys)
     first = F.col("_pos") == 1
     return x.withColumns(
         {
@@ -88,19 +82,32 @@ def replay_schedule(
     ).drop("_bk", "_lag", "_pos", "_w", "_cum", "_carry", "_fw", "_off")
 
 
+def ordered_messages(df: DataFrame, year: int, month: int, ts: str = "tpep_pickup_datetime", tiebreak=None,
+                     taxi_type: str = "yellow", **schedule) -> DataFrame:
+    """L8 as one plan: the month's trips (F4), in pickup order with the send
+    offset of each (W3), as keyed messages (K1) to be sent in that order."""
+    trips = calendar_filter(df, ts, year, month)
+    cols = trips.columns
+    paced = replay_schedule(trips, ts, (), tiebreak, **schedule).select(*cols, "send_offset_seconds")
+    return to_messages(paced, taxi_type=taxi_type, carry=("send_offset_seconds",)).orderBy("send_offset_seconds", "key", "value")
+
+
 def to_messages(
     df: DataFrame,
     key_col: str = "PULocationID",
     taxi_type: str | None = "yellow",
     timestamp_format: str = ISO_SECONDS_PATTERN,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """K1: ``(topic, key, value)`` with ``value`` the JSON of the whole row
-    and ``key`` the pickup location as text (``default`` when absent)."""
-    cols = [c for c in df.columns]
+    and ``key`` the pickup location as text (``default`` when absent).
+    Columns in ``carry`` stay columns beside the message."""
+    cols = [c for c in df.columns if c not in carry]
     value = F.to_json(F.struct(*cols), {"timestampFormat": timestamp_format})
     out = df.select(
         F.coalesce(F.col(key_col).cast("string"), F.lit(DEFAULT_MESSAGE_KEY)).alias("key"),
         value.alias("value"),
+        *carry,
     )
     if taxi_type is not None:
         out = out.withColumn("topic", F.lit(TOPIC_PATTERN.format(taxi_type=taxi_type)))
@@ -112,15 +119,16 @@ def decode_messages(
     schema=TRIP_SCHEMA,
     value_col: str = "value",
     keep_raw: bool = True,
-    timestamp_format: str = ISO_SECONDS_PATTERN,
 ) -> DataFrame:
     """S4 + P22: value (bytes or text) -> fixed-schema struct -> flat columns.
 
-    Malformed JSON or a null value give all-null fields, not errors; those
+    Timestamps are read by the default parser, which takes the ISO form that
+    ``to_messages`` writes as well as fractions of a second and a blank in
+    place of the ``T``. Malformed JSON or a null value give all-null fields, not errors; those
     rows fail the validity rules and land in quarantine. ``_raw`` keeps the
     original text for dead letters."""
     text = F.col(value_col).cast("string")
-    parsed = F.from_json(text, schema, {"timestampFormat": timestamp_format, "mode": "PERMISSIVE"})
+    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
     cols = [F.col("_d." + f.name).alias(f.name) for f in schema.fields]
     if keep_raw:
         cols.append(F.col("_raw"))

@@ -8,7 +8,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cabline.functions.timeparts import plus_hours
 from cabline.schema import (
     DISTANCE_MAX_KM,
     LOCATION_MAX,
@@ -85,7 +84,7 @@ def within_bounds(df: DataFrame, speed="trip_speed_kph", distance="trip_distance
 
 
 def calendar_window(year: int, month: int, day: int | None = None, hour: int | None = None):
-    """[start, end) of a month, day or hour as timestamp literals."""
+    """[start, end) of a month, day or hour, without a zone."""
     import datetime as dt
 
     if day is None:
@@ -104,11 +103,7 @@ def calendar_filter(
     df: DataFrame, ts: str, year: int, month: int, day: int | None = None, hour: int | None = None
 ) -> DataFrame:
     """a month (and optionally day, hour) as a range on the raw timestamp,
-    so Parquet row-group statistics can skip data."""
-    start, end = calendar_window(year, month, day, hour)
-    return df.filter((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
-
-
-def hour_window(ts: str, center: Column, hours: int = 1) -> Column:
-    """``center - h <= ts <= center + h``."""
-    return F.col(ts).between(plus_hours(center, -hours), plus_hours(center, hours))
+    so Parquet row-group statistics can skip data. The bounds are texts cast
+    in the session's zone; the driver's own zone plays no part."""
+    start, end = (F.lit(t.isoformat(sep=" ")).cast("timestamp") for t in calendar_window(year, month, day, hour))
+    return df.filter((F.col(ts) >= start) & (F.col(ts) < end))

@@ -46,7 +46,7 @@ def message_feed(df: DataFrame, ts: str, seconds: int = 900, rate_hours: float =
 
 
 def _parse(c: str) -> Column:
-    return F.to_timestamp(F.col(c), MESSAGE_TIME_PATTERN)
+    return F.try_to_timestamp(F.col(c), F.lit(MESSAGE_TIME_PATTERN))
 
 
 def last_write(df: DataFrame, key: Column, value: str, seq: str, out: str) -> DataFrame:
@@ -56,12 +56,47 @@ def last_write(df: DataFrame, key: Column, value: str, seq: str, out: str) -> Da
 
 def merge_timeline(feed: DataFrame) -> DataFrame:
     """J3 (+ W5 on both sides): ``ts, trip_count, predicted_trip_count``;
-    the side without a point at a timestamp is null."""
+    the side without a point at a timestamp is null. A message whose time
+    does not parse gives no point on that side (``bad_messages`` has it)."""
     actual = last_write(feed, _parse("timestamp"), "trip_count", "seq", "trip_count")
     predicted = last_write(feed, _parse("predicted_timestamp"), "predicted_trip_count", "seq", "predicted_trip_count")
+    actual, predicted = (x.where(F.col("ts").isNotNull()) for x in (actual, predicted))
     return actual.join(predicted, on="ts", how="full_outer")
 
 
+def bad_messages(feed: DataFrame) -> DataFrame:
+    """Messages with a time text that does not parse, for quarantine."""
+    bad = [F.col(c).isNotNull() & _parse(c).isNull() for c in ("timestamp", "predicted_timestamp")]
+    return feed.where(bad[0] | bad[1])
+
+
+def last_actual(feed: DataFrame) -> DataFrame:
+    """L7 from the messages: ``ts, trip_count`` of the latest actual point
+    (last write wins), or no row. One aggregation; no timeline is built."""
+    top = feed.select(_parse("timestamp").alias("ts"), "trip_count", "seq").where("ts is not null and trip_count is not null")
+    best = top.agg(F.max(F.struct("ts", "seq", "trip_count")).alias("p")).where("p is not null")
+    return best.select("p.ts", "p.trip_count")
+
+
+def timeline_points(feed: DataFrame) -> DataFrame:
+    """Each message as its points: ``ts`` with the actual or the predicted
+    count and the ``seq`` that wrote it."""
+    none = F.lit(None).cast("long")
+    actual = feed.select(_parse("timestamp").alias("ts"), "trip_count", F.col("seq").alias("trip_seq"),
+                         none.alias("predicted_trip_count"), none.alias("predicted_seq"))
+    predicted = feed.select(_parse("predicted_timestamp").alias("ts"), none.alias("trip_count"), none.alias("trip_seq"),
+                            "predicted_trip_count", F.col("seq").alias("predicted_seq"))
+    return actual.unionByName(predicted).where(F.col("ts").isNotNull())
+
+
+def upsert_points(points: DataFrame) -> DataFrame:
+    """W5 on both sides at once: one row per ``ts``, the last write of each side wins."""
+    return points.groupBy("ts").agg(
+        F.max_by("trip_count", "trip_seq").alias("trip_count"), F.max("trip_seq").alias("trip_seq"),
+        F.max_by("predicted_trip_count", "predicted_seq").alias("predicted_trip_count"), F.max("predicted_seq").alias("predicted_seq"),
+    )
+
+
 def latest_actual(timeline: DataFrame) -> DataFrame:
     """One row, ``m`` = latest timestamp with an actual count."""
     return timeline.filter(F.col("trip_count").isNotNull()).agg(F.max("ts").alias("m"))
