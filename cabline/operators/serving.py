@@ -35,11 +35,11 @@ def year_range(df: DataFrame, start_year: int, end_year: int) -> DataFrame:
 def time_range(df: DataFrame, start_year: int, start_month: int, end_year: int, end_month: int) -> DataFrame:
     """F8 + L4: inclusive (year, month) range, ascending.
 
-    Written as a range on ``year * 12 + month``. An inverted range (start
-    after end) is empty."""
+    A range on ``year * 12 + month``, with the years as well, so stored
+    partitions are pruned. An inverted range (start after end) is empty."""
     ym = F.col("year") * 12 + F.col("month")
     lo, hi = start_year * 12 + start_month, end_year * 12 + end_month
-    return df.filter(ym.between(lo, hi)).orderBy("year", "month")
+    return df.filter(F.col("year").between(start_year, end_year) & ym.between(lo, hi)).orderBy("year", "month")
 
 
 # ---- route analytics -----------------------------------------------------------
@@ -58,9 +58,10 @@ def route_analytics_query(
 
 def routes_by_zone(df: DataFrame, zone: str) -> DataFrame:
     """Routes touching a zone, each row once; pickup matches first
-    (``match_order`` 0), then dropoff-only matches (1)."""
+    (``match_order`` 0), then dropoff-only matches (1), in that order."""
     pu, do = F.col("pickup_zone") == zone, F.col("dropoff_zone") == zone
-    return df.filter(pu | do).withColumn("match_order", F.when(pu, 0).otherwise(1))
+    out = df.filter(pu | do).withColumn("match_order", F.when(pu, 0).otherwise(1))
+    return out.orderBy("match_order", "year", "month", "pickup_zone", "dropoff_zone")
 
 
 def dropoff_only(df: DataFrame, zone: str) -> DataFrame:
@@ -98,23 +99,19 @@ def top_routes_by_zone(df: DataFrame, year: int, month: int, zone: str, k: int =
 
 
 def top_routes_all(df: DataFrame, k: int = TOP_ROUTES_K) -> DataFrame:
-    """W7 + U3 for every (year, month, zone) at once: top k per group by
-    ``row_number`` over a window partitioned by the group (one shuffle per
-    direction on the group key; no global sort)."""
-    parts = []
-    for direction in ("pickup", "dropoff"):
-        key = f"{direction}_zone"
-        w = Window.partitionBy("year", "month", key).orderBy(
-            F.col("trip_count").desc(), F.col(_other(direction)).asc_nulls_first()
-        )
-        parts.append(
-            df.filter(F.col(key).isNotNull())
-            .withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .withColumn("direction", F.lit(direction + "s"))
-            .withColumn("zone", F.col(key))
-        )
-    return parts[0].unionByName(parts[1])
+    """W7 + U3 for every (year, month, zone) at once: each route stands under
+    both its zones, and one window takes the top k of each (month, direction,
+    zone): one pass, one shuffle, no global sort."""
+    under = F.explode(F.array(*[
+        F.struct(F.lit(f"{d}s").alias("direction"), F.col(f"{d}_zone").alias("zone"), F.col(_other(d)).alias("other"))
+        for d in ("pickup", "dropoff")
+    ]))
+    x = df.select("*", under.alias("_u")).select(*df.columns, "_u.*").filter(F.col("zone").isNotNull())
+    w = Window.partitionBy("year", "month", "direction", "zone").orderBy(
+        F.col("trip_count").desc(), F.col("other").asc_nulls_first()
+    )
+    x = x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return x.select(*df.columns, "rank", "direction", "zone")
 
 
 def popular_routes(df: DataFrame, year: int, month: int, zone: str, k: int = TOP_ROUTES_K,
@@ -144,16 +141,44 @@ def page(df: DataFrame, order: list[Column | str], offset: int = 0, limit: int =
     """L1 + A6: one page ``[offset, offset + limit)`` of the ordered rows, with
     the filtered ``total`` attached as a scalar subquery (a global count with
     partial aggregation, not a single-partition window)."""
+    _check_page(offset, limit)
+    total = df.select(F.count(F.lit(1))).scalar()
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
+
+
+def _check_page(offset: int, limit: int) -> None:
     if offset < 0:
         raise ValueError("offset must be >= 0")
     if not PAGE_LIMIT_MIN <= limit <= PAGE_LIMIT_MAX:
         raise ValueError(f"limit must be in [{PAGE_LIMIT_MIN}, {PAGE_LIMIT_MAX}]")
-    total = df.select(F.count(F.lit(1))).scalar()
-    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
-def page_status(total: Column, offset: int) -> Column:
-    return F.when(F.lit(offset) >= total, F.lit("done")).otherwise(F.lit("ok"))
+def page_envelope(df: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
+    """The one row that goes with a page: ``status`` (``done`` past the end,
+    else ``ok``), ``total``, ``offset`` and ``limit``, also for an empty page."""
+    _check_page(offset, limit)
+    status = F.when(F.lit(offset) >= F.col("total"), F.lit("done")).otherwise(F.lit("ok"))
+    return df.agg(F.count(F.lit(1)).alias("total")).select(
+        status.alias("status"), "total", F.lit(offset).cast("long").alias("offset"), F.lit(limit).cast("long").alias("limit")
+    )
+
+
+def page_after(df: DataFrame, order: list[str], last: dict | None, limit: int = 100) -> DataFrame:
+    """The page after the row ``last`` (its values of ``order``, nulls
+    first; None: the first page). Unlike an offset, the rows before it are
+    filtered out at the scan and never sent to one task."""
+    _check_page(0, limit)
+    if last is not None:
+        after = F.lit(False)
+        for c in reversed(order):
+            col, value = F.col(c), F.lit(last[c]).cast(df.schema[c].dataType)
+            greater = col.isNotNull() if last[c] is None else col > value
+            after = F.coalesce(greater, F.lit(False)) | (col.eqNullSafe(value) & after)
+        first = order[0]
+        if last[first] is not None:  # what a scan can use
+            df = df.filter(F.col(first) >= F.lit(last[first]).cast(df.schema[first].dataType))
+        df = df.filter(after)
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(limit)
 
 
 def format_timestamps(df: DataFrame) -> DataFrame:

@@ -41,16 +41,20 @@ def monthly_batch(spark: SparkSession, paths: BatchPaths, year: int, month: int,
     processed = batch.process(valid, read_zones(spark, paths.zones_csv)).persist()
     try:
         by_time, by_routes = batch.aggregates(processed)
-        K.write_partitioned(processed, paths.processed, ("year", "month"))
-        K.write_table(processed, paths.fact_trips, mode="overwrite",
-                      jdbc=dict(jdbc, table="fact_trips") if jdbc else None)
-        K.replace_partitions(by_time, paths.analyze_by_time)
-        K.replace_partitions(by_routes, paths.analyze_by_routes)
+        run = {"year": year, "month": month}
+        K.write_month(processed, paths.processed, run)
+        K.write_table(processed, paths.fact_trips, mode="overwrite", jdbc=_table(jdbc, "fact_trips"))
+        K.replace_partitions(by_time, paths.analyze_by_time, requested=run, jdbc=_table(jdbc, "analyze_by_time"))
+        K.replace_partitions(by_routes, paths.analyze_by_routes, requested=run, jdbc=_table(jdbc, "analyze_by_routes"))
         return {"processed_rows": processed.count()}
     finally:
         processed.unpersist()
 
 
+def _table(jdbc: dict | None, name: str) -> dict | None:
+    return dict(jdbc, table=name) if jdbc else None
+
+
 def retrain(spark: SparkSession, processed_root: str, model_path: str, gap: str = "grid", **kw):
     """Model job: hourly series of the whole processed history (only the
     pickup column is read), labelled, fitted and saved (overwrite)."""

@@ -46,13 +46,18 @@ def get_session(
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when it is unset (tests, local runs) a
-    default below the system temp folder is set.
+    Read from the session. Only a local master may leave it unset (tests,
+    local runs): then a default below the system temp folder is set. On a
+    cluster such a folder would be another one on every machine, so an unset
+    setting fails.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext._conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join(os.environ.get("TMPDIR", "/tmp"), "cabline-checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,6 +65,49 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's folder in the shared folder. The
+    file system removes the folder when the driver's JVM ends; until then
+    what queries return can be read."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        base = f"{shared_dir(spark).rstrip('/')}/cabline-{app}"
+        p, fs = _hadoop_path(spark, base)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _SCRATCH[app] = base
+    return f"{_SCRATCH[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of its own file system. An unreadable
+    store fails here: it is never taken for an absent table."""
+    p, fs = _hadoop_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of folder ``path``; none if it does not exist."""
+    p, fs = _hadoop_path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch folder now. What queries returned
+    from it cannot be read afterwards."""
+    base = _SCRATCH.pop(spark.sparkContext.applicationId, None)
+    if base:
+        remove_path(spark, base)

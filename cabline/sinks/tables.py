@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cabline.operators.joins import replace_by_key
+from cabline.session import path_exists, remove_path
 
 
 def _files_layout(df: DataFrame, partition_cols, files_per_partition: int | None) -> DataFrame:
@@ -58,26 +59,53 @@ def write_table(
         df.write.mode(mode).parquet(path)
 
 
-def replace_partitions(new: DataFrame, path: str, partition_cols=("year", "month")) -> None:
+def replace_partitions(
+    new: DataFrame, path: str | None = None, partition_cols=("year", "month"), requested: dict | None = None, jdbc: dict | None = None
+) -> None:
     """K7 for aggregates keyed by (year, month[, ...]): the month's rows are
     replaced as a whole by dynamic partition overwrite; re-runs are
-    idempotent and no old data is read back."""
-    write_partitioned(new, path, partition_cols)
+    idempotent and no old data is read back. ``requested`` names the one
+    partition that this run stands for: see ``write_month``. With ``jdbc``
+    the rows are appended to a database table; the caller deletes the month
+    first, in the database's own transaction."""
+    if jdbc:
+        write_table(new, mode="append", jdbc=jdbc)
+    elif requested:
+        write_month(new, path, requested)
+    else:
+        write_partitioned(new, path, partition_cols)
+
+
+def write_month(df: DataFrame, path: str, partition: dict, **kw) -> None:
+    """K5 for one partition, ``{"year": 2024, "month": 1}`` say: afterwards
+    it holds exactly the rows of ``df``, none if there are none. Dynamic
+    overwrite alone would leave the old rows of a re-run without result."""
+    spark = df.sparkSession
+    folder = "/".join([path.rstrip("/"), *[f"{k}={v}" for k, v in partition.items()]])
+    if df.isEmpty():
+        if path_exists(spark, folder):
+            remove_path(spark, folder)
+        return
+    write_partitioned(df, path, tuple(partition), **kw)
 
 
 def merge_by_key(spark: SparkSession, new: DataFrame, path: str, keys, out_path: str) -> DataFrame:
     """J5 + K7 for keyed tables that are not partitioned by their key: old
     rows whose key is in ``new`` are replaced. Written to ``out_path`` (a new
     version; a table is never overwritten while it is being read)."""
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # first run: no table yet
+    if not path_exists(spark, path):  # first run; a table that can't be read fails below
         new.write.mode("overwrite").parquet(out_path)
         return spark.read.parquet(out_path)
-    replace_by_key(old, new, list(keys)).write.mode("overwrite").parquet(out_path)
+    replace_by_key(spark.read.parquet(path), new, list(keys)).write.mode("overwrite").parquet(out_path)
     return spark.read.parquet(out_path)
 
 
+def write_and_read(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``, for uses that scan it several times."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_model(model, path: str) -> None:
     """K9."""
     model.write().overwrite().save(path)

@@ -25,7 +25,8 @@ class StreamSource:
 
     ``format="kafka"`` subscribes to ``{taxi_type}_trip_data`` (needs the
     Kafka connector on the classpath); ``format="text"`` / ``"json"`` reads
-    message files from ``path`` with the same ``value`` column."""
+    message files from ``path`` with the same ``value`` column (``json``: the
+    ``key``/``value`` lines of ``sinks.messages``). Other formats fail."""
 
     format: str = "kafka"
     taxi_type: str = "yellow"
@@ -34,6 +35,7 @@ class StreamSource:
     starting_offsets: str = "latest"
     fail_on_data_loss: bool = False
     max_files_per_trigger: int | None = None
+    max_bytes_per_trigger: int | None = None  # batches follow the bytes, not the number of files
     max_offsets_per_trigger: int | None = None
 
 
@@ -50,9 +52,16 @@ def read_trip_stream(spark: SparkSession, src: StreamSource) -> DataFrame:
         if src.max_offsets_per_trigger:
             r = r.option("maxOffsetsPerTrigger", src.max_offsets_per_trigger)
         return r.load()
-    r = spark.readStream.format("text")
+    if src.format == "text":
+        r = spark.readStream.format("text")
+    elif src.format == "json":
+        r = spark.readStream.format("json").schema("key string, value string")
+    else:
+        raise ValueError(f"unknown source format {src.format!r}")
     if src.max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", src.max_files_per_trigger)
+    if src.max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", src.max_bytes_per_trigger)
     return r.load(src.path)
 
 

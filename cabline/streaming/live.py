@@ -2,23 +2,26 @@
 (T5, T6, T9, K4, K8, A4, A5, A8, W4).
 
 State lives in small Parquet tables in the shared folder, one partition per
-``batch_id``. A replayed micro-batch recomputes its rows from the state
-before it and overwrites its own partition, so results are exactly once
-even when executors or the driver are lost.
+``batch_id``, of which the newest few are kept. A replayed micro-batch
+recomputes its rows from the state before it and overwrites its own
+partition, so results are exactly once even when executors or the driver are
+lost. Everything that depends on time is computed as columns, in the
+session's zone.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
-from cabline.functions.timeparts import hour_start, message_time, plus_hours, time_features
+from cabline.functions.timeparts import hour_start
 from cabline.operators.analytics import live_counts
+from cabline.operators.forecast import score_next_hour, serving_features
 from cabline.operators.joins import enrich_zones
+from cabline.operators.timeline import timeline_points, upsert_points
 from cabline.schema import RUNNING_TOTAL_TTL_SECONDS
+from cabline.session import child_names, path_exists, remove_path
 
 STATE_SCHEMA = StructType(
     [
@@ -33,28 +36,40 @@ STATE_SCHEMA = StructType(
 )
 
 
+#: State partitions kept: the last one, and those before it in case a batch is replayed.
+KEPT_STATES = 3
+
+
 def _write_batch_partition(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
-def _previous_state(spark: SparkSession, path: str, batch_id: int):
-    """The state row of batch ``batch_id - 1`` (batch ids are consecutive and
-    every batch writes one), read by its partition path: O(1) per batch, no
-    listing of the whole history."""
-    prev = f"{path.rstrip('/')}/batch_id={batch_id - 1}"
-    try:
-        return spark.read.schema(STATE_SCHEMA).parquet(prev).drop("batch_id").first()
-    except Exception:  # first batch of this state table
+def _batch_ids(spark: SparkSession, path: str, name: str = "batch_id") -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in child_names(spark, path) if n.startswith(f"{name}="))
+
+
+def _previous_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The state row of batch ``batch_id - 1``, or None if no batch before
+    this one has written any. A state that can't be read, has a gap or runs
+    ahead of this batch (another query's) fails: the total never restarts
+    unnoticed."""
+    ids = _batch_ids(spark, path)
+    if any(i > batch_id for i in ids):
+        raise ValueError(f"{path} has state of batch {ids[-1]}, after batch {batch_id}: it belongs to another checkpoint")
+    if not [i for i in ids if i < batch_id]:
         return None
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{path.rstrip('/')}/batch_id={batch_id - 1}").drop("batch_id")
 
 
 class LiveSink:
     """``foreachBatch`` handler.
 
-    Per non-empty batch: latest pickup and row count (one aggregation), the
-    new running total (reset after ``ttl_seconds`` without updates, T5), the
-    count of the current clock hour (the feature the model was trained on),
-    the forecast for the next hour (T6) and one message (K8)."""
+    Per non-empty batch: latest pickup, row count and the count of the
+    current clock hour (one aggregation), the new running total (reset after
+    ``ttl_seconds`` without updates, T5), the forecast for the next hour
+    (T6) and one message (K8). An empty batch carries the state forward and
+    sends no message. ``now``: a function that gives the UTC time, for
+    tests."""
 
     def __init__(self, state_path: str, messages_path: str, model=None,
                  ts: str = "tpep_pickup_datetime", ttl_seconds: int = RUNNING_TOTAL_TTL_SECONDS,
@@ -63,58 +78,66 @@ class LiveSink:
         self.messages_path = messages_path
         self.model = model
         self.ts = ts
-        self.ttl = dt.timedelta(seconds=ttl_seconds)
-        self.now = now or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+        self.ttl_seconds = ttl_seconds
+        self.now = now
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        spark = batch_df.sparkSession
-        batch_df = batch_df.persist()
-        try:
-            self._process(spark, batch_df, int(batch_id))
-        finally:
-            batch_df.unpersist()
-
-    def _process(self, spark: SparkSession, batch_df: DataFrame, batch_id: int) -> None:
-        ts = F.col(self.ts)
-        stats = batch_df.agg(F.max(ts).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        spark, batch_id = batch_df.sparkSession, int(batch_id)
         prev = _previous_state(spark, self.state_path, batch_id)
-        if stats["m"] is None:
-            # empty batch: the state is carried forward unchanged, no message
-            if prev is not None:
-                row = (batch_id, prev["total"], prev["hour"], prev["hour_count"], prev["max_pickup_time"], 0,
-                       prev["updated_at"])
-                _write_batch_partition(spark.createDataFrame([row], STATE_SCHEMA), self.state_path)
-            return
-        max_hour = stats["m"].replace(minute=0, second=0, microsecond=0)
-        in_hour = batch_df.filter(hour_start(ts) == F.lit(max_hour)).count()
-        now = self.now()
-        alive = prev is not None and prev["updated_at"] >= now - self.ttl
-        total = (prev["total"] if alive else 0) + stats["n"]
-        hour_count = in_hour + (prev["hour_count"] if alive and prev["hour"] == max_hour else 0)
-        state = spark.createDataFrame(
-            [(batch_id, total, max_hour, hour_count, stats["m"], stats["n"], now)], STATE_SCHEMA
+        _write_batch_partition(self.state(batch_df, prev, batch_id), self.state_path)
+        written = f"{self.state_path.rstrip('/')}/batch_id={batch_id}"
+        if path_exists(spark, written):  # else empty batches before the first row
+            state = spark.read.schema(STATE_SCHEMA).parquet(written).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            _write_batch_partition(self.message(state.where("batch_trip_count > 0")), self.messages_path)
+        for old in _batch_ids(spark, self.state_path)[:-KEPT_STATES]:
+            remove_path(spark, f"{self.state_path.rstrip('/')}/batch_id={old}")
+
+    def state(self, batch_df: DataFrame, prev: DataFrame | None, batch_id: int) -> DataFrame:
+        """The one state row after this batch, or none without any trip so far."""
+        ts = F.col(self.ts)
+        now = F.current_timestamp() if self.now is None else F.lit(self.now().isoformat() + "Z").cast("timestamp")
+        hours = batch_df.groupBy(hour_start(ts).alias("h")).agg(F.max(ts).alias("m"), F.count(F.lit(1)).alias("n"))
+        stats = hours.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("m").alias("m"), F.max("h").alias("h"), F.max_by("n", "h").alias("h_n")
+        ).withColumn("now", now)
+        if prev is None:
+            prev = batch_df.sparkSession.createDataFrame([], STATE_SCHEMA).drop("batch_id")
+        s = stats.withColumn("one", F.lit(1)).join(prev.withColumn("one", F.lit(1)), "one", "left")
+        alive = F.coalesce(F.col("updated_at") >= F.col("now") - F.make_dt_interval(secs=F.lit(self.ttl_seconds)), F.lit(False))
+        some = F.col("n") > 0
+        same_hour = F.coalesce(alive & (F.col("hour") == F.col("h")), F.lit(False))
+        return s.where(some | F.col("total").isNotNull()).select(
+            F.lit(batch_id).cast("long").alias("batch_id"),
+            F.when(some, F.when(alive, F.col("total")).otherwise(0) + F.col("n")).otherwise(F.col("total")).alias("total"),
+            F.when(some, F.col("h")).otherwise(F.col("hour")).alias("hour"),
+            F.when(some, F.col("h_n") + F.when(same_hour, F.col("hour_count")).otherwise(0)).otherwise(F.col("hour_count")).alias("hour_count"),
+            F.when(some, F.col("m")).otherwise(F.col("max_pickup_time")).alias("max_pickup_time"),
+            F.col("n").alias("batch_trip_count"),
+            F.when(some, F.col("now")).otherwise(F.col("updated_at")).alias("updated_at"),
         )
-        _write_batch_partition(state, self.state_path)
-        _write_batch_partition(self.message(state), self.messages_path)
 
     def message(self, state: DataFrame) -> DataFrame:
         """K8 columns (+ batch_id); predicted count = total + truncated
         prediction (P17), or null without a model."""
-        feats = state.withColumn("_next", plus_hours("max_pickup_time", 1)).withColumns(
-            time_features("_next")
-        ).withColumn("trip_count", F.col("hour_count"))
-        if self.model is not None:
-            scored = self.model.transform(feats)
-            pred = F.col("prediction").cast("bigint") + F.col("total")
-        else:
-            scored, pred = feats, F.lit(None).cast("bigint")
-        return scored.select(
-            "batch_id",
-            message_time("max_pickup_time").alias("timestamp"),
-            F.col("total").alias("trip_count"),
-            message_time(plus_hours("max_pickup_time", 1)).alias("predicted_timestamp"),
-            pred.alias("predicted_trip_count"),
-        )
+        return score_next_hour(self.model, serving_features(state, "max_pickup_time", "hour_count"), "total", keep=("batch_id",))
+
+
+class TimelineSink:
+    """``foreachBatch`` handler that upserts real-time messages into the
+    stored timeline (T9): each batch gives a new version of the table, one
+    row per timestamp, from the last version and the batch's points. A
+    replayed batch writes its own version again from the one before."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
+        spark = batch_df.sparkSession
+        points = timeline_points(batch_df)
+        older = [v for v in _versions(spark, self.path) if v < batch_id]
+        if older:
+            points = points.unionByName(spark.read.parquet(f"{self.path}/version={older[-1]}"))
+        _write_version(upsert_points(points), self.path, int(batch_id))
 
 
 def running_total_query_frame(valid: DataFrame, ts: str = "tpep_pickup_datetime") -> DataFrame:
@@ -131,12 +154,33 @@ def live_counts_frame(valid: DataFrame, zones: DataFrame, dim: str = "pickup_bor
     return live_counts(enrich_zones(valid, zones), dim)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a table, oldest first."""
+    return [v for v in _batch_ids(spark, path, "version") if path_exists(spark, f"{path}/version={v}/_SUCCESS")]
+
+
+def _write_version(df: DataFrame, path: str, version: int) -> None:
+    """Write a version beside the ones that readers may have open, then drop all but the last two."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    for old in _versions(spark, path)[:-2]:
+        remove_path(spark, f"{path}/version={old}")
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table kept by ``overwrite_sink`` or ``TimelineSink``."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no complete version below {path}")
+    return spark.read.parquet(f"{path}/version={versions[-1]}")
+
+
 def overwrite_sink(path: str):
     """``foreachBatch`` handler for ``complete`` mode results: each batch
-    replaces the table (idempotent)."""
+    is a version of the table (idempotent); ``read_latest`` reads it."""
 
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(path)
+        _write_version(batch_df, path, int(batch_id))
 
     return write
 

@@ -41,15 +41,6 @@ def test_zone_join_is_broadcast_and_scan_pruned(spark):
     assert "l_comment" not in plan  # only the bound columns are read
 
 
-def test_checked_broadcast_falls_back(spark):
-    from cabline.operators.joins import checked_broadcast, has_at_most
-
-    big = spark.range(1000)
-    assert not has_at_most(big, 10)
-    assert checked_broadcast(big, 10) is big
-    assert has_at_most(big, 1000)
-
-
 def test_merge_by_key_replaces_and_keeps(spark, tmp_dir):
     old = spark.createDataFrame([(2023, 1, 10), (2023, 2, 20), (2023, 3, 30)], "year int, month int, n long")
     new = spark.createDataFrame([(2023, 3, 33), (2023, 4, 40)], "year int, month int, n long")
