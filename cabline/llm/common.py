@@ -13,7 +13,7 @@ from cabline.session import scratch_path
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Bytes of one Arrow batch sent to a Python worker; with it, very long texts don't pile up.
-ARROW_BATCH_BYTES = 24 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -80,7 +80,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         old = labels.select("node", F.col("label").alias("old"))
         better = hooked.groupBy("node").agg(F.min("label").alias("label"))
         up = better.join(old, "node").where("label < old").select(F.col("old").alias("node"), "label")
-        merged = better.union(up).groupBy("node").agg(F.min("label").alias("label"))
+        # stored, so the join on labels is between plain scans and the rule for skewed joins can split a large component
+        merged = stored(better.union(up).groupBy("node").agg(F.min("label").alias("label")), f"{name}-merged")
         jump = merged.alias("x").join(merged.select(F.col("node").alias("label"), F.col("label").alias("next")).alias("y"), "label", "left")
         new = stored(jump.select("node", F.coalesce("next", "label").alias("label")), f"{name}-labels")
         changed = new.join(old, "node").where("label <> old").limit(1).count()

@@ -36,7 +36,7 @@ BAND = 1.4
 #: Rows of a block that one task compares with another block.
 BLOCK = 800
 #: Distinct words whose hashes a task keeps; when full, the store starts anew.
-WORD_STORE = 600_000
+WORD_STORE = 250_000
 
 DOC, KEY, LIGHT, EDGE = 0, 1, 2, 3
 ROWS = "kind tinyint, key long, doc long, n long, bits binary"
@@ -111,13 +111,14 @@ def parity(items: np.ndarray, words: int) -> np.ndarray:
 
 
 def bitmap_words(segments: int) -> int:
-    return -(-segments // 8)
+    """Four bits a segment: unrelated sets differ in twice as many as linked ones may."""
+    return -(-segments // 16)
 
 
-def keys(items: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[tuple[int, bytes]]]:
-    """Keys of segments with two or more items, and (key, bitmap) of the others."""
-    full, light = [], []
-    for band in bands.of(len(items)):
+def keys(items: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[tuple[int, int]], bytes]:
+    """Keys of segments with two or more items; (key, number of the band) of the others; the bands' bitmaps."""
+    full, light, bits = [], [], []
+    for turn, band in enumerate(bands.of(len(items))):
         m = bands.segments(band)
         # items are sorted and segments are ranges of their high bits, so a segment is a slice
         seg = ((items >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -126,10 +127,15 @@ def keys(items: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[tuple[
         size = np.diff(ends)
         key = mix((sums[ends[1:]] - sums[ends[:-1]]) + np.uint64(0x2545F4914F6CDD1D) * (np.arange(m, dtype=np.uint64) * np.uint64(1024) + np.uint64(band)))
         full.append(key[size > 1])
-        if (size < 2).any():
-            bits = parity(items, bitmap_words(m)).tobytes()
-            light += [(int(k), bits) for k in key[size < 2].view(np.int64)]
-    return full, light
+        light += [(int(k), turn) for k in key[size < 2].view(np.int64)]
+        bits.append(parity(items, bitmap_words(m)).tobytes())
+    return full, light, b"".join(bits)
+
+
+def bitmap(bits: bytes, size: int, turn: int, bands: Bands) -> bytes:
+    """The bitmap of one of the set's bands."""
+    words = [bitmap_words(bands.segments(b)) for b in bands.of(size)]
+    return bits[8 * sum(words[:turn]) : 8 * sum(words[: turn + 1])]
 
 
 def _first(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,14 +164,15 @@ def _index(size: int, num: int, den: int):
             )
 
         def sent(seen, found, lights) -> Iterator[pa.RecordBatch]:
-            names, ids, sizes = (np.array(x, t) for x, t in zip(zip(*seen), (np.uint64, np.int64, np.int64)))
-            yield rows(DOC, names, ids, sizes)
+            names, ids, sizes = (np.array(x, t) for x, t in zip(zip(*[s[:3] for s in seen]), (np.uint64, np.int64, np.int64)))
+            yield rows(DOC, names, ids, sizes, [s[3] for s in seen])
             if found:
                 key, doc, a, b = _first(np.concatenate([k for k, _ in found]), np.concatenate([np.full(len(k), d) for k, d in found]))
                 yield rows(KEY, key, doc)
                 yield rows(EDGE, mix(b.view(np.uint64)), b, a)
             if lights:
-                yield rows(LIGHT, np.array([k for k, _, _, _ in lights], np.int64), np.array([d for _, d, _, _ in lights], np.int64), np.array([n for _, _, n, _ in lights], np.int64), [b for _, _, _, b in lights])
+                key, doc, turn = (np.array(x, np.int64) for x in zip(*lights))
+                yield rows(LIGHT, key, doc, turn)
 
         for batch in batches:
             seen, found, lights, sets = [], [], [], set()
@@ -174,13 +181,14 @@ def _index(size: int, num: int, den: int):
                 if not len(items):
                     continue
                 name = int(mix(np.array([np.add.reduce(mix(items + np.uint64(7)))], np.uint64) + np.uint64(len(items)))[0])
-                seen.append((name, doc, len(items)))
                 if name in sets:
+                    seen.append((name, doc, len(items), None))
                     continue
                 sets.add(name)
-                full, light = keys(items, bands)
+                full, light, bits = keys(items, bands)
+                seen.append((name, doc, len(items), bits if light else None))
                 found += [(k, doc) for k in full if len(k)]
-                lights += [(k, doc, len(items), bits) for k, bits in light]
+                lights += [(k, doc, turn) for k, turn in light]
             if seen:
                 yield from sent(seen, found, lights)
 
@@ -250,10 +258,10 @@ def _light(num: int, den: int):
             side = t["block"].to_numpy()
             if cross and side.min() == side.max():
                 continue
-            maps = t["bits"].to_pylist()
-            words = max(map(len, maps))
-            bits = np.frombuffer(b"".join(x.ljust(words, b"\0") for x in maps), np.uint64).reshape(len(maps), -1)
-            found += linked(t["doc"].to_numpy(), t["n"].to_numpy(), side, cross, bits, bands, None)
+            size = t["size"].to_numpy()
+            maps = [bitmap(*x, bands) for x in zip(t["bits"].to_pylist(), size.tolist(), t["turn"].to_pylist())]
+            bits = np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+            found += linked(t["doc"].to_numpy(), size, side, cross, bits, bands, None)
             if len(found) > 50_000:
                 yield _edges(found)
                 found = []
@@ -284,7 +292,7 @@ def _verify(num: int, den: int):
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
             size = np.array(list(map(len, sets)), np.int64)
-            words = bitmap_words(bands.apart(2 * int(size.max())) + 1)
+            words = 2 * bitmap_words(bands.apart(2 * int(size.max())) + 1)
             bits = np.stack([parity(x, words) for x in sets])
 
             def check(i: int, j: int, sets=sets) -> bool:
@@ -337,8 +345,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     equal = sets.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     shared = rows.where((F.col("kind") == KEY)).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     local = rows.where(F.col("kind") == EDGE).select(F.col("n").alias("a"), F.col("doc").alias("b"))
-    light = rows.where(F.col("kind") == LIGHT).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    light = light.select("key", "doc", "n", "bits", "blocks", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"))
+    maps = sets.where("bits is not null").select("doc", F.col("n").alias("size"), "bits")
+    light = rows.where(F.col("kind") == LIGHT).select("key", "doc", F.col("n").alias("turn"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    light = light.join(maps, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     light = _paired(light, "key").mapInArrow(_light(num, den), "a long, b long")
     clusters = components(equal.union(shared).union(local).union(light).distinct(), "jaccard-clusters")
 
