@@ -86,7 +86,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         probe = probe.select("q", "worst", F.split("x", ":")[0].cast("int").alias("seg"), F.split("x", ":")[1].cast("long").alias("mask"))
         own = F.element_at(F.array(*[_segment(F.col("q"), *s) for s in layout]), F.col("seg") + 1)
         probe = probe.select("q", "worst", "seg", own.bitwiseXOR(F.col("mask")).alias("value"))
-        pair = probe.join(keyed, ["seg", "value"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
+        # sizes on disk say little about exploded rows: neither side is ever broadcast
+        pair = probe.join(keyed.hint("merge"), ["seg", "value"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
         near = [F.bit_count(_segment(F.col("x"), *s)) for s in layout]
         # a pair counts where it is found first: no segment nearer than r, none at r before this one
         earlier = F.lit(False)
