@@ -1,10 +1,11 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote bad, good or nothing on each text. How often each
-pattern of votes occurs is counted over all documents; the patterns are few,
-so expectation-maximisation over their counts estimates the labellers'
-accuracies exactly as over the documents. The posteriors are soft labels for a
-linear scorer on hashed words and binned statistics, fitted with an L1 penalty
+Heuristic labellers vote bad, good or nothing on each text. One of them knows
+word stems that a bounded sample of labelled documents ties to abuse, in
+whatever language. How often each pattern of votes occurs is counted over all
+documents; the patterns are few, so expectation-maximisation over their counts
+estimates the labellers' accuracies exactly as over the documents. The posteriors are soft labels for a
+linear scorer on hashed words, word beginnings and binned statistics, fitted with an L1 penalty
 on a bounded sample and applied to every document. There are two such tasks:
 junk and toxic. A document that either scorer finds bad is rejected.
 """
@@ -13,11 +14,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,14 +30,23 @@ from cabline.llm.common import prepare
 
 #: Documents that the scorer is fitted on, about: a hash sample; all if there are fewer.
 SAMPLE = 10_000
+#: Labelled documents that the stems are mined from, about: a hash sample of the labels.
+LABELLED = 20_000
+#: Lengths of word beginnings. A stem is one that at least STEM_DOCS bad labelled documents and STEM_PART of them have,
+#: and that is in bad ones for STEM_SHARE of its documents and STEM_Z standard errors beyond chance; STEMS at most.
+BEGINNINGS, STEM_DOCS, STEM_PART, STEM_SHARE, STEM_Z, STEMS = (4, 5, 6, 7), 8, 0.02, 0.7, 8.0, 500
 #: Hash buckets of the scorer's features.
 BUCKETS = 1 << 18
-#: L1 penalty and steps of the fit.
-PENALTY, STEPS = 2e-4, 200
+#: L1 penalty and steps of the fit; standard errors by which a feature must be associated with the labels to enter it.
+PENALTY, STEPS, LEAST_Z = 2e-4, 300, 4.0
 #: A score from here on is bad.
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 #: Distinct words whose bucket a task keeps; when full, the store starts anew.
-WORD_STORE = 600_000
+WORD_STORE = 200_000
+
+#: A labeller is right on at least this share of good texts: its limits for bad lie far from ordinary text. Without
+#: this, kinds of junk that few labellers know would pass for a habit of good texts.
+LEAST_RIGHT = 0.99
 
 TASKS = ("junk", "toxic")
 # FIXED VALUES: English words of abuse, by the labeller that knows them; they overlap.
@@ -73,6 +86,7 @@ def statistics(text: str) -> dict[str, float]:
         "digits": int(h[48:58].sum()) / n,
         "again": 1 - len(set(lines)) / max(1, len(lines)),
         "stutter": sum(map(eq, tokens, tokens[1:])) / words,
+        "squeeze": min(1.0, len(zlib.compress(raw, 1)) / len(raw)) if len(raw) >= 100 else 0.5,
     }
 
 
@@ -81,7 +95,24 @@ def abuse(low: str) -> list[str]:
     return ABUSE.findall(low) if any(w in low for w in WORDS_OF_ABUSE) else []
 
 
-def votes(text: str) -> tuple[list[int], list[int]]:
+def beginnings(word: str) -> list[str]:
+    return [word[:n] for n in BEGINNINGS if len(word) >= n]
+
+
+class StemWords(dict):
+    """Whether a word begins with a stem."""
+
+    def __init__(self, stems: frozenset) -> None:
+        self.stems = stems
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > WORD_STORE:
+            self.clear()
+        self[word] = known = not self.stems.isdisjoint(beginnings(word))
+        return known
+
+
+def votes(text: str, stems: StemWords | None = None) -> tuple[list[int], list[int]]:
     """The labellers' votes for each task."""
     s = statistics(text)
     junk = [
@@ -89,35 +120,79 @@ def votes(text: str) -> tuple[list[int], list[int]]:
         _grade(s["pipes"], 0.05, 0.3),
         _grade(s["bangs"], 0.05, 0.4),
         _grade(s["upper"], 0.25, 0.6),
-        _grade(s["letters"], 0.85, 0.6),
+        _grade(s["letters"], 0.85, 0.7),
         _grade(s["stutter"], 0.05, 0.4),
+        _grade(s["squeeze"], 0.35, 0.2) if len(text) >= 100 else NONE,
     ]
-    hits = abuse(text.lower())
+    low = text.lower()
+    hits = abuse(low)
+    begun = sum(map(stems.__getitem__, set(WORD.findall(low)))) if stems is not None and stems.stems else -1
+    # the lists are English: that they find nothing says little beside stems of every language
+    nothing = GOOD if begun < 0 else NONE
     toxic = [
-        BAD if any(w in PERSONS for w in hits) else GOOD,
-        BAD if any(w in CONTEMPT for w in hits) else GOOD,
-        BAD if len(set(hits)) > 1 else NONE if hits else GOOD,
+        BAD if any(w in PERSONS for w in hits) else nothing,
+        BAD if any(w in CONTEMPT for w in hits) else nothing,
+        BAD if len(set(hits)) > 1 else NONE if hits else nothing,
+        BAD if begun > 1 else GOOD if begun == 0 else NONE,
     ]
     return junk, toxic
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _patterns(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: ["".join(map(str, v)) for v in votes(x)])
+def _patterns(stems: frozenset):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = StemWords(stems)
+        for texts in batches:
+            yield texts.map(lambda x: ["".join(map(str, v)) for v in votes(x, known)])
 
+    return run
 
-def expectation_maximisation(counts: dict[str, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[str, float]]:
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(beginning, docs, bad) of a batch of (text, bad): documents that have it, and bad ones among them."""
+    for b in batches:
+        docs, bad = Counter(), Counter()
+        for text, label in zip(b.column(0), b.column(1).to_pylist()):
+            has = {x for w in set(WORD.findall(text.as_py().lower())) for x in beginnings(w)}
+            docs.update(has)
+            if label:
+                bad.update(has)
+        # what no bad document of the batch has can still have one elsewhere, so all go on
+        yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([bad[x] for x in docs], pa.int64())], names=["beginning", "docs", "bad"])
+
+
+def mine_stems(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> frozenset:
+    """Word beginnings that ``labels`` (doc_id, toxic) ties to toxic documents.
+
+    From about ``labelled`` labels, picked by the hash of the doc_id, so few
+    enough to be broadcast; STEMS of the most frequent at most.
+    """
+    part = int(min(1.0, labelled / max(1, labels.count())) * (1 << 40))
+    some = labels.select(labels["doc_id"].cast("long").alias("label_id"), (labels["toxic"] == 1).alias("bad")).where("label_id is not null and bad is not null")
+    some = some.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)) < part).groupBy("label_id").agg(F.bool_or("bad").alias("bad"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), _text(docs).alias("text")).join(F.broadcast(some), F.col("id") == F.col("label_id")).select("text", "bad")
+    counts = texts.mapInArrow(_beginnings, "beginning string, docs long, bad long").groupBy("beginning").agg(F.sum("docs").alias("docs"), F.sum("bad").alias("bad"))
+    n, n_bad = some.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
+    p = n_bad / max(1, n)
+    chance = F.col("docs") * p + STEM_Z * F.sqrt(F.col("docs") * p * (1 - p))
+    found = counts.where((F.col("bad") >= max(STEM_DOCS, STEM_PART * n_bad)) & (F.col("bad") >= STEM_SHARE * F.col("docs")) & (F.col("bad") >= chance))
+    found = found.orderBy(F.desc("bad"), "beginning").limit(STEMS)
+    return frozenset(r["beginning"] for r in found.collect())
+
+
+def expectation_maximisation(counts: dict[str, int], rounds: int = 200, least_right: float = LEAST_RIGHT) -> tuple[float, np.ndarray, dict[str, float]]:
     """(share of bad, accuracy[labeller, class], P(bad) of each pattern) from counts of vote patterns.
 
     accuracy[j, c]: how often labeller j, if it votes, is right on class c.
     Starts with labellers that are better than chance, which settles the names
-    of the two classes; counts are smoothed, so no accuracy is 0 or 1.
+    of the two classes; counts are smoothed, so no accuracy is 0 or 1, and
+    accuracy on good texts is ``least_right`` at least.
     """
     if not counts:
         return 0.0, np.zeros((0, 2)), {}
     v = np.array([[int(c) for c in p] for p in counts])
     n = np.array(list(counts.values()), float)
-    right = np.tile([0.95, 0.5], (v.shape[1], 1))
+    right = np.tile([max(0.95, least_right), 0.5], (v.shape[1], 1))
     share = 0.1
     for _ in range(rounds):
         with np.errstate(divide="ignore"):
@@ -129,21 +204,25 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 200) -> tuple
             right[:, c] = ((w[:, None] * (v == c)).sum(axis=0) + 1) / ((w[:, None] * (v != NONE)).sum(axis=0) + 2)
         # a labeller that votes at random may not turn the classes around
         right = np.maximum(right, np.stack([1 - right[:, BAD] + 1e-3, 1 - right[:, GOOD] + 1e-3], 1)).clip(1e-4, 1 - 1e-4)
+        right[:, GOOD] = right[:, GOOD].clip(least_right)
     return share, right, dict(zip(counts, p.tolist()))
 
 
 class Buckets(dict):
-    def __missing__(self, word: str) -> int:
+    """The buckets of a word and its beginnings."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > WORD_STORE:
             self.clear()
-        self[word] = h = zlib.crc32(word.encode()) % BUCKETS
+        self[word] = h = tuple(zlib.crc32(x.encode()) % BUCKETS for x in (word, *[f"^{b}" for b in beginnings(word)]))
         return h
 
 
 def features(text: str, store: Buckets) -> np.ndarray:
-    """Buckets of the distinct words and of the binned statistics."""
-    binned = {f"{k}={min(20, int(x * 20))}" for k, x in statistics(text).items()}
-    return np.unique(np.fromiter(map(store.__getitem__, {*WORD.findall(text.lower()), *binned}), np.int64))
+    """Buckets of the distinct words, of their beginnings and of the binned statistics."""
+    found = set(chain.from_iterable(map(store.__getitem__, set(WORD.findall(text.lower())))))
+    found.update(zlib.crc32(f"{k}={min(20, int(x * 20))}".encode()) % BUCKETS for k, x in statistics(text).items())
+    return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -153,16 +232,25 @@ def _features(texts: pd.Series) -> pd.Series:
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a logistic scorer on 0/1 features by accelerated proximal gradient."""
+    """(weights, bias) of a logistic scorer on 0/1 features by accelerated proximal gradient.
+
+    Features without a clear association with the labels are left out first:
+    they would only carry noise, and without them the steps can be long.
+    """
     w, bias = np.zeros(BUCKETS), 0.0
     if not rows:
         return w, bias
     at, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    share = np.bincount(at, minlength=BUCKETS) / len(rows)
+    shift = np.bincount(at, weights=(target - target.mean())[row], minlength=BUCKETS) / len(rows)
+    error = np.sqrt(share * (1 - share) * target.var() / len(rows)) + 1e-12
+    clear = (np.abs(shift) > LEAST_Z * error) & (share > 0)
+    row, at = row[clear[at]], at[clear[at]]
     used, at = np.unique(at, return_inverse=True)
     x, x0, b0, t = np.zeros(len(used)), np.zeros(len(used)), 0.0, 1.0
     y, c = x, bias
     # a feature of few documents bends the loss little: each has its own step length
-    size = np.array([len(r) + 1 for r in rows])
+    size = np.bincount(row, minlength=len(rows)) + 1
     width, width0 = np.bincount(at, weights=size[row], minlength=len(used)) / len(rows) / 4, size.mean() / 4
     for _ in range(steps):
         score = np.bincount(row, weights=y[at], minlength=len(rows)) + c
@@ -176,10 +264,10 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, penalty: float = PENA
 
 
 class Model:
-    """Weights and bias of each task; ``labellers``: their estimated accuracies."""
+    """Weights and bias of each task; ``labellers``: their estimated accuracies; ``stems``: what was mined."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, labellers: dict[str, np.ndarray]) -> None:
-        self.weights, self.bias, self.labellers = weights, bias, labellers
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, labellers: dict[str, np.ndarray], stems: frozenset) -> None:
+        self.weights, self.bias, self.labellers, self.stems = weights, bias, labellers, stems
 
     def udf(self):
         kept = np.flatnonzero((self.weights != 0).any(axis=0))
@@ -202,15 +290,19 @@ def _text(docs: DataFrame):
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Model:
     """The model of ``docs`` (doc_id, text). Votes are counted over all of them.
 
-    To the driver come the patterns, 3**6 and 3**3 at most, and the features of
-    about ``sample`` documents, picked by the hash of their text.
+    ``labels`` (doc_id, toxic) of some of them give the stems (see
+    ``mine_stems``); without labels that labeller is silent. To the driver come
+    the stems, the patterns, 3**7 and 3**4 at most, and the features of about
+    ``sample`` documents, picked by the hash of their text.
     """
     prepare(docs.sparkSession)
+    stems = mine_stems(docs, labels) if labels is not None else frozenset()
     texts = docs.select(_text(docs).alias("text"))
-    voted = texts.select(_patterns("text").alias("p"))
+    patterns = _patterns(stems)
+    voted = texts.select(patterns("text").alias("p"))
     counted = voted.groupBy(F.col("p")[0].alias("junk"), F.col("p")[1].alias("toxic")).count().collect()
     posterior, labellers = [], {}
     for k, task in enumerate(TASKS):
@@ -221,17 +313,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         posterior.append(p)
     total = sum(r["count"] for r in counted)
     part = int(min(1.0, sample / max(1, total)) * (1 << 40))
-    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < part).select(_patterns("text").alias("p"), _features("text").alias("x"))
+    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < part).select(patterns("text").alias("p"), _features("text").alias("x"))
     rows, target = [], []
     for r in picked.toLocalIterator():
         rows.append(np.array(r["x"], np.int64))
         target.append([posterior[k][r["p"][k]] for k in range(len(TASKS))])
     target = np.array(target).reshape(-1, len(TASKS))
     fitted = [fit_linear(rows, target[:, k]) for k in range(len(TASKS))]
-    return Model(np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]), labellers)
+    return Model(np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]), labellers, stems)
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, junk, toxic, keep) for every row of ``docs`` (doc_id, text).
 
     junk, toxic: the scorers' probabilities; keep: both below THRESHOLD. A
@@ -240,7 +332,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     occur, a null doc_id stays null. An empty table gives an empty result;
     other columns are left out.
     """
-    score = fit(docs, sample).udf()
+    score = fit(docs, labels, sample).udf()
     out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), score(_text(docs)).alias("s"))
     return out.select("doc_id", F.col("s.junk").alias("junk"), F.col("s.toxic").alias("toxic"), _keep("s").alias("keep"))
 
@@ -249,7 +341,7 @@ def _keep(s: str):
     return (F.col(f"{s}.junk") < THRESHOLD) & (F.col(f"{s}.toxic") < THRESHOLD)
 
 
-def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
-    scored = docs.select(F.struct(*docs.columns).alias("row"), fit(docs, sample).udf()(_text(docs)).alias("s"))
+    scored = docs.select(F.struct(*docs.columns).alias("row"), fit(docs, labels, sample).udf()(_text(docs)).alias("s"))
     return scored.where(_keep("s")).select("row.*")

@@ -32,7 +32,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(documents(spark, sf_dir))
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
