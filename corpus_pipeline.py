@@ -17,7 +17,7 @@ from cabline.llm.queries import tokenizer_path
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label scorer rejects, as junk or toxic, go."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def site_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
