@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,27 +28,55 @@ from cabline.llm.token_counts import _tokenizer
 
 # FIXED VALUES: the tokenizer's split pattern, over plain lower-case characters.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"
-#: Distinct words whose ids a task keeps; when full, the store starts anew.
-WORD_STORE = 400_000
+#: Distinct words whose ids a worker keeps in each of two generations.
+WORD_STORE = 250_000
 #: Pieces of one length in a cell, on average, at most.
 CELL_ROWS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte: itself if it prints, else the next from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
+
+
+class WordIds(dict):
+    """The ids of words as bytes, from the library's model alone: a word is
+    normal already and one pre-token. When full, the words become the old
+    generation; those met again come back from it without being encoded."""
+
+    def __init__(self, tokenizer) -> None:
+        self.pieces, self.old = tokenizer.model.tokenize, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORD_STORE:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(word)
+        if got is None:
+            text = word if word.isascii() else "".join(map(BYTE_CHARS.__getitem__, word.encode()))
+            got = array("I", [p.id for p in self.pieces(text)]).tobytes()
+        self[word] = got
+        return got
+
+
+#: Of each tokenizer file; a Python worker keeps it from task to task.
+_STORES: dict[str, WordIds] = {}
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(path)
         special = [x.content for x in t.get_added_tokens_decoder().values()]
         find, odd = re.compile(WORDS).findall, re.compile(NOT_PLAIN).search
 
-        class Ids(dict):
-            def __missing__(self, word: str) -> bytes:
-                got = np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                self[word] = got
-                return got
-
-        store = Ids()
+        store = _STORES.setdefault(path, WordIds(t))
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -56,8 +85,6 @@ def _pieces(path: str, end_id: int, capacity: int):
                 if odd(text) or any(s in text for s in special):
                     ids = np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 else:
-                    if len(store) > WORD_STORE:
-                        store.clear()
                     ids = b"".join(map(store.__getitem__, find(text.lower())))
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -74,7 +101,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     """(doc_id, piece, start, length, ids_crc32): documents' ids, then ``end_id``, cut each ``capacity`` ids.
 
     Texts of plain characters are split and looked up word by word, each
-    distinct word being encoded by the library; others go through it whole.
+    distinct word being encoded by the library's model; others go through the
+    library whole.
     """
     prepare(docs.sparkSession)
     return id_text(docs).mapInArrow(_pieces(tokenizer, end_id, capacity), PIECES)

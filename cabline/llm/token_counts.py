@@ -33,7 +33,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NU
 #: Documents, about, that tell the common pre-tokens, and how many of these at most.
 SAMPLE, COMMON = 2_000, 100_000
 #: Distinct pre-tokens whose pieces a task keeps; when full, the store starts anew.
-STORE = 500_000
+STORE = 200_000
 
 ROWS = "doc_id long, pre string, n int, n_bytes long"
 
