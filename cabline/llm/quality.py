@@ -42,7 +42,7 @@ PENALTY, STEPS, LEAST_Z = 2e-4, 300, 4.0
 #: A score from here on is bad.
 THRESHOLD = 0.6
 #: Distinct words whose bucket a task keeps; when full, the store starts anew.
-WORD_STORE = 200_000
+WORD_STORE = 350_000
 
 #: A labeller is right on at least this share of good texts: its limits for bad lie far from ordinary text. Without
 #: this, kinds of junk that few labellers know would pass for a habit of good texts.
@@ -240,7 +240,7 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, penalty: float = PENA
     w, bias = np.zeros(BUCKETS), 0.0
     if not rows:
         return w, bias
-    at, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     share = np.bincount(at, minlength=BUCKETS) / len(rows)
     shift = np.bincount(at, weights=(target - target.mean())[row], minlength=BUCKETS) / len(rows)
     error = np.sqrt(share * (1 - share) * target.var() / len(rows)) + 1e-12
@@ -316,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < part).select(patterns("text").alias("p"), _features("text").alias("x"))
     rows, target = [], []
     for r in picked.toLocalIterator():
-        rows.append(np.array(r["x"], np.int64))
+        rows.append(np.array(r["x"], np.int32))
         target.append([posterior[k][r["p"][k]] for k in range(len(TASKS))])
     target = np.array(target).reshape(-1, len(TASKS))
     fitted = [fit_linear(rows, target[:, k]) for k in range(len(TASKS))]
