@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a bucket that one task takes; a bucket with more is cut into seconds.
+HOT_ROWS = 1_000_000
+
+
 def _cols(names) -> list[str]:
     return [names] if isinstance(names, str) else list(names or [])
 
@@ -42,10 +46,11 @@ def with_buckets(df: DataFrame, ts: str, keys: list[str], unit: str, hot_rows: i
                  fine_unit: str = "second") -> DataFrame:
     """Adds ``_bk``, the time bucket of each row.
 
-    With ``hot_rows``, rows are first counted per (keys, bucket) (partial
+    Rows are first counted per (keys, bucket) (partial
     aggregation, one row per bucket); a bucket holding more rows is cut into
     ``fine_unit`` buckets. Bucket keys stay monotone in time, so the order and
-    the results do not change; only a hot bucket's window work is spread."""
+    the results do not change; only a hot bucket's window work is spread. With
+    ``hot_rows=None``, for series known to be small, nothing is counted."""
     coarse = _bucket(ts, unit)
     if not hot_rows:
         return df.withColumn("_bk", coarse)
@@ -67,7 +72,7 @@ def previous_value(
     partition_by=None,
     tiebreak=None,
     bucket_unit: str = "hour",
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``lag(value)`` over (partition_by) ordered by (ts, *tiebreak)."""
     keys = _cols(partition_by)
@@ -92,7 +97,7 @@ def next_value(
     partition_by=None,
     tiebreak=None,
     bucket_unit: str = "month",
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``lead(value)`` over (partition_by) ordered by (ts, *tiebreak)."""
     keys = _cols(partition_by)
@@ -117,7 +122,7 @@ def running_sum(
     partition_by=None,
     tiebreak=None,
     bucket_unit: str = "hour",
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Cumulative ``sum(value)`` over (partition_by) ordered by (ts, *tiebreak),
     rows from the first to the current one."""

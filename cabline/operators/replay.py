@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cabline.operators.ordered import join_buckets, with_buckets
+from cabline.operators.ordered import HOT_ROWS, join_buckets, with_buckets
 from cabline.operators.rules import calendar_filter
 from cabline.schema import (
     DEFAULT_MESSAGE_KEY,
@@ -32,7 +32,7 @@ def replay_schedule(
     speed: float = REPLAY_SPEED,
     cap: float = REPLAY_CAP_SECONDS,
     bucket_unit: str = "hour",
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """W2 + W3: ``gap_seconds`` to the previous record of the replay unit
     (null for the first), ``wait_seconds = min(gap / speed, cap)`` (0 for
@@ -42,8 +42,8 @@ def replay_schedule(
     waits and their running sum; one per-bucket summary (first and last
     time, in-bucket wait total; one row per bucket) gives each bucket the
     last time of the bucket before it and the waits of all earlier buckets.
-    No window spans a whole unit of raw rows; with ``hot_rows`` a bucket
-    above that many rows is cut into one-second buckets."""
+    No window spans a whole unit of raw rows; a bucket of more than
+    ``hot_rows`` rows is cut into one-second buckets."""
     keys = list(partition_by or [])
     order = [ts] + list(tiebreak or [])
     t = F.col(ts)

@@ -34,7 +34,7 @@ def message_feed(df: DataFrame, ts: str, seconds: int = 900, rate_hours: float =
     stand-in; the model-based message is ``forecast.score_next_hour``)."""
     b = micro_batches(df, ts, seconds)
     b = running_sum(b.withColumn("_seq_ts", F.timestamp_seconds("seq")), "_seq_ts", "batch_trip_count",
-                    "trip_count", bucket_unit="day")
+                    "trip_count", bucket_unit="day", hot_rows=None)  # one row per batch
     per_hour = int(round(3600 * rate_hours / seconds))
     return b.select(
         "seq",

@@ -14,4 +14,4 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_zones_csv(zones: DataFrame, path: str) -> None:
-    zones.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    zones.hint("rebalance").write.mode("overwrite").option("header", True).csv(path)

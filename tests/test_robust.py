@@ -94,6 +94,22 @@ def test_json_feed_equals_text_feed(spark, tmp_dir):
         SI.read_trip_stream(spark, SI.StreamSource(format="csv", path=tmp_dir))
 
 
+def test_late_rows_go_to_their_own_hour(spark, tmp_dir):
+    """A record that arrives hours after later ones is appended to its hour's folder; nothing is dropped."""
+    early, late = (frame(spark).drop("case").where("tpep_pickup_datetime is not null") for _ in range(2))
+    early = early.withColumn("tpep_pickup_datetime", F.expr("tpep_pickup_datetime + interval 2 days"))
+    early = early.withColumn("tpep_dropoff_datetime", F.expr("tpep_dropoff_datetime + interval 2 days"))
+    for part in (early, late):
+        write_messages(to_messages(part), MessageTarget(format="text", path=f"{tmp_dir}/topic/{len(os.listdir(tmp_dir))}"))
+        src = SI.StreamSource(format="text", path=f"{tmp_dir}/topic/*")
+        for q in SI.start_storage(SI.parse_stream(SI.read_trip_stream(spark, src)), f"{tmp_dir}/v", f"{tmp_dir}/e", f"{tmp_dir}/c", available_now=True):
+            q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_dir}/v")
+    want = split(early)[0].unionByName(split(late)[0])
+    assert got.count() == want.count() > 0
+    assert got.groupBy("year", "month", "day", "hour").count().exceptAll(want.groupBy("year", "month", "day", "hour").count()).count() == 0
+
+
 def test_decode_takes_fractions_and_blanks(spark):
     texts = ["2024-01-01T10:00:00", "2024-01-01T10:00:00.500", "2024-01-01 10:00:00", "nonsense"]
     rows = spark.createDataFrame([(f'{{"VendorID":1,"tpep_pickup_datetime":"{t}"}}',) for t in texts], "value string")
