@@ -1,8 +1,8 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote bad, good or nothing on each text. One of them knows
-word stems that a bounded sample of labelled documents ties to abuse, in
-whatever language. How often each pattern of votes occurs is counted over all
+words and word stems that a bounded sample of labelled documents ties to abuse,
+in whatever language. How often each pattern of votes occurs is counted over all
 documents; the patterns are few, so expectation-maximisation over their counts
 estimates the labellers' accuracies exactly as over the documents. The posteriors are soft labels for a
 linear scorer on hashed words, word beginnings and binned statistics, fitted with an L1 penalty
@@ -32,9 +32,10 @@ from cabline.llm.common import prepare
 SAMPLE = 10_000
 #: Labelled documents that the stems are mined from, about: a hash sample of the labels.
 LABELLED = 20_000
-#: Lengths of word beginnings. A stem is one that at least STEM_DOCS bad labelled documents and STEM_PART of them have,
-#: and that is in bad ones for STEM_SHARE of its documents and STEM_Z standard errors beyond chance; STEMS at most.
-BEGINNINGS, STEM_DOCS, STEM_PART, STEM_SHARE, STEM_Z, STEMS = (4, 5, 6, 7), 8, 0.02, 0.7, 8.0, 500
+#: Lengths of word beginnings. A stem is one, or a whole word, that at least STEM_DOCS bad labelled documents have and
+#: whose share of bad ones is STEM_SHARE at least, smoothed by STEM_PRIOR of the bad documents' number at the common
+#: share: more labels show more rare words that are bad by chance; STEMS at most.
+BEGINNINGS, STEM_DOCS, STEM_SHARE, STEM_PRIOR, STEMS = (4, 5, 6, 7), 3, 0.6, 0.01, 500
 #: Hash buckets of the scorer's features.
 BUCKETS = 1 << 18
 #: L1 penalty and steps of the fit; standard errors by which a feature must be associated with the labels to enter it.
@@ -99,8 +100,13 @@ def beginnings(word: str) -> list[str]:
     return [word[:n] for n in BEGINNINGS if len(word) >= n]
 
 
+def stems_of(word: str) -> list[str]:
+    """The possible stems of a word: the whole of it, which ends with $, and its beginnings."""
+    return [f"{word}$", *beginnings(word)]
+
+
 class StemWords(dict):
-    """Whether a word begins with a stem."""
+    """Whether a word is a stem or begins with one."""
 
     def __init__(self, stems: frozenset) -> None:
         self.stems = stems
@@ -108,7 +114,7 @@ class StemWords(dict):
     def __missing__(self, word: str) -> bool:
         if len(self) > WORD_STORE:
             self.clear()
-        self[word] = known = not self.stems.isdisjoint(beginnings(word))
+        self[word] = known = not self.stems.isdisjoint(stems_of(word))
         return known
 
 
@@ -148,21 +154,21 @@ def _patterns(stems: frozenset):
     return run
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(beginning, docs, bad) of a batch of (text, bad): documents that have it, and bad ones among them."""
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stem, docs, bad) of a batch of (text, bad): documents that have it, and bad ones among them."""
     for b in batches:
         docs, bad = Counter(), Counter()
         for text, label in zip(b.column(0), b.column(1).to_pylist()):
-            has = {x for w in set(WORD.findall(text.as_py().lower())) for x in beginnings(w)}
+            has = {x for w in set(WORD.findall(text.as_py().lower())) for x in stems_of(w)}
             docs.update(has)
             if label:
                 bad.update(has)
         # what no bad document of the batch has can still have one elsewhere, so all go on
-        yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([bad[x] for x in docs], pa.int64())], names=["beginning", "docs", "bad"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([bad[x] for x in docs], pa.int64())], names=["stem", "docs", "bad"])
 
 
 def mine_stems(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> frozenset:
-    """Word beginnings that ``labels`` (doc_id, toxic) ties to toxic documents.
+    """Words and word beginnings that ``labels`` (doc_id, toxic) ties to toxic documents.
 
     From about ``labelled`` labels, picked by the hash of the doc_id, so few
     enough to be broadcast; STEMS of the most frequent at most.
@@ -171,13 +177,13 @@ def mine_stems(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
     some = labels.select(labels["doc_id"].cast("long").alias("label_id"), (labels["toxic"] == 1).alias("bad")).where("label_id is not null and bad is not null")
     some = some.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)) < part).groupBy("label_id").agg(F.bool_or("bad").alias("bad"))
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), _text(docs).alias("text")).join(F.broadcast(some), F.col("id") == F.col("label_id")).select("text", "bad")
-    counts = texts.mapInArrow(_beginnings, "beginning string, docs long, bad long").groupBy("beginning").agg(F.sum("docs").alias("docs"), F.sum("bad").alias("bad"))
+    counts = texts.mapInArrow(_stems, "stem string, docs long, bad long").groupBy("stem").agg(F.sum("docs").alias("docs"), F.sum("bad").alias("bad"))
     n, n_bad = some.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
-    p = n_bad / max(1, n)
-    chance = F.col("docs") * p + STEM_Z * F.sqrt(F.col("docs") * p * (1 - p))
-    found = counts.where((F.col("bad") >= max(STEM_DOCS, STEM_PART * n_bad)) & (F.col("bad") >= STEM_SHARE * F.col("docs")) & (F.col("bad") >= chance))
-    found = found.orderBy(F.desc("bad"), "beginning").limit(STEMS)
-    return frozenset(r["beginning"] for r in found.collect())
+    prior = STEM_PRIOR * n_bad
+    share = (F.col("bad") + prior * n_bad / max(1, n)) / (F.col("docs") + prior)
+    found = counts.where((F.col("bad") >= STEM_DOCS) & (share >= STEM_SHARE))
+    found = found.orderBy(F.desc("bad"), "stem").limit(STEMS)
+    return frozenset(r["stem"] for r in found.collect())
 
 
 def expectation_maximisation(counts: dict[str, int], rounds: int = 200, least_right: float = LEAST_RIGHT) -> tuple[float, np.ndarray, dict[str, float]]:

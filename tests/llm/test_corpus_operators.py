@@ -300,8 +300,8 @@ def test_classifier_on_labels(spark):
     seen = F.xxhash64("doc_id", F.lit(1)) % 2 == 0
     held = labels.where(~seen).select("doc_id", F.col("quality").alias("label_quality"), F.col("toxic").alias("label_toxic"))
     got = quality.classify(clash(docs), labels.where(seen)).join(held, "doc_id").collect()
-    # the smaller tables have stems that ordinary words share, so some toxic texts can't be told
-    for task, least, bad in (("junk", 0.95, lambda x: x.label_quality == 0), ("toxic", 0.7, lambda x: x.label_toxic == 1)):
+    # the smaller tables have stems that ordinary words share, so whole words must tell
+    for task, least, bad in (("junk", 0.95, lambda x: x.label_quality == 0), ("toxic", 0.9, lambda x: x.label_toxic == 1)):
         yes = [x for x in got if x[task] >= quality.THRESHOLD]
         hit = sum(map(bad, yes))
         assert hit >= 0.95 * len(yes) and hit >= least * sum(map(bad, got)), (task, hit, len(yes), sum(map(bad, got)))
@@ -309,6 +309,19 @@ def test_classifier_on_labels(spark):
     assert sum(x.keep for x in clean) >= 0.99 * len(clean)
 
 
+def test_whole_words_are_mined(make):
+    """Words of few toxic labels, whose beginnings clean words share."""
+    word = lambda k: f"achlich{'abcdefgh'[k]}x"
+    rows = [(k, f"ein {word(k % 8)} und {word((k + 3) % 8)} wort{k}") for k in range(24)]
+    rows += [(k, f"ein achlicher text und achlichen wort{k}") for k in range(24, 240)]
+    df = make(rows)
+    labels = df.select("doc_id", (F.col("doc_id") < 24).cast("int").alias("toxic"))
+    stems = quality.mine_stems(df, labels)
+    known = quality.StemWords(stems)
+    assert all(known[word(k)] for k in range(8))
+    assert not any(known[x] for x in ("ein", "und", "achlicher", "achlichen", "text", "wort30"))
+
+
 def test_classifier_on_odd_rows(make, odd_rows):
     got = quality.classify(clash(make(odd_rows))).collect()
     assert Counter(x.doc_id for x in got) == Counter(i for i, _ in odd_rows)
