@@ -34,20 +34,27 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(normal(line)))
 
 
-def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, once: bool = False) -> DataFrame:
     """``pages`` (id, host, lines array<string>, ...) with ``kept``: the lines that aren't boilerplate, in order.
 
     A line counts once a page; lines that are empty once trimmed are kept and
     never counted. Each row is a page, repeated rows too; rows that share an id
     and host lose the same lines. A null host is a host, null lines are no
-    lines, a null id is one id. Further columns come along; none may be called
-    line, pages, n, dropped, hit_id or hit_host.
+    lines, a null id is one id. With ``once``, pages of a host with the same
+    lines count as one page, so copies don't make their own lines boilerplate;
+    all of them still lose what is. Further columns come along; none may be
+    called line, pages, n, dropped, hit_id, hit_host, page or shown.
     """
     pages = pages.withColumns({"host": F.coalesce("host", F.lit("")), "lines": F.coalesce("lines", F.array().cast("array<string>"))})
     shown = F.array_distinct(F.transform(F.filter("lines", lambda x: normal(x) != ""), _digest))
     seen = pages.select("id", "host", F.explode(shown).alias("line"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    often = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counted, totals = seen, pages
+    if once:
+        named = pages.select("host", F.unhex(F.md5(F.array_join("lines", "\n", ""))).alias("page"), shown.alias("shown"))
+        counted = named.groupBy("host", "page").agg(F.first("shown").alias("shown")).select("host", F.explode("shown").alias("line"))
+        totals = named.select("host", "page").distinct()
+    totals = totals.groupBy("host").agg(F.count("*").alias("pages"))
+    often = counted.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     common = often.join(totals, "host").where(F.col("n") / F.col("pages") > max_ratio).select("host", "line")
     hits = seen.join(common, ["host", "line"]).groupBy("id", "host").agg(F.collect_set("line").alias("dropped"))
     hits = hits.select(F.col("id").alias("hit_id"), F.col("host").alias("hit_host"), "dropped")

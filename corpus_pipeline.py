@@ -21,9 +21,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def site_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go from the text; n_chars follows. Null texts stay null."""
+    """Lines that are boilerplate of their source go from the text; n_chars follows. Null texts stay null. Copies in a source count as one page."""
     pages = docs.select(docs["doc_id"].alias("id"), docs["source"].cast("string").alias("host"), F.split("text", "\n").alias("lines"), F.struct(*docs.columns).alias("row"))
-    out = line_dedup.drop_boilerplate(pages)
+    out = line_dedup.drop_boilerplate(pages, once=True)
     text = F.when(F.col("row.text").isNotNull(), F.array_join("kept", "\n"))
     new = {"text": text, "n_chars": F.coalesce(F.char_length(text), F.col("row.n_chars")).cast("long")}
     return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

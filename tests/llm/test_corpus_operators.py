@@ -364,6 +364,19 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF_SMALL).count() >= len(before)
 
 
+def test_pipeline_keeps_one_of_many_copies(make, spark):
+    """A third of the rows are copies; their lines aren't boilerplate, a line of all pages is."""
+    import corpus_pipeline
+
+    own = lambda k: "\n".join(" ".join(f"w{k}x{j}y{i}" for i in range(8)) for j in range(3))
+    rows = [(k, f"Home page\n{own(0 if k % 9 < 3 else k)}") for k in range(90)]
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["line_dedup"](spark, make(rows), SF_SMALL)
+    assert {r.doc_id: r.text for r in out.collect()} == {k: t.split("\n", 1)[1] for k, t in rows}
+    left = stages["ngram_jaccard_join"](spark, out, SF_SMALL).collect()
+    assert [r.doc_id for r in left if r.text == own(0)] == [0] and len(left) == 61
+
+
 def test_pipeline_of_odd_rows(make, spark, odd_rows):
     import corpus_pipeline
 
