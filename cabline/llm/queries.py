@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cabline.llm import decontaminate, hamming, jaccard, line_dedup, packing, quality, repeats, secrets, sharding, token_counts
+from cabline.llm import collocations, decontaminate, filter_audit, hamming, jaccard, line_dedup, mixing, packing, quality, repeats, secrets, sharding, token_counts
 from cabline.llm.common import documents
 
 
@@ -55,6 +55,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), shards=40)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(documents(spark, sf_dir), least=10, top=2000, cover=50)
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,7 +80,16 @@ QUERIES = {
         op8_hamming_search,
         op9_line_dedup,
         op10_sharding,
+        op11_phrase_collocations,
+        op12_source_mixing,
+        op13_filter_audit,
     )
 }
 
-ORACLE = {"op8_hamming_search": hamming.SEARCH_SQL, "op9_line_dedup": line_dedup.PAGES_SQL}
+ORACLE = {
+    "op8_hamming_search": hamming.SEARCH_SQL,
+    "op9_line_dedup": line_dedup.PAGES_SQL,
+    "op11_phrase_collocations": collocations.PHRASES_SQL,
+    "op12_source_mixing": mixing.MIX_SQL,
+    "op13_filter_audit": filter_audit.AUDIT_SQL,
+}
