@@ -392,13 +392,13 @@ PHRASES_SQL = rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
 g AS (SELECT lang, size, list_slice(w, i, i + size - 1) AS g FROM (SELECT lang, w, size, unnest(range(1, CAST(len(w) AS BIGINT) - size + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS size))),
-f AS (SELECT lang, size, array_to_string(g, ' ') AS phrase, g, count(*) AS f FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, size, array_to_string(g, ' ') AS phrase, g, count(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
 c AS (SELECT * FROM f WHERE size > 1 AND f >= {LEAST}),
-k AS (SELECT c.lang, c.size, c.phrase, c.g, c.f AS a, k, l.f AS l, r.f AS r, 1000000 * c.f::HUGEINT * c.f::HUGEINT // (l.f::HUGEINT * r.f::HUGEINT) AS score
-  FROM c JOIN (SELECT unnest([1, 2]) AS k) ON k < c.size
-  JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(list_slice(c.g, 1, k), ' ')
-  JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(list_slice(c.g, k + 1, c.size), ' ')),
+q AS MATERIALIZED (SELECT lang, size, phrase, g, f, k, array_to_string(list_slice(g, 1, k), ' ') AS x, array_to_string(list_slice(g, k + 1, size), ' ') AS y
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+k AS (SELECT q.lang, q.size, q.phrase, q.g, q.f AS a, k, l.f AS l, r.f AS r, 1000000 * q.f::HUGEINT * q.f::HUGEINT // (l.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM q JOIN f l ON l.lang = q.lang AND l.phrase = q.x JOIN f r ON r.lang = q.lang AND r.phrase = q.y),
 b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 o AS (SELECT lang, within, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(g[1:2], ' '), array_to_string(g[2:3], ' ')]) AS within FROM c WHERE size = 3) GROUP BY ALL),
 s AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.within = b.phrase AND b.size = 2 WHERE longer IS NULL OR 100 * longer < {COVER} * a)

@@ -181,7 +181,7 @@ def _steps() -> str:
 def order_report(counts: DataFrame) -> DataFrame:
     """Every part, order and step with its counts, from ``mask_counts``' rows."""
     parts = counts.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("masks"))  # 32 at most
-    rows = parts.select("part", "masks", F.split(F.explode(F.split(F.lit(_steps()), ",")), ":").alias("s"))
+    rows = parts.select("part", "masks", F.explode(F.split(F.lit(_steps()), ",")).alias("s")).withColumn("s", F.split("s", ":"))
     rows = rows.select("part", "masks", F.col("s")[0].alias("filter_order"), F.col("s")[1].cast("int").alias("step"), F.col("s")[2].cast("int").alias("bit"), F.col("s")[3].cast("int").alias("before"))
 
     def total(which, value=lambda x: x["n"]) -> Column:
