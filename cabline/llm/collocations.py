@@ -293,7 +293,7 @@ def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequent_bits(words: DataFrame) -> bytes:
     """The bits of ``words`` (lang, word), Bits.SIZE / 8 bytes whatever their number."""
-    one = F.shiftleft(F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
     cells = words.select("lang", "word").mapInArrow(_bit_rows, "at long").groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(one).alias("x"))
     out = np.zeros(Bits.SIZE // 64, np.uint64)
     for r in cells.toLocalIterator():  # Bits.SIZE / 64 rows at most
