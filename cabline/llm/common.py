@@ -16,6 +16,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 ARROW_BATCH_BYTES = 8 << 20
 
 
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and bound their batches by bytes."""
     env = spark.sparkContext.environment
@@ -28,11 +32,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back: the lineage ends here.
 
     The files are on shared storage, so a lost executor costs no recomputation
-    of what came before.
+    of what came before, and the shuffles behind them are removed at once
+    instead of when the driver happens to collect its garbage.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

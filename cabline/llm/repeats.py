@@ -9,8 +9,8 @@ compared. Spark's sort is the disk-backed priority queue.
 
 In detail: each window of ``length`` bytes has one anchor, its least k-byte
 string by hash, so equal windows have equal anchors at equal offsets. Windows
-in a row with the same anchor form a segment; its name is 64 bits, half from
-the anchor and half from all bytes that its windows cover. Segments are dealt
+in a row with the same anchor form a segment; its name is a 64-bit hash of all bytes
+that its windows cover, beside 32 bits of its anchor. Segments are dealt
 by anchor and sorted by name:
 
 1. equal names: the windows of every document but the smallest are repeats;
@@ -20,10 +20,15 @@ by anchor and sorted by name:
    documents are hashed one by one and dealt by that hash;
 3. an anchor with one name has no more to tell.
 
+A frequent anchor, as a sample of documents tells, is dealt in parts by name,
+so it is no hot task: equal names still meet, and differing ones are taken to
+be there.
+
 A batch of documents sends a name once, with its smallest document, and keeps
 the spans that this settles, so a name in very many documents is as many rows
-as there are batches. Names are compared, not bytes: of n segments about
-n * n / 2**65 pairs are taken for equal wrongly.
+as there are batches. Names are compared, not bytes: of m segments that share
+their anchor about m * m / 2**65 pairs are taken for equal wrongly, and of n
+single windows of the second step n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -43,10 +48,12 @@ CHUNK = 1 << 20
 
 #: Bands of offsets of the anchor in its window; each has 8 bits in ``near``.
 BANDS = 4
-#: place: first window times SPAN, plus STEP times the first window's offset of the anchor, plus the number of
-#: windows; for spans that the batch has settled, minus first window times SPAN plus number of windows.
-SEGMENTS = "name long, doc long, place long, near int"
-SPAN, STEP = 1 << 24, 1 << 12
+#: place: first window times SPAN, plus HOT if the anchor is a frequent one, plus STEP times the first window's offset of
+#: the anchor, plus the number of windows; for spans that the batch has settled, minus first window times SPAN plus number of windows.
+SEGMENTS = "name long, anchor int, doc long, place long, near int"
+SPAN, HOT, STEP = 1 << 24, 1 << 23, 1 << 12
+#: Documents, about, that tell the frequent anchors: those in so large a share of them. Their segments are dealt in as many parts.
+SAMPLE, FREQUENT, PARTS = 2_000, 0.02, 256
 _A = 0xD1342543DE82EF95
 _A_INV = pow(_A, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
@@ -89,10 +96,10 @@ def bands(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def segments(h: Hasher, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(name, document, first window, windows, offset, near) of the loaded chunk, whose documents lie from starts to ends."""
+    """(name, anchor, document, first window, windows, offset, near) of the loaded chunk, whose documents lie from starts to ends."""
     n = len(h.sums) - 1
     if n < length:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * 5)
     gram = h.every(k)
     width = length - k + 1
     low = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)  # the least hash, the first of equals
@@ -110,14 +117,14 @@ def segments(h: Hasher, starts: np.ndarray, ends: np.ndarray, length: int, k: in
     windows = np.diff(np.r_[first, len(anchor)])
     ok = inside[first]
     first, windows = first[ok], windows[ok]
-    top = mix(gram[anchor[first]] + np.uint64(1)) & np.uint64(0xFFFFFFFF00000000)
-    name = top | (h.some(first, first + windows - 1 + length) >> np.uint64(32))
+    top = (mix(gram[anchor[first]] + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+    name = h.some(first, first + windows - 1 + length)
     at, a = doc[first], anchor[first]
     near = np.zeros(len(a), np.int64)
     for j, (lo, hi) in enumerate(bands(length, k)):
         around = h.some(np.maximum(0, a - lo), np.minimum(n, a + max(k, length - hi)))
         near |= (around & np.uint64(255)).astype(np.int64) << 8 * j
-    return name, at, first - starts[at], windows, a - first, near
+    return name, top, at, first - starts[at], windows, a - first, near
 
 
 def _chunks(docs: list, texts: pa.Array, reach: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -141,11 +148,11 @@ def _chunks(docs: list, texts: pa.Array, reach: int) -> Iterator[tuple[bytes, np
         yield done()
 
 
-def smallest(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by name, then doc; whether each is the first of its name, and whether its doc is the name's smallest."""
-    order = np.lexsort((doc, name))
-    n, d = name[order], doc[order]
-    head = np.r_[True, n[1:] != n[:-1]] if len(n) else np.zeros(0, bool)
+def smallest(name: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by name, then doc, and whether the doc of each isn't the name's smallest."""
+    order = np.lexsort((doc, anchor, name))
+    n, a, d = name[order], anchor[order], doc[order]
+    head = np.r_[True, (n[1:] != n[:-1]) | (a[1:] != a[:-1])] if len(n) else np.zeros(0, bool)
     least = d[head][np.cumsum(head) - 1] if len(n) else d
     return order, d > least
 
@@ -162,8 +169,9 @@ def _spans(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.
     return doc[head], start[head], top[np.r_[head[1:] - 1, len(doc) - 1]] - start[head]
 
 
-def _rows(name: np.ndarray, doc: np.ndarray, place: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(doc), pa.array(place), pa.array(near.astype(np.uint32).view(np.int32))], names=["name", "doc", "place", "near"])
+def _rows(name: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    short = [pa.array(x.astype(np.uint32).view(np.int32)) for x in (anchor, near)]
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), short[0], pa.array(doc), pa.array(place), short[1]], names=["name", "anchor", "doc", "place", "near"])
 
 
 def _unpack(part: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,30 +180,59 @@ def _unpack(part: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return p // SPAN, p % SPAN
 
 
-def _combine(name, doc, start, windows, offset, near) -> Iterator[pa.RecordBatch]:
+def _anchors(length: int, k: int):
+    """(anchor, docs): documents of the batch that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = Hasher()
+        for b in batches:
+            for raw, starts, ends, ids, _ in _chunks(b.column(0).to_pylist(), b.column(1), length - 1):
+                h.load(raw)
+                _, anchor, at, *_ = segments(h, starts, ends, length, k)
+                pairs = np.unique(anchor.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64))
+                anchor, docs = np.unique(pairs >> np.uint64(32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(docs)], names=["anchor", "docs"])
+
+    return run
+
+
+def frequent_anchors(texts: DataFrame, length: int, k: int) -> np.ndarray:
+    """Anchors in a share of FREQUENT of about SAMPLE documents: at most as many as 1 / FREQUENT documents have."""
+    part = int(min(1.0, SAMPLE / max(1, texts.count())) * (1 << 40))
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < part)
+    least = max(20.0, FREQUENT * some.count())
+    counted = some.mapInArrow(_anchors(length, k), "anchor long, docs long").groupBy("anchor").agg(F.sum("docs").alias("docs"))
+    return np.array([r["anchor"] for r in counted.where(F.col("docs") >= least).collect()], np.uint32)
+
+
+def _combine(name, anchor, doc, start, windows, offset, near, hot) -> Iterator[pa.RecordBatch]:
     """What a batch sends: per name and smallest document one row for each place, and the spans it settles itself."""
-    order, other = smallest(name, doc)
+    order, other = smallest(name, anchor, doc)
     # a document that has the name more than once must learn of each place; in the order of the texts, rows compress well
     mine, other = np.sort(order[~other]), order[other]
-    yield _rows(name[mine], doc[mine], start[mine] * SPAN + offset[mine] * STEP + windows[mine], near[mine])
+    frequent = np.isin(anchor, hot)
+    anchor = anchor.astype(np.uint64)
+    anchor = np.where(frequent, mix(anchor + name % np.uint64(PARTS)) >> np.uint64(32), anchor)
+    yield _rows(name[mine], anchor[mine], doc[mine], start[mine] * SPAN + frequent[mine] * HOT + offset[mine] * STEP + windows[mine], near[mine])
     d, s, w = _spans(doc[other], start[other], windows[other])
     parts = -(-w // (SPAN - 1))
     part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     d, s, w = d.repeat(parts), s.repeat(parts) + part * (SPAN - 1), np.minimum(w.repeat(parts) - part * (SPAN - 1), SPAN - 1)
-    yield _rows(mix(d.view(np.uint64) ^ s.view(np.uint64) << np.uint64(20)), d, -(s * SPAN + w), np.zeros(len(d), np.int64))
+    spread = mix(d.view(np.uint64) ^ s.view(np.uint64) << np.uint64(20))
+    yield _rows(spread, spread >> np.uint64(32), d, -(s * SPAN + w), np.zeros(len(d), np.int64))
 
 
-def _segments(length: int, k: int):
+def _segments(length: int, k: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
         for b in batches:
             got = []
             for raw, starts, ends, ids, offsets in _chunks(b.column(0).to_pylist(), b.column(1), length - 1):
                 h.load(raw)
-                name, at, first, *rest = segments(h, starts, ends, length, k)
-                got.append((name, ids[at], first + offsets[at], *rest))
+                name, anchor, at, first, *rest = segments(h, starts, ends, length, k)
+                got.append((name, anchor, ids[at], first + offsets[at], *rest))
             if got:
-                yield from _combine(*(np.concatenate(x) for x in zip(*got)))
+                yield from _combine(*(np.concatenate(x) for x in zip(*got)), hot)
 
     return run
 
@@ -222,9 +259,9 @@ def _windows(length: int):
                     at = np.repeat(s[i:j] - np.r_[0, np.cumsum(w[i:j])[:-1]], w[i:j]) + np.arange(w[i:j].sum())
                     at = np.unique(at[at + length <= len(raw)])
                     zero = np.zeros(len(at), np.int64)
-                    got.append((h.some(at - base, at - base + length), zero + doc, at, zero + 1, zero, zero))
+                    got.append((h.some(at - base, at - base + length), zero, zero + doc, at, zero + 1, zero, zero))
             if got:
-                yield from _combine(*(np.concatenate(x) for x in zip(*got)))
+                yield from _combine(*(np.concatenate(x) for x in zip(*got)), np.zeros(0, np.uint32))
 
     return run
 
@@ -275,17 +312,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """
     prepare(docs.sparkSession)
     texts = id_text(docs)
-    settled, anchor = F.col("place") < 0, F.shiftright("name", 32)
-    cut = texts.where("doc_id is not null").mapInArrow(_segments(length, k), SEGMENTS).repartition(settled, anchor)
-    cut = cut.select(settled.alias("settled"), anchor.alias("anchor"), "name", "doc", "place", "near")
+    settled = F.col("place") < 0
+    cut = texts.where("doc_id is not null").mapInArrow(_segments(length, k, frequent_anchors(texts.where("doc_id is not null"), length, k)), SEGMENTS).repartition(settled, "anchor")
+    cut = cut.select(settled.alias("settled"), "anchor", "name", "doc", "place", "near")
     by_anchor = Window.partitionBy("settled", "anchor")
     cut = cut.withColumn("least", F.min("doc").over(Window.partitionBy("settled", "anchor", "name")))
     cut = cut.withColumn("lowest", F.min("name").over(by_anchor)).withColumn("highest", F.max("name").over(by_anchor))
     known = F.col("settled") | (F.col("doc") > F.col("least"))
-    cut = cut.where(known | (F.col("lowest") != F.col("highest")))
+    hot = F.col("place").bitwiseAND(HOT) != 0  # dealt by part of the name, so its names differ elsewhere
+    cut = cut.where(known | hot | (F.col("lowest") != F.col("highest")))
 
     # the windows of each band, where they go on; all of a settled span or known segment in one
-    start, offset, windows = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(4095), F.col("place").bitwiseAND(4095)
+    start, offset, windows = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(2047), F.col("place").bitwiseAND(4095)
     parts = [F.struct(F.lit(-1).alias("band"), F.lit(0).alias("around"), F.when(F.col("settled"), -F.col("place")).otherwise(start * SPAN + windows).alias("part"), F.lit(1).cast("long").alias("n"))]
     bits = []
     for j, (lo, hi) in enumerate(bands(length, k)):
@@ -293,10 +331,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
         around = F.shiftright("near", 8 * j).bitwiseAND(255)
         bits.append(F.struct(F.lit(j).alias("band"), around.alias("around"), ((start + offset - top) * SPAN + top - low + 1).alias("part"), (top - low + 1).alias("n")))
     part = F.explode(F.when(known, F.array(*parts)).otherwise(F.filter(F.array(*bits), lambda x: x["n"] > 0)))
-    cut = cut.select("settled", "anchor", "name", "doc", part.alias("p")).select("settled", "anchor", "name", "doc", "p.band", "p.around", "p.part")
+    cut = cut.select("settled", "anchor", "name", "doc", hot.alias("hot"), part.alias("p")).select("settled", "anchor", "name", "doc", "hot", "p.band", "p.around", "p.part")
     alike = Window.partitionBy("settled", "anchor", "band", "around")
     cut = cut.withColumn("lowest", F.min("name").over(alike)).withColumn("highest", F.max("name").over(alike))
-    is_known, open_ = F.col("band") < 0, (F.col("band") >= 0) & (F.col("lowest") != F.col("highest"))
+    is_known, open_ = F.col("band") < 0, (F.col("band") >= 0) & (F.col("hot") | (F.col("lowest") != F.col("highest")))
     per_doc = cut.where(is_known | open_).groupBy("doc").agg(F.collect_list(F.when(is_known, F.col("part"))).alias("known"), F.collect_list(F.when(open_, F.col("part"))).alias("open"))
     per_doc = stored(per_doc, "repeats-segments")
 
