@@ -26,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cabline.llm.common import prepare
+from cabline.llm.common import prepare, stored
 
-#: Documents that the scorer is fitted on, about: a hash sample; all if there are fewer.
+#: Distinct texts that the scorer is fitted on, about: a hash sample, each weighed by its copies; all if there are fewer.
 SAMPLE = 10_000
 #: Labelled documents that the stems are mined from, about: a hash sample of the labels.
 LABELLED = 20_000
 #: Lengths of word beginnings. A stem is one, or a whole word, that at least STEM_DOCS bad labelled documents have and
 #: whose share of bad ones is STEM_SHARE at least, smoothed by STEM_PRIOR of the bad documents' number at the common
-#: share: more labels show more rare words that are bad by chance; STEMS at most.
-BEGINNINGS, STEM_DOCS, STEM_SHARE, STEM_PRIOR, STEMS = (4, 5, 6, 7), 3, 0.6, 0.01, 500
+#: share: more labels show more rare words that are bad by chance.
+BEGINNINGS, STEM_DOCS, STEM_SHARE, STEM_PRIOR = (4, 5, 6, 7), 3, 0.6, 0.01
 #: Hash buckets of the scorer's features.
 BUCKETS = 1 << 18
 #: L1 penalty and steps of the fit; standard errors by which a feature must be associated with the labels to enter it.
@@ -59,6 +59,7 @@ WORD = re.compile(r"\w+")
 ABUSE = re.compile(r"\b(?:" + "|".join(WORDS_OF_ABUSE) + r")\b")
 
 GOOD, BAD, NONE = 0, 1, 2
+EXAMPLES = "weight double, junk double, toxic double, x array<int>"
 
 
 def _grade(value: float, good: float, bad: float) -> int:
@@ -171,7 +172,7 @@ def mine_stems(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
     """Words and word beginnings that ``labels`` (doc_id, toxic) ties to toxic documents.
 
     From about ``labelled`` labels, picked by the hash of the doc_id, so few
-    enough to be broadcast; STEMS of the most frequent at most.
+    enough to be broadcast; the sample also bounds the number of stems.
     """
     part = int(min(1.0, labelled / max(1, labels.count())) * (1 << 40))
     some = labels.select(labels["doc_id"].cast("long").alias("label_id"), (labels["toxic"] == 1).alias("bad")).where("label_id is not null and bad is not null")
@@ -182,7 +183,6 @@ def mine_stems(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
     prior = STEM_PRIOR * n_bad
     share = (F.col("bad") + prior * n_bad / max(1, n)) / (F.col("docs") + prior)
     found = counts.where((F.col("bad") >= STEM_DOCS) & (share >= STEM_SHARE))
-    found = found.orderBy(F.desc("bad"), "stem").limit(STEMS)
     return frozenset(r["stem"] for r in found.collect())
 
 
@@ -231,42 +231,90 @@ def features(text: str, store: Buckets) -> np.ndarray:
     return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _features(texts: pd.Series) -> pd.Series:
-    store = Buckets()
-    return texts.map(lambda x: features(x, store).astype(np.int32))
+def _examples(stems: frozenset, posterior: list[dict[str, float]]):
+    """(weight, junk, toxic, x) of (text, weight): the posterior labels and the features."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, known = Buckets(), StemWords(stems)
+        for b in batches:
+            found, target = [], []
+            for text in b.column(0):
+                text = text.as_py()
+                target.append([p["".join(map(str, v))] for p, v in zip(posterior, votes(text, known))])
+                found.append(features(text, store).astype(np.int32))
+            ends = np.cumsum([0, *map(len, found)])
+            x = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+            target = np.array(target, float).reshape(-1, len(TASKS))
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(target[:, k]) for k in range(len(TASKS))), x], names=["weight", *TASKS, "x"])
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    return run
+
+
+def _only(kept: np.ndarray):
+    """The places in the sorted ``kept`` of those features that are among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x")
+            flat = x.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(kept, flat), max(0, len(kept) - 1))
+            has = kept[at] == flat if len(kept) else np.zeros(len(flat), bool)
+            ends = np.r_[0, np.cumsum(has)][np.r_[0, np.cumsum(x.value_lengths().to_numpy())]]
+            yield pa.RecordBatch.from_arrays([b.column("weight"), *(b.column(t) for t in TASKS), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[has].astype(np.int32)))], names=["weight", *TASKS, "x"])
+
+    return run
+
+
+def associated(examples: DataFrame, task: str) -> DataFrame:
+    """(bucket) of the features whose share of ``task`` differs from all examples' by LEAST_Z standard errors.
+
+    ``examples``: weight, junk, toxic, x. The others would only carry noise.
+    """
+    w, mean, square = examples.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in (F.col("weight"), F.col("weight") * F.col(task), F.col("weight") * F.col(task) * F.col(task)))).first()
+    if not w:
+        return examples.select(F.explode("x").alias("bucket")).limit(0)
+    mean, spread = mean / w, max(0.0, square / w - (mean / w) ** 2)
+    counts = examples.select("weight", (F.col("weight") * (F.col(task) - mean)).alias("shift"), F.explode("x").alias("bucket"))
+    counts = counts.groupBy("bucket").agg((F.sum("weight") / w).alias("share"), (F.sum("shift") / w).alias("shift"), F.count("*").alias("n"))
+    error = F.sqrt(F.col("share") * (1 - F.col("share")) * (spread / w)) + 1e-12
+    return counts.where(F.abs("shift") > LEAST_Z * error).select("bucket")
+
+
+def fit_linear(at: np.ndarray, size: np.ndarray, n_features: int, target: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic scorer on 0/1 features by accelerated proximal gradient.
 
-    Features without a clear association with the labels are left out first:
-    they would only carry noise, and without them the steps can be long.
+    ``at``: the features of one example after the other, ``size`` of them each;
+    an example counts ``weight`` times. Minimises the mean logistic loss plus
+    ``penalty`` times the sum of the absolute weights.
     """
-    w, bias = np.zeros(BUCKETS), 0.0
-    if not rows:
-        return w, bias
-    at, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    share = np.bincount(at, minlength=BUCKETS) / len(rows)
-    shift = np.bincount(at, weights=(target - target.mean())[row], minlength=BUCKETS) / len(rows)
-    error = np.sqrt(share * (1 - share) * target.var() / len(rows)) + 1e-12
-    clear = (np.abs(shift) > LEAST_Z * error) & (share > 0)
-    row, at = row[clear[at]], at[clear[at]]
-    used, at = np.unique(at, return_inverse=True)
-    x, x0, b0, t = np.zeros(len(used)), np.zeros(len(used)), 0.0, 1.0
+    n, bias, x, x0, b0, t = len(size), 0.0, np.zeros(n_features), np.zeros(n_features), 0.0, 1.0
+    if not n:
+        return x, bias
+    row, part = np.repeat(np.arange(n, dtype=np.int32), size), weight / weight.sum()
     y, c = x, bias
     # a feature of few documents bends the loss little: each has its own step length
-    size = np.bincount(row, minlength=len(rows)) + 1
-    width, width0 = np.bincount(at, weights=size[row], minlength=len(used)) / len(rows) / 4, size.mean() / 4
+    width = np.bincount(at, weights=((size + 1) * part)[row], minlength=n_features) / 4 + 1e-300
+    width0 = ((size + 1) * part).sum() / 4
     for _ in range(steps):
-        score = np.bincount(row, weights=y[at], minlength=len(rows)) + c
-        error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - target) / len(rows)
-        x0, b0, x, bias = x, bias, y - np.bincount(at, weights=error[row], minlength=len(used)) / width, c - error.sum() / width0
+        score = np.bincount(row, weights=y[at], minlength=n) + c
+        error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - target) * part
+        x0, b0, x, bias = x, bias, y - np.bincount(at, weights=error[row], minlength=n_features) / width, c - error.sum() / width0
         x = np.sign(x) * np.maximum(0, np.abs(x) - penalty / width)
         t0, t = t, (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, c = x + (t0 - 1) / t * (x - x0), bias + (t0 - 1) / t * (bias - b0)
-    w[used] = x
-    return w, float(bias)
+    return x, float(bias)
+
+
+def fit_scorer(examples: DataFrame, task: str) -> tuple[np.ndarray, float]:
+    """(weights of all buckets, bias) for ``task``. Only associated features come to the driver, as numbers in one Arrow table."""
+    kept = np.sort(np.array([r["bucket"] for r in associated(examples, task).collect()], np.int32))
+    table = examples.mapInArrow(_only(kept), EXAMPLES).select("weight", task, "x").toArrow().combine_chunks()
+    lists = table.column("x").combine_chunks()
+    at = lists.flatten().to_numpy() if table.num_rows else np.zeros(0, np.int32)
+    size = lists.value_lengths().to_numpy() if table.num_rows else np.zeros(0, np.int32)
+    weights = np.zeros(BUCKETS)
+    weights[kept], bias = fit_linear(at, size, len(kept), table.column(task).to_numpy(), table.column("weight").to_numpy())
+    return weights, bias
 
 
 class Model:
@@ -301,8 +349,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
 
     ``labels`` (doc_id, toxic) of some of them give the stems (see
     ``mine_stems``); without labels that labeller is silent. To the driver come
-    the stems, the patterns, 3**7 and 3**4 at most, and the features of about
-    ``sample`` documents, picked by the hash of their text.
+    the stems, the patterns, 3**7 and 3**4 at most, and those features of
+    about ``sample`` distinct texts, picked by their hash, that are associated
+    with the posterior labels. However many copies a text has, it is one row.
     """
     prepare(docs.sparkSession)
     stems = mine_stems(docs, labels) if labels is not None else frozenset()
@@ -319,13 +368,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
         posterior.append(p)
     total = sum(r["count"] for r in counted)
     part = int(min(1.0, sample / max(1, total)) * (1 << 40))
-    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < part).select(patterns("text").alias("p"), _features("text").alias("x"))
-    rows, target = [], []
-    for r in picked.toLocalIterator():
-        rows.append(np.array(r["x"], np.int32))
-        target.append([posterior[k][r["p"][k]] for k in range(len(TASKS))])
-    target = np.array(target).reshape(-1, len(TASKS))
-    fitted = [fit_linear(rows, target[:, k]) for k in range(len(TASKS))]
+    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < part).groupBy("text").agg(F.count("*").cast("double").alias("weight"))
+    examples = stored(picked.mapInArrow(_examples(stems, posterior), EXAMPLES), "examples")
+    fitted = [fit_scorer(examples, t) for t in TASKS]
     return Model(np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]), labellers, stems)
 
 
