@@ -16,8 +16,8 @@ from cabline.llm.common import stored
 
 #: A line goes if over this share of its host's pages has it ...
 MAX_RATIO = 0.1
-#: ... and as many pages at least; hosts of few pages say nothing.
-MIN_PAGES = 5
+#: ... and as many pages at least: what stands on one page repeats nothing, however few pages the host has.
+MIN_PAGES = 2
 
 # FIXED VALUES: markup that isn't shown, and tags that end a line.
 HIDDEN = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->"
