@@ -29,6 +29,8 @@ from cabline.llm.common import prepare, stored
 
 #: Occurrences of a candidate at least; phrases returned for each language; share of a phrase, in hundredths, that a longer one must have.
 LEAST, TOP, COVER = 10, 2000, 50
+#: Parts of a language that are ranked by themselves.
+PARTS = 64
 #: Words with ids at most, and bytes of the longest of them: what is sent to the tasks is bounded by their product.
 VOCABULARY, LONGEST = 1 << 20, 64
 #: Phrases that a task holds before it sends a filter; phrases of a range on average; ranges at most.
@@ -383,8 +385,11 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int
     short = short.join(within.withColumnRenamed("within", "phrase"), ["lang", "phrase"], "left")
     short = short.where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * cover)).drop("longer")
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = short.unionByName(long).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each of PARTS parts of a language first, so none is ranked whole in one task
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    parted = short.unionByName(long).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    best = parted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
