@@ -174,6 +174,47 @@ def test_repeats_documents(documents):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows)
 
 
+def test_names_around_one_string():
+    """300,000 segments that share their anchor have 300,000 names."""
+    r = np.random.default_rng(8)
+    h = repeats.Hasher()
+    raw = r.integers(97, 123, 200_000, np.uint8).tobytes()
+    h.load(raw)
+    at = int(np.argmin(h.every(16)))
+    anchor = raw[at : at + 16]  # a string that is the anchor wherever it stands
+    n, seen = 0, []
+    for _ in range(6):
+        around = r.integers(97, 123, (50_000, 2, 34), np.uint8)
+        parts = [a.tobytes() + anchor + b.tobytes() for a, b in around]
+        h.load(b"".join(parts))
+        starts = np.arange(len(parts)) * 84
+        name, top, doc, first, windows, offset, _ = repeats.segments(h, starts, starts + 84, 50, 16)
+        mine = (first <= 34) & (first + offset == 34)
+        assert len(np.unique(top[mine])) == 1 and mine.sum() >= 49_900
+        n += int(mine.sum())
+        seen.append(name[mine])
+    assert len(np.unique(np.concatenate(seen))) == n >= 299_000
+
+
+def test_frequent_anchors_are_dealt_in_parts(make, monkeypatch):
+    """A string of all documents with differing surroundings: the same result, from several parts."""
+    r = random.Random(12)
+    line = "the one line of all documents, which is longer than fifty bytes"
+    rows = [(k, "".join(r.choice("abcdefgh ") for _ in range(60)) + line[: r.randrange(30, 64)] + "".join(r.choice("abcdefgh ") for _ in range(60))) for k in range(150)]
+    docs = make(rows)
+    texts = docs.select("doc_id", "text")
+    assert len(repeats.frequent_anchors(texts, 50, 16)) > 0
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(repeats.remove_repeats(docs)).collect()}
+    assert got == brute_repeats(rows)
+    monkeypatch.setattr(repeats, "FREQUENT", 2.0)
+    assert got == {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(repeats.remove_repeats(docs)).collect()}
+
+
+def test_empty_tables(make):
+    assert jaccard.near_duplicates(make([]), size=4, num=85, den=100).collect() == []
+    assert repeats.repeat_digest(repeats.remove_repeats(make([]))).collect() == []
+
+
 def brute_tiles(doc, item, least):
     """Greedy string tiling by its definition."""
     d, t, out = [False] * len(doc), [False] * len(item), []
@@ -198,10 +239,10 @@ def test_tiling(seed):
     r = random.Random(seed)
     item = [r.choice("abcdef") for _ in range(24)]
     doc = [r.choice("abcdef") for _ in range(20)] + item[12:] + ["x"] + item[:12] + [r.choice("abc") for _ in range(10)]
-    items = decontaminate.Items([(5, item)])
-    want = brute_tiles(doc, item, decontaminate.SEED)
-    found = items.leaks(" ".join(doc), 0.0)
-    assert found == [(5, 24, sum(n for *_, n in want), len(want), max(n for *_, n in want))]
+    n = decontaminate.SEED
+    hits = [(a, b) for a in range(len(doc) - n + 1) for b in range(len(item) - n + 1) if doc[a : a + n] == item[b : b + n]]
+    at, to = np.array(hits).reshape(-1, 2).T
+    assert sorted(decontaminate.tile(at, to, len(doc), len(item))) == sorted(brute_tiles(doc, item, n))
 
 
 def test_leaks(make, spark):
@@ -229,13 +270,29 @@ def test_leaks(make, spark):
     assert decontaminate.find_leaks(make(rows), bench.limit(0)).collect() == []
 
 
-def test_leaks_in_blocks(make, spark, monkeypatch):
+def test_leaks_whatever_the_bits_rule_out(spark):
     bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     whole = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
-    assert len(list(decontaminate._blocks(bench))) > 3
-    assert sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == whole and whole
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, bench, most_bits=64).collect())) == whole and whole
+
+
+def test_leaks_of_short_and_long_items(make, spark):
+    r = random.Random(6)
+    long = [f"w{r.randrange(5000)}" for _ in range(70_000)]
+    items = [(1, "three odd words"), (2, "unique1"), (3, " ".join(long)), (4, "他们在公园里散步看花"), (5, "three odd words"), (6, "...")]
+    rows = [
+        (10, "here are Three odd, words."),
+        (11, "odd three words unique"),
+        (12, "unique1"),
+        (13, " ".join(long[30_000:] + ["cut"] + long[:15_000])),  # over 0.6 of it
+        (14, " ".join(long[:30_000])),
+        (15, "昨天他们在公园里散步看花了"),
+        (16, "他们在家"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.n_words, x.n_covered) for x in decontaminate.find_leaks(make(rows), bench).collect())
+    assert got == [(10, 1, 3, 3), (10, 5, 3, 3), (12, 2, 1, 1), (13, 3, 70_000, 55_000), (15, 4, 10, 10)]
 
 
 def test_search(spark):
@@ -292,6 +349,45 @@ def test_expectation_maximisation():
     assert quality.expectation_maximisation({}) == (0.0, pytest.approx(np.zeros((0, 2))), {})
 
 
+def test_fit_against_plain_descent():
+    """The same minimum as by proximal gradient on a dense matrix; weights count as copies."""
+    r = np.random.default_rng(3)
+    x = (r.random((300, 12)) < 0.3).astype(float)
+    x[0] = 0
+    y = 1 / (1 + np.exp(-(x @ np.r_[3, -2, 1, np.zeros(9)] - 0.5)))
+    copies = r.integers(1, 4, 300)
+    at, size = np.nonzero(x)[1], x.sum(axis=1).astype(int)
+    w, b = quality.fit_linear(at, size, 12, y, copies.astype(float), penalty=5e-3, steps=3000)
+    dense, target = np.repeat(x, copies, axis=0), np.repeat(y, copies)
+    v, c = np.zeros(12), 0.0
+    for _ in range(20_000):
+        error = 1 / (1 + np.exp(-(dense @ v + c))) - target
+        v, c = v - 0.5 * dense.T @ error / len(target), c - 0.5 * error.mean()
+        v = np.sign(v) * np.maximum(0, np.abs(v) - 0.5 * 5e-3)
+    assert np.abs(w - v).max() < 2e-3 and abs(b - c) < 2e-3 and (v == 0).any()
+    assert quality.fit_linear(np.zeros(0, int), np.zeros(0, int), 0, np.zeros(0), np.zeros(0))[1] == 0.0
+
+
+def test_associated_features(spark):
+    r = random.Random(1)
+    rows = []
+    for k in range(400):
+        bad = k % 4 == 0
+        rows.append((1.0 + k % 2, float(bad), 0.0, [1] * (r.random() < (0.9 if bad else 0.1)) + [2] * (r.random() < 0.5) + [3]))
+    df = spark.createDataFrame(rows, quality.EXAMPLES)
+    assert [x.bucket for x in quality.associated(df, "junk").collect()] == [1] and quality.associated(df, "toxic").collect() == []
+    assert quality.associated(df.limit(0), "junk").collect() == []
+
+
+def test_sample_counts_copies_once(make, monkeypatch):
+    """A text of a third of the rows is one example with their weight."""
+    rows = [(k, f"word{k} and others" if k % 3 else "the copied text") for k in range(300)]
+    seen = []
+    monkeypatch.setattr(quality, "fit_scorer", lambda examples, task: (seen.append(examples.select("weight").collect()), (np.zeros(quality.BUCKETS), 0.0))[1])
+    quality.fit(make(rows))
+    assert sorted(x.weight for x in seen[0]) == [1.0] * 200 + [100.0]
+
+
 def test_classifier_on_labels(spark):
     """Accuracy on the half of the labels that the fit never sees."""
     sf = SF_SMALL.replace("sf0.001", "sf0.1")
@@ -346,12 +442,13 @@ def test_pipeline_stages(spark):
             assert set(after) == kept and len(after) < len(before)
         elif name == "line_dedup":
             assert len(after) == len(before)
-            pages, seen = Counter(r.source for r in before.values()), Counter()
+            distinct = {(r.source, r.text) for r in before.values()}  # copies count once
+            pages, seen = Counter(source for source, _ in distinct), Counter()
             norm = lambda x: " ".join(x.replace("\n", " ").split(" ")).strip() if False else __import__("re").sub(r"[ \t\r\f]+", " ", x).strip(" ")
-            for r in before.values():
-                seen.update({(r.source, norm(x)) for x in r.text.split("\n") if norm(x)})
+            for source, text in distinct:
+                seen.update({(source, norm(x)) for x in text.split("\n") if norm(x)})
             for i, r in before.items():
-                keep = [x for x in r.text.split("\n") if not norm(x) or seen[r.source, norm(x)] < 5 or seen[r.source, norm(x)] <= 0.1 * pages[r.source]]
+                keep = [x for x in r.text.split("\n") if not norm(x) or seen[r.source, norm(x)] < 2 or seen[r.source, norm(x)] <= 0.1 * pages[r.source]]
                 assert after[i].text == "\n".join(keep) and after[i].n_chars == len(after[i].text)
         elif name == "ngram_jaccard_join":
             sets = word_sets([(i, r.text) for i, r in before.items()], 5)
@@ -377,6 +474,21 @@ def test_pipeline_keeps_one_of_many_copies(make, spark):
     assert [r.doc_id for r in left if r.text == own(0)] == [0] and len(left) == 61
 
 
+def test_pipeline_decides_by_row(make, spark):
+    """Rows without doc_id go too, one of identical rows stays, a clean row that shares a leaking row's doc_id stays."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(5, text(0)), (5, text(0)), (None, text(0)), (4, text(0) + " tail"), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (8, ""), (8, ""), (9, None)]
+    left = stages["ngram_jaccard_join"](spark, make(rows), SF_SMALL).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(4, text(0) + " tail"), (None, text(1)), (7, text(2)), (7, text(3)), (8, ""), (8, ""), (9, None)])
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").where("text is not null").first().text
+    rows = [(1, "a " + item), (1, text(4)), (None, item), (None, text(5)), (2, None), (3, item), (3, item)]
+    left = stages["benchmark_decontamination"](spark, make(rows), SF_SMALL).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(1, text(4)), (None, text(5)), (2, None)])
+
+
 def test_pipeline_of_odd_rows(make, spark, odd_rows):
     import corpus_pipeline
 
