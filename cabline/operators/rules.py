@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cabline.schema import (
+    AMOUNT_MAX,
     DISTANCE_MAX_KM,
     LOCATION_MAX,
     LOCATION_MIN,
@@ -24,7 +25,7 @@ def trip_rules(
     dropoff: str = "tpep_dropoff_datetime",
     location_range: tuple[int, int] = (LOCATION_MIN, LOCATION_MAX),
 ) -> dict[str, Column]:
-    """the 12 named conjuncts of a valid trip."""
+    """the 12 named conjuncts of a valid trip. An amount beyond AMOUNT_MAX fails too."""
     lo, hi = location_range
     return {
         "pickup_present": F.col(pickup).isNotNull(),
@@ -33,8 +34,8 @@ def trip_rules(
         "passenger_count_present": F.col("passenger_count").isNotNull(),
         "ratecode_present": F.col("RatecodeID").isNotNull(),
         "distance_positive": F.col("trip_distance") > 0,
-        "fare_not_negative": F.col("fare_amount") >= 0,
-        "total_not_negative": F.col("total_amount") >= 0,
+        "fare_not_negative": F.col("fare_amount").between(0, AMOUNT_MAX),
+        "total_not_negative": F.col("total_amount").between(0, AMOUNT_MAX),
         "pickup_location_in_domain": F.col("PULocationID").between(lo, hi),
         "dropoff_location_in_domain": F.col("DOLocationID").between(lo, hi),
         "flag_known": F.col("store_and_fwd_flag").isin(*VALID_FLAGS),

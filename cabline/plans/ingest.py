@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from cabline.functions.cleaning import fill_defaults
+from cabline.functions.cleaning import fill_defaults, null_non_finite
 from cabline.functions.timeparts import with_calendar
 from cabline.operators.rules import split_valid
 
@@ -13,8 +13,8 @@ PICKUP = "tpep_pickup_datetime"
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    """P1 + P2."""
-    return fill_defaults(with_calendar(df, PICKUP))
+    """P15 + P1 + P2: values that aren't finite are null, as at the source, so the rules see them."""
+    return fill_defaults(with_calendar(null_non_finite(df), PICKUP))
 
 
 def split(df: DataFrame, null_policy: str = "quarantine") -> tuple[DataFrame, DataFrame]:

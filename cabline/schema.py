@@ -112,6 +112,8 @@ TIMELINE_TICK_MINUTES = 5
 
 # Running-total key expiry (idle seconds).
 RUNNING_TOTAL_TTL_SECONDS = 86400
+# ours: a greater amount is no fare and goes to quarantine, so sums stay within their decimals
+AMOUNT_MAX = 1e12
 
 # Forecast feature columns, in order.
 FORECAST_FEATURES = ("hour", "day_of_week", "is_weekend", "trip_count")

@@ -36,10 +36,8 @@ def get_session(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     for k, v in conf.items():
-        try:
+        if spark.conf.isModifiable(k):  # a static setting of a running session stays
             spark.conf.set(k, v)
-        except Exception:  # static conf on a running session
-            pass
     return spark
 
 
@@ -100,6 +98,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    p, fs = _hadoop_path(spark, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     p, fs = _hadoop_path(spark, path)
     fs.delete(p, True)

@@ -20,8 +20,8 @@ class MessageTarget:
     path: str | None = None
 
 
-def write_messages(msgs: DataFrame, target: MessageTarget) -> None:
-    """Batch write of ``(key, value[, topic])`` rows."""
+def write_messages(msgs: DataFrame, target: MessageTarget, files: int | None = None) -> None:
+    """Batch write of ``(key, value[, topic])`` rows; ``files``: as many files instead of as the bytes need."""
     if target.format == "kafka":
         out = msgs.select("key", "value")
         w = out.write.format("kafka").option("kafka.bootstrap.servers", target.bootstrap_servers)
@@ -30,7 +30,7 @@ def write_messages(msgs: DataFrame, target: MessageTarget) -> None:
         w.save()
         return
     # files follow the bytes, not the keys: a hot key is split, few rows make few files
-    out = msgs.hint("rebalance")
+    out = msgs.repartition(files) if files else msgs.hint("rebalance")
     if target.format == "text":
         out.select("value").write.mode("overwrite").text(target.path)
     elif target.format == "json":
