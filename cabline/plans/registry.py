@@ -993,6 +993,7 @@ def q_stream_live_top_zones(spark, sf):
 
 from cabline.operators import mergeable as MG  # noqa: E402
 from cabline.operators import paging as PG  # noqa: E402
+from cabline.operators import zone_store as ZS  # noqa: E402
 from cabline.streaming import fanout as FO  # noqa: E402
 from cabline.streaming import keyed as KS  # noqa: E402
 
@@ -1099,3 +1100,24 @@ def q_stream_fan_out(spark, sf):
     q.awaitTermination()
     valid, error = (FO.read_store(spark, f"{base}/stores", k) for k in ("valid", "error"))
     return valid.withColumn("store", F.lit("valid")).unionByName(error.drop("_raw").withColumn("store", F.lit("error")))
+
+
+def zone_store(spark, sf) -> str:
+    def write():
+        path = scratch_path(spark, "zone_store")
+        ZS.write_zone_store(stored_routes(spark, sf), path)
+        return path
+
+    return B.session_memo(spark, ("zone_store", sf), write)
+
+
+@register("routes_by_zone_clustered", ORACLE["routes_by_zone"])
+def q_routes_by_zone_clustered(spark, sf):
+    """U1 + F6 on the zone-clustered table: a request opens one of its folders."""
+    return ZS.zone_routes(spark, zone_store(spark, sf), ZONE)
+
+
+@register("top_pickups_clustered", ORACLE["top_pickups"])
+def q_top_pickups_clustered(spark, sf):
+    """L3 on the zone-clustered table."""
+    return ZS.zone_top(spark, zone_store(spark, sf), ZONE, YEAR, MONTH, "pickup")
