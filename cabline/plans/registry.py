@@ -90,7 +90,7 @@ def q_route_analytics(spark, sf):
 
 from cabline.operators import serving as S  # noqa: E402
 from cabline.schema import TRIP_COLUMNS  # noqa: E402
-from cabline.session import folder_bytes, scratch_path, shared_dir  # noqa: E402
+from cabline.session import child_names, folder_bytes, scratch_path, shared_dir  # noqa: E402
 from cabline.sinks import tables as K  # noqa: E402
 from cabline.sources import tables as ST  # noqa: E402
 
@@ -1121,3 +1121,71 @@ def q_routes_by_zone_clustered(spark, sf):
 def q_top_pickups_clustered(spark, sf):
     """L3 on the zone-clustered table."""
     return ZS.zone_top(spark, zone_store(spark, sf), ZONE, YEAR, MONTH, "pickup")
+
+
+# ---- months of drifting types, hours as a stream ---------------------------------
+
+from cabline.sources import months as MO  # noqa: E402
+from cabline.streaming import hourly as HS  # noqa: E402
+
+
+@register(
+    "drifting_months",
+    O.with_ctes(
+        O.TRIPS_SQL,
+        body="SELECT * REPLACE (CASE WHEN month(tpep_pickup_datetime) % 4 = 3 THEN NULL ELSE passenger_count END AS passenger_count)"
+        " FROM trips WHERE tpep_pickup_datetime IS NOT NULL",
+    ),
+)
+def q_drifting_months(spark, sf):
+    """S1 + S2 over all months: the passenger count is INT, BIGINT, DOUBLE or
+    absent, another column spelled otherwise in some, and some are all text."""
+    root = scratch_path(spark, "months")
+    t = TP.with_calendar(B.trips(spark, sf).where("tpep_pickup_datetime IS NOT NULL")).drop("day", "hour")
+    kind = t.withColumn("kind", F.col("month") % 4)
+    forms = [
+        lambda d: d,
+        lambda d: d.withColumn("passenger_count", F.col("passenger_count").cast("long")).withColumnRenamed("airport_fee", "Airport_fee"),
+        lambda d: d.withColumn("passenger_count", F.col("passenger_count").cast("double")),
+        lambda d: d.select(*[F.col(c).cast("string").alias(c) if c in TRIP_COLUMNS else F.col(c) for c in d.columns if c != "passenger_count"]),
+    ]
+    for k, form in enumerate(forms):
+        K.write_partitioned(form(kind.where(F.col("kind") == k).drop("kind")), f"{root}/{k}", ("year", "month"))
+    paths = [f"{root}/{k}/{y}/{m}" for k in range(4) for y in child_names(spark, f"{root}/{k}") if "=" in y for m in child_names(spark, f"{root}/{k}/{y}") if "=" in m]
+    return null_non_finite(MO.read_drifting(spark, paths))
+
+
+LATE_TYPE, LATENESS_HOURS = 4, 24
+
+
+@register(
+    "stream_hourly_counts",
+    O.with_ctes(
+        *O.PROCESSED,
+        "p AS (SELECT tpep_pickup_datetime AS t, date_trunc('hour', tpep_pickup_datetime) AS pickup_hour,"
+        f" coalesce(payment_type = {LATE_TYPE}, false) AS second FROM processed)",
+        f"w AS (SELECT max(t) FILTER (NOT second) - INTERVAL {LATENESS_HOURS} HOUR AS w1, max(t) - INTERVAL {LATENESS_HOURS} HOUR AS w2 FROM p)",
+        "h AS (SELECT pickup_hour, count(*) FILTER (NOT (second AND pickup_hour + INTERVAL 1 HOUR <= w1)) AS trip_count,"
+        " count(*) FILTER (second AND pickup_hour + INTERVAL 1 HOUR <= w1) AS late FROM p, w GROUP BY 1, w1, w2)",
+        "c AS (SELECT max(pickup_hour) AS newest FROM h, w WHERE trip_count > 0 AND pickup_hour + INTERVAL 1 HOUR <= w2)",
+        body="SELECT h.* FROM h, c WHERE pickup_hour <= newest",
+    ),
+)
+def q_stream_hourly_counts(spark, sf):
+    """A3 as a stream over several micro-batches: hours closed by the
+    watermark, the query started again between them. The trips of one payment
+    type come after all others, so those of hours closed by then are late."""
+    base = scratch_path(spark, "hourly")
+    trips = B.trips(spark, sf)
+    second = F.coalesce(F.col("payment_type") == LATE_TYPE, F.lit(False))
+    t = F.unix_micros("tpep_pickup_datetime")
+    middle = trips.where(~second).agg(((F.min(t) + F.max(t)) / 2).cast("long")).first()[0] or 0
+    early = F.coalesce(t < middle, F.lit(False))
+    parts = [trips.where(~second & early), trips.where(~second & ~early), trips.where(second)]
+    for i, part in enumerate(parts):  # published and taken one after the other
+        RP.to_messages(part).select("value").write.mode("overwrite").text(f"{base}/topic/{i}")
+        src = SI.StreamSource(format="text", path=f"{base}/topic/*")
+        valid, _ = SI.split_stream(SI.parse_stream(SI.read_trip_stream(spark, src), keep_raw=False))
+        for q in HS.start_hourly(batch.process(valid, B.zones(spark, sf)), f"{base}/hours", f"{base}/ckpt", lateness=f"{LATENESS_HOURS} hours", available_now=True):
+            q.awaitTermination()
+    return HS.read_hours(spark, f"{base}/hours")
