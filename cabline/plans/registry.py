@@ -6,7 +6,9 @@ its work grows with the data.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +91,7 @@ def q_route_analytics(spark, sf):
 # ---- serving over the stored aggregates (F6-F9, L1-L6, U1-U4, W6, W7) ------
 
 from cabline.operators import serving as S  # noqa: E402
-from cabline.schema import TRIP_COLUMNS  # noqa: E402
+from cabline.schema import TRIP_COLUMNS, TRIP_SCHEMA  # noqa: E402
 from cabline.session import child_names, folder_bytes, scratch_path, shared_dir  # noqa: E402
 from cabline.sinks import tables as K  # noqa: E402
 from cabline.sources import tables as ST  # noqa: E402
@@ -1189,3 +1191,64 @@ def q_stream_hourly_counts(spark, sf):
         for q in HS.start_hourly(batch.process(valid, B.zones(spark, sf)), f"{base}/hours", f"{base}/ckpt", lateness=f"{LATENESS_HOURS} hours", available_now=True):
             q.awaitTermination()
     return HS.read_hours(spark, f"{base}/hours")
+
+
+# ---- messages by offset ------------------------------------------------------------
+
+from cabline.streaming import message_log as ML  # noqa: E402
+
+_LATER = "coalesce(payment_type >= 3, false)"
+
+
+@register(
+    "stream_log_offsets",
+    O.with_ctes(
+        *O.BASE,
+        body="SELECT 'all' AS start, * FROM prepared UNION ALL"
+        f" SELECT s.start, p.* FROM prepared p CROSS JOIN (VALUES ('latest'), ('given'), ('lost')) s(start) WHERE {_LATER}",
+    ),
+)
+def q_stream_log_offsets(spark, sf):
+    """S3 + T4 by offset: a query that began at the end of the first messages,
+    one from given offsets, one from the first that are left when the earlier
+    are gone, and all messages before that."""
+    base = scratch_path(spark, "log")
+    log, trips = f"{base}/log", B.trips(spark, sf)
+
+    def take(name: str, start: str):
+        src = SI.StreamSource(format="log", path=log, position=f"{base}/{name}/position", starting_offsets=start)
+        parsed = SI.parse_stream(SI.read_trip_stream(spark, src), keep_raw=False)
+        SI.start_parquet_sink(parsed, f"{base}/{name}/out", f"{base}/{name}/ckpt", ("year", "month"), available_now=True).awaitTermination()
+
+    later = F.expr(_LATER)
+    ML.append_messages(RP.to_messages(trips.where(~later)), log, "topic", 0)
+    take("latest", "latest")
+    ends = ML.Log(log).newest()["ends"]
+    for _ in range(2):  # an append that runs again changes nothing
+        ML.append_messages(RP.to_messages(trips.where(later)), log, "topic", 1)
+    take("latest", "latest")
+    take("given", json.dumps({str(p): x for p, x in enumerate(ends)}))
+    take("all", "earliest")
+    ML.Log(log).trim(dict(enumerate(ends)))
+    take("lost", json.dumps({str(p): 0 for p in range(len(ends))}))
+    out = [spark.read.schema(RULED).parquet(f"{base}/{n}/out").withColumn("start", F.lit(n)) for n in ("all", "latest", "given", "lost")]
+    return reduce(DataFrame.unionByName, out)
+
+
+RULED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRIP_SCHEMA.fields) + ", year int, month int, day int, hour int"
+
+
+@register("message_relay", O.with_ctes(*O.BASE, body="SELECT * FROM prepared"))
+def q_message_relay(spark, sf):
+    """K1 + K8 with commits: the messages of one log published in another by a
+    stream, whose batch then runs again as after a lost driver; each is there once."""
+    from cabline.session import remove_path
+
+    base = scratch_path(spark, "relay")
+    ML.append_messages(RP.to_messages(B.trips(spark, sf)), f"{base}/log")
+    src = SI.StreamSource(format="log", path=f"{base}/log", position=f"{base}/position", starting_offsets="earliest")
+    for again in (False, True):
+        if again:
+            remove_path(spark, f"{base}/ckpt/commits")
+        SI.start_message_sink(SI.read_trip_stream(spark, src), f"{base}/copy", f"{base}/ckpt", "relay", available_now=True).awaitTermination()
+    return ingest.prepare(RP.decode_messages(ML.read_messages(spark, f"{base}/copy"), keep_raw=False))

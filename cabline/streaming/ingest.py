@@ -17,6 +17,7 @@ from cabline.operators.replay import decode_messages
 from cabline.operators.rules import split_valid
 from cabline.plans.ingest import prepare
 from cabline.schema import PARTITION_COLUMNS, TOPIC_PATTERN
+from cabline.streaming.message_log import FORMAT, PARTITIONS, log_rows, register_log
 
 
 @dataclass
@@ -26,7 +27,9 @@ class StreamSource:
     ``format="kafka"`` subscribes to ``{taxi_type}_trip_data`` (needs the
     Kafka connector on the classpath); ``format="text"`` / ``"json"`` reads
     message files from ``path`` with the same ``value`` column (``json``: the
-    ``key``/``value`` lines of ``sinks.messages``). Other formats fail."""
+    ``key``/``value`` lines of ``sinks.messages``). ``format="log"`` reads the
+    message log at ``path`` by offsets like the broker's; ``position`` is a
+    folder beside the query's checkpoint. Other formats fail."""
 
     format: str = "kafka"
     taxi_type: str = "yellow"
@@ -36,7 +39,8 @@ class StreamSource:
     fail_on_data_loss: bool = False
     max_files_per_trigger: int | None = None
     max_bytes_per_trigger: int | None = None  # batches follow the bytes, not the number of files
-    max_offsets_per_trigger: int | None = None
+    max_offsets_per_trigger: int | None = None  # not with availableNow, which takes one batch
+    position: str | None = None
 
 
 def read_trip_stream(spark: SparkSession, src: StreamSource) -> DataFrame:
@@ -52,6 +56,11 @@ def read_trip_stream(spark: SparkSession, src: StreamSource) -> DataFrame:
         if src.max_offsets_per_trigger:
             r = r.option("maxOffsetsPerTrigger", src.max_offsets_per_trigger)
         return r.load()
+    if src.format == "log":
+        register_log(spark)
+        r = spark.readStream.format(FORMAT).option("startingOffsets", src.starting_offsets).option("position", src.position)
+        r = r.option("failOnDataLoss", str(src.fail_on_data_loss).lower()).option("maxOffsetsPerTrigger", src.max_offsets_per_trigger or 0)
+        return r.load(src.path)
     if src.format == "text":
         r = spark.readStream.format("text")
     elif src.format == "json":
@@ -124,6 +133,24 @@ def start_foreach_batch(
     return _trigger(w, trigger, available_now).start()
 
 
+def start_message_sink(
+    msgs: DataFrame,
+    path: str,
+    checkpoint: str,
+    writer: str,
+    partitions: int = PARTITIONS,
+    trigger: str | None = "3 seconds",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """K1 / K8 as a stream: each micro-batch's messages published in the log
+    at ``path`` by one commit. ``writer`` names the query; a batch that is
+    replayed is published once."""
+    register_log(msgs.sparkSession)
+    w = log_rows(msgs, partitions).writeStream.format(FORMAT).outputMode("append").option("checkpointLocation", checkpoint)
+    w = w.option("path", path).option("writer", writer).option("partitions", partitions)
+    return _trigger(w, trigger, available_now).start()
+
+
 def start_storage(
     parsed: DataFrame,
     valid_path: str,
