@@ -1218,7 +1218,7 @@ def q_stream_log_offsets(spark, sf):
     def take(name: str, start: str):
         src = SI.StreamSource(format="log", path=log, position=f"{base}/{name}/position", starting_offsets=start)
         parsed = SI.parse_stream(SI.read_trip_stream(spark, src), keep_raw=False)
-        SI.start_parquet_sink(parsed, f"{base}/{name}/out", f"{base}/{name}/ckpt", ("year", "month"), available_now=True).awaitTermination()
+        SI.start_foreach_batch(parsed, KS.ChangeLog(f"{base}/{name}/out"), f"{base}/{name}/ckpt", available_now=True).awaitTermination()
 
     later = F.expr(_LATER)
     ML.append_messages(RP.to_messages(trips.where(~later)), log, "topic", 0)
@@ -1252,3 +1252,18 @@ def q_message_relay(spark, sf):
             remove_path(spark, f"{base}/ckpt/commits")
         SI.start_message_sink(SI.read_trip_stream(spark, src), f"{base}/copy", f"{base}/ckpt", "relay", available_now=True).awaitTermination()
     return ingest.prepare(RP.decode_messages(ML.read_messages(spark, f"{base}/copy"), keep_raw=False))
+
+
+# ---- compaction of the stores --------------------------------------------------------
+
+from cabline.sinks import compaction as CO  # noqa: E402
+
+
+@register("stream_compacted", O.with_ctes(*O.BASE, body=f"SELECT * FROM prepared WHERE {O.RULE}"))
+def q_stream_compacted(spark, sf):
+    """K2 rewritten: the valid store of several micro-batches into few files
+    per partition, read through the newest manifest."""
+    path = run_store(spark, sf, "valid")
+    out = f"{path}-compacted"
+    CO.compact(spark, path, out, ("year", "month"))
+    return CO.read_compacted(spark, path, out)

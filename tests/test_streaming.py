@@ -143,3 +143,31 @@ def test_message_writer_file_forms(spark, tmp_dir):
     assert spark.read.text(f"{tmp_dir}/t").count() == msgs.count()
     with pytest.raises(ValueError):
         write_messages(msgs, MessageTarget(format="xml", path=f"{tmp_dir}/x"))
+
+
+def test_stop_on_idle_by_events(spark, tmp_dir):
+    """The query that goes idle first waits for the one that is still busy."""
+    import time
+
+    key = "spark.sql.streaming.noDataProgressEventInterval"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200ms")
+    try:
+        queries, seen = [], {"short": [], "long": []}
+        for name, files in (("short", 1), ("long", 4)):
+            spark.range(20 * files).repartition(files).write.json(f"{tmp_dir}/{name}")
+            stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(f"{tmp_dir}/{name}")
+
+            def take(df, i, name=name):
+                time.sleep(1.5)
+                seen[name].append(df.count())
+
+            queries.append(SI.start_foreach_batch(stream, take, f"{tmp_dir}/ck-{name}", trigger="100 milliseconds", query_name=f"{name}_{uuid.uuid4().hex[:6]}"))
+        watch = C.stop_on_idle(spark, queries, idles=3, timeout=60)
+    finally:
+        spark.conf.set(key, before)
+    assert watch.done.is_set() and not any(q.isActive for q in queries)
+    assert sum(seen["short"]) == 20 and sum(seen["long"]) == 80
+    table = watch.table(spark)
+    rows = {r.name.split("_")[0]: r.n for r in table.groupBy("name").agg(F.sum("input_rows").alias("n")).collect()}
+    assert rows.get("long") == 80 and table.where("batch_id = 3 and seconds > 1").count() == 1
