@@ -1231,7 +1231,7 @@ def q_stream_log_offsets(spark, sf):
     take("all", "earliest")
     ML.Log(log).trim(dict(enumerate(ends)))
     take("lost", json.dumps({str(p): 0 for p in range(len(ends))}))
-    out = [spark.read.schema(RULED).parquet(f"{base}/{n}/out").withColumn("start", F.lit(n)) for n in ("all", "latest", "given", "lost")]
+    out = [spark.read.schema(RULED).parquet(f"{base}/{n}/out").drop("batch_id").withColumn("start", F.lit(n)) for n in ("all", "latest", "given", "lost")]
     return reduce(DataFrame.unionByName, out)
 
 
