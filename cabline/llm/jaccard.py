@@ -6,14 +6,22 @@ least one segment of the two is equal: each set is indexed by the digest of
 its elements in each segment. A set joins its own band, and the one below if
 a partner can be there.
 
-Cost decides how a segment is used. The digest of two or more elements is
-rare, so an equal one makes a candidate straight away, as an edge to the
-smallest document of the key: never all pairs. Segments of no or one element
-are the costly ones (their digests are shared by chance), so these are
-compared with the one-element-apart budget in mind: a parity bitmap bounds the
-number of differing elements from below, and only pairs within H stay. The
-deletion neighbourhoods of the published method serve the same end, to skip
-costly segments; here the bitmap replaces them.
+Cost decides how a segment is used, by the elements that its digest covers.
+Segments are taken two by two. The sets differ in at most H elements and there
+are H + 1 segments, so one pair of segments holds at most one differing
+element: one half is equal, the other is equal but for one element. A half of
+two or more elements is rare, so it is a key by itself. A half of no or one
+element is shared by chance, so it is never one: it is a key as a subset of
+two segments, together with its other half and the one-deletion neighbourhood
+of that. Both sets see the equal half, so both allocate alike, and deletions
+are only paid for beside costly halves. An equal key makes a candidate straight
+away, as an edge to the smallest document of the key: never all pairs.
+
+What is left are pairs of segments that hold next to nothing. Their keys cover
+fewer than PAIR elements, and their sets are compared by a parity bitmap, which
+bounds the number of differing elements from below. A key that counts more than
+BLOCK sets isn't compared: its sets are indexed again below it, on a universe
+cut by another hash, so the pairs compared stay in proportion to the rows.
 
 Candidate edges give clusters, which hold every linked pair. Inside a cluster
 sets are compared exactly, in blocks of bounded size, skipping pairs that are
@@ -35,6 +43,12 @@ from cabline.llm.common import components, id_text, prepare, stored
 BAND = 1.4
 #: Rows of a block that one task compares with another block.
 BLOCK = 800
+#: Elements of a key of two segments from which it makes candidates by itself.
+PAIR = 3
+#: Times that the sets of a crowded key are indexed anew; what is crowded even then is compared in blocks.
+LEVELS = 3
+#: Parts that copies of one set are grouped in before they meet.
+SALTS = 64
 #: Distinct words whose hashes a task keeps; when full, the store starts anew.
 WORD_STORE = 250_000
 
@@ -98,8 +112,10 @@ class Bands:
         return out
 
     def segments(self, band: int) -> int:
+        """More than linked sets of the band may differ in; even, as segments are used in pairs, unless it is 1."""
         top = int(self.tops[band])
-        return self.apart(top + top * self.den // self.num) + 1
+        most = self.apart(top + top * self.den // self.num)
+        return most + 1 if most % 2 or not most else most + 2
 
 
 def parity(items: np.ndarray, words: int) -> np.ndarray:
@@ -116,19 +132,33 @@ def bitmap_words(segments: int) -> int:
 
 
 def keys(items: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[tuple[int, int]], bytes]:
-    """Keys of segments with two or more items; (key, number of the band) of the others; the bands' bitmaps."""
+    """Keys that make candidates by themselves; (key, number of the band) of the others; the bands' bitmaps."""
     full, light, bits = [], [], []
     for turn, band in enumerate(bands.of(len(items))):
         m = bands.segments(band)
         # items are sorted and segments are ranges of their high bits, so a segment is a slice
         seg = ((items >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         ends = np.searchsorted(seg, np.arange(m + 1, dtype=np.uint64))
-        sums = np.r_[np.uint64(0), np.cumsum(mix(items + np.uint64(band + 1)))]
-        size = np.diff(ends)
-        key = mix((sums[ends[1:]] - sums[ends[:-1]]) + np.uint64(0x2545F4914F6CDD1D) * (np.arange(m, dtype=np.uint64) * np.uint64(1024) + np.uint64(band)))
-        full.append(key[size > 1])
-        light += [(int(k), turn) for k in key[size < 2].view(np.int64)]
+        mixed = mix(items + np.uint64(band + 1))
+        sums = np.r_[np.uint64(0), np.cumsum(mixed)]
+        size, total = np.diff(ends), sums[ends[1:]] - sums[ends[:-1]]
+        tag = np.arange(m, dtype=np.uint64) * np.uint64(1024) + np.uint64(band)
+        whole = mix(total + np.uint64(0x2545F4914F6CDD1D) * tag)
         bits.append(parity(items, bitmap_words(m)).tobytes())
+        if m == 1:  # only equal sets link here
+            full.append(whole)
+            continue
+        half = np.flatnonzero(size < 2)
+        other = half ^ 1
+        both = total[half] + total[other] + np.uint64(0xD1342543DE82EF95) * tag[half]
+        # sums are additive, so leaving out an item of the other half is a subtraction
+        of = np.repeat(np.arange(len(half)), size[other])
+        item = np.arange(len(of)) - np.repeat(np.cumsum(size[other]) - size[other], size[other]) + ends[other][of]
+        key = mix(np.r_[both, both[of] - mixed[item]])
+        covers = size[half] + size[other]
+        covers = np.r_[covers, covers[of] - 1]
+        full.append(np.r_[whole[size > 1], key[covers >= PAIR]])
+        light += [(int(k), turn) for k in key[covers < PAIR].view(np.int64)]
     return full, light, b"".join(bits)
 
 
@@ -149,38 +179,41 @@ def _first(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[head], doc[head], pairs[:, 0], pairs[:, 1]
 
 
+def _rows(kind: int, key, doc, n=None, bits=None) -> pa.RecordBatch:
+    count = len(doc)
+    n = np.zeros(count, np.int64) if n is None else n
+    bits = pa.nulls(count, pa.binary()) if bits is None else pa.array(bits, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int8)), pa.array(np.asarray(key).view(np.int64)), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), bits], names=["kind", "key", "doc", "n", "bits"])
+
+
+def _sent(found: list[tuple[np.ndarray, int]], lights: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Keys of a batch once, with the smallest document, and edges to it; (key, name of the set, turn) of light ones."""
+    if found:
+        key, doc, a, b = _first(np.concatenate([k for k, _ in found]), np.concatenate([np.full(len(k), d) for k, d in found]))
+        yield _rows(KEY, key, doc)
+        yield _rows(EDGE, mix(b.view(np.uint64)), b, a)
+    if lights:
+        key, name, turn = (np.array(x, np.int64) for x in zip(*lights))
+        yield _rows(LIGHT, key, name, turn)
+
+
+def set_name(items: np.ndarray) -> int:
+    """Equal for equal sets; signed, as Spark's long."""
+    return int(mix(np.array([np.add.reduce(mix(items + np.uint64(7)))], np.uint64) + np.uint64(len(items))).view(np.int64)[0])
+
+
 def _index(size: int, num: int, den: int):
     """Rows of ROWS. A batch of documents sends a key once, with its smallest document, and edges to that one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, store = Bands(num, den), WordHashes()
-
-        def rows(kind: int, key, doc, n=None, bits=None) -> pa.RecordBatch:
-            count = len(doc)
-            n = np.zeros(count, np.int64) if n is None else n
-            bits = pa.nulls(count, pa.binary()) if bits is None else pa.array(bits, pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(count, kind, np.int8)), pa.array(np.asarray(key).view(np.int64)), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), bits], names=["kind", "key", "doc", "n", "bits"]
-            )
-
-        def sent(seen, found, lights) -> Iterator[pa.RecordBatch]:
-            names, ids, sizes = (np.array(x, t) for x, t in zip(zip(*[s[:3] for s in seen]), (np.uint64, np.int64, np.int64)))
-            yield rows(DOC, names, ids, sizes, [s[3] for s in seen])
-            if found:
-                key, doc, a, b = _first(np.concatenate([k for k, _ in found]), np.concatenate([np.full(len(k), d) for k, d in found]))
-                yield rows(KEY, key, doc)
-                yield rows(EDGE, mix(b.view(np.uint64)), b, a)
-            if lights:
-                key, doc, turn = (np.array(x, np.int64) for x in zip(*lights))
-                yield rows(LIGHT, key, doc, turn)
-
         for batch in batches:
             seen, found, lights, sets = [], [], [], set()
             for doc, x in sorted(zip(batch.column(0).to_pylist(), batch.column(1)), key=lambda r: r[0]):
                 items = shingles(x.as_py(), size, store)
                 if not len(items):
                     continue
-                name = int(mix(np.array([np.add.reduce(mix(items + np.uint64(7)))], np.uint64) + np.uint64(len(items)))[0])
+                name = set_name(items)
                 if name in sets:
                     seen.append((name, doc, len(items), None))
                     continue
@@ -188,9 +221,33 @@ def _index(size: int, num: int, den: int):
                 full, light, bits = keys(items, bands)
                 seen.append((name, doc, len(items), bits if light else None))
                 found += [(k, doc) for k in full if len(k)]
-                lights += [(k, doc, turn) for k, turn in light]
+                lights += [(k, name, turn) for k, turn in light]
             if seen:
-                yield from sent(seen, found, lights)
+                names, ids, sizes = (np.array(x, np.int64) for x in zip(*[s[:3] for s in seen]))
+                yield _rows(DOC, names, ids, sizes, [s[3] for s in seen])
+                yield from _sent(found, lights)
+
+    return run
+
+
+def _again(size: int, num: int, den: int, level: int):
+    """Rows of ROWS for sets of crowded keys: keys below each of these, by another cut of the universe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, store = Bands(num, den), WordHashes()
+        for batch in batches:
+            found, lights = [], []
+            for name, doc, x, above in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                items = shingles(x.as_py(), size, store)
+                if not len(items) or set_name(items) != name:  # another text of the same doc_id
+                    continue
+                full, light, _ = keys(np.sort(mix(items + np.uint64(1_000_003 * level))), bands)
+                for k in above.as_py():
+                    under = mix(np.array([k["key"]], np.int64).view(np.uint64) + np.uint64(level))
+                    found.append((mix(full[k["turn"]] ^ under), doc))
+                    mine = np.array([x for x, turn in light if turn == k["turn"]], np.int64).view(np.uint64)
+                    lights += [(x, name, k["turn"]) for x in mix(mine ^ under).view(np.int64).tolist()]
+            yield from _sent(found, lights)
 
     return run
 
@@ -318,6 +375,20 @@ def _paired(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "lo", "hi", *rest).repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
+def _met(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of ROWS with the smallest document of their key, without keys that only this one has."""
+    # a batch sends other keys once, but every copy of a set its name, and light keys may be frequent: these meet in parts first
+    salt = F.when(F.col("kind").isin(DOC, LIGHT), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = rows.withColumn("part", salt)
+    rows = rows.withColumn("leader", F.min("doc").over(Window.partitionBy("kind", "key", "part"))).drop("part")
+    return stored(rows.where((F.col("kind") != KEY) | (F.col("doc") != F.col("leader"))), name)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    met = rows.where(F.col("kind") == KEY).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    return met.union(rows.where(F.col("kind") == EDGE).select(F.col("n").alias("a"), F.col("doc").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -336,23 +407,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     prepare(spark)
     texts = id_text(docs)
     rows = texts.where("doc_id is not null").mapInArrow(_index(size, num, den), ROWS)
-    own = Window.partitionBy("kind", "key")
-    rows = rows.select("*", F.min("doc").over(own).alias("leader"), F.count("*").over(own).alias("rows"))
-    keep = (F.col("kind").isin(DOC, EDGE)) | ((F.col("kind") == KEY) & (F.col("doc") != F.col("leader"))) | ((F.col("kind") == LIGHT) & (F.col("rows") > 1))
-    rows = stored(rows.where(keep), "jaccard-rows")
+    rows = _met(rows, "jaccard-rows")
 
     sets = rows.where(F.col("kind") == DOC)
+    leaders = sets.where("doc = leader").select(F.col("key").alias("name"), "doc", F.col("n").alias("size"), "bits").distinct()
+    names = leaders.groupBy(F.col("name").alias("of")).agg(F.min("doc").alias("first"))
+    leaders = stored(leaders.join(names, F.col("name") == F.col("of")).drop("of"), "jaccard-leaders")
     equal = sets.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    shared = rows.where((F.col("kind") == KEY)).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    local = rows.where(F.col("kind") == EDGE).select(F.col("n").alias("a"), F.col("doc").alias("b"))
-    maps = sets.where("bits is not null").select("doc", F.col("n").alias("size"), "bits")
-    light = rows.where(F.col("kind") == LIGHT).select("key", "doc", F.col("n").alias("turn"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    light = light.join(maps, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    light = _paired(light, "key").mapInArrow(_light(num, den), "a long, b long")
-    clusters = components(equal.union(shared).union(local).union(light).distinct(), "jaccard-clusters")
+    equal = equal.union(leaders.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")))
+    maps = leaders.where("doc = first and bits is not null").select("name", "doc", "size", "bits")
+    edges = equal.union(_shared(rows))
+    for level in range(1, LEVELS + 2):
+        light = rows.where(F.col("kind") == LIGHT).select("key", F.col("doc").alias("name"), F.col("n").cast("int").alias("turn")).distinct()
+        light = stored(light, "jaccard-light")
+        counts = light.groupBy(F.col("key").alias("counted")).agg(F.count("*").alias("rows")).where("rows > 1")
+        light = stored(light.join(counts, F.col("key") == F.col("counted")).drop("counted"), "jaccard-light")
+        crowded = light.where(F.col("rows") > BLOCK)
+        last = level > LEVELS or crowded.isEmpty()
+        pairs = (light if last else light.where(F.col("rows") <= BLOCK)).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+        pairs = pairs.join(maps, "name").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+        pairs = _paired(pairs.select("key", "doc", "turn", "size", "bits", "block", "blocks"), "key")
+        edges = edges.union(pairs.mapInArrow(_light(num, den), "a long, b long"))
+        if last:
+            break
+        # a set has as many keys as segments at most
+        above = crowded.groupBy("name").agg(F.collect_list(F.struct("key", "turn")).alias("above")).join(maps.select("name", "doc"), "name")
+        above = texts.join(above, texts["doc_id"] == above["doc"]).select("name", "doc", "text", "above")
+        rows = _met(above.mapInArrow(_again(size, num, den, level), ROWS), "jaccard-again")
+        edges = edges.union(_shared(rows))
+    clusters = components(edges.distinct(), "jaccard-clusters")
 
     # equal sets need one member in the comparison; the others hang on its edge
-    members = clusters.withColumnRenamed("component", "cluster").join(sets.where("doc = leader").select(F.col("doc").alias("node")).distinct(), "node")
+    members = clusters.withColumnRenamed("component", "cluster").join(leaders.where("doc = first").select(F.col("doc").alias("node")).distinct(), "node")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")).where(F.col("rows") > 1)
     members = members.join(sizes.select("cluster", "blocks"), "cluster")
     members = members.select(F.col("node").alias("doc"), "cluster", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks")

@@ -99,6 +99,44 @@ def test_linked_sets_share_a_key(base, data):
     assert flat(fa, la) & flat(fb, lb)
 
 
+@pytest.mark.parametrize("crowd,levels", [(3, 3), (3, 0)])
+def test_jaccard_of_crowded_keys(make, monkeypatch, crowd, levels):
+    """Sets of frequent light keys are indexed again, or compared in blocks; many copies and texts that share a doc_id too."""
+    monkeypatch.setattr(jaccard, "BLOCK", crowd)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    r = random.Random(5)
+    rows = []
+    for g in range(60):
+        base = [f"w{r.randrange(300)}" for _ in range(r.choice((20, 30, 45)))]
+        for _ in range(r.choice((1, 2, 4))):
+            rows.append((len(rows), " ".join(mutated(r, base, r.randrange(0, 2)))))
+    bands, store = jaccard.Bands(80, 100), jaccard.WordHashes()
+    light = Counter(k for _, text in rows for k, _ in jaccard.keys(jaccard.shingles(text, 5, store), bands)[1])
+    assert max(light.values()) > crowd
+    rows += [(1000 + k, rows[7][1]) for k in range(200)]
+    got = jaccard.near_duplicates(make(rows), 5, 80, 100).collect()
+    want = brute_components(word_sets(rows, 5), 80, 100)
+    assert {x.doc_id: x.component_id for x in got} == want
+    both = [*rows, (0, rows[20][1]), (3, " ".join(f"x{k}" for k in range(90)))]
+    assert len(jaccard.near_duplicates(make(both), 5, 80, 100).collect()) == len(both)
+
+
+@pytest.mark.parametrize("size,num", [(4, 85), (5, 80)])
+def test_few_sets_are_compared_in_pairs(spark, size, num):
+    """Costly segments are keys together with their neighbours: fewer pairs than sets are left for the bitmaps, and keys grow by half at most."""
+    from tests.conftest import SF_SMALL
+
+    bands, store, light, n, single = jaccard.Bands(num, 100), jaccard.WordHashes(), Counter(), 0, 0
+    sets = {s.tobytes(): s for s in (jaccard.shingles(x.text or "", size, store) for x in spark.read.parquet(f"{SF_SMALL}/../sf0.01/documents.parquet").collect()) if len(s)}
+    for s in sets.values():
+        full, rest, _ = jaccard.keys(s, bands)
+        n += sum(map(len, full)) + len(rest)
+        light.update(k for k, _ in rest)
+        single += sum(bands.segments(b) for b in bands.of(len(s)))
+    assert sum(v * (v - 1) // 2 for v in light.values()) < len(sets)
+    assert n < 1.6 * single
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (7, 9), (7, 9)]
