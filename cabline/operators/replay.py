@@ -126,10 +126,8 @@ def decode_messages(
     ``to_messages`` writes as well as fractions of a second and a blank in
     place of the ``T``. Malformed JSON or a null value give all-null fields, not errors; those
     rows fail the validity rules and land in quarantine. ``_raw`` keeps the
-    original text for dead letters."""
+    original text for dead letters. The text is parsed once a row: out of a
+    projection, each rule on a column would parse it again."""
     text = F.col(value_col).cast("string")
     parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    cols = [F.col("_d." + f.name).alias(f.name) for f in schema.fields]
-    if keep_raw:
-        cols.append(F.col("_raw"))
-    return df.select(parsed.alias("_d"), text.alias("_raw")).select(*cols)
+    return df.select(F.inline(F.array(parsed)), *([text.alias("_raw")] if keep_raw else []))

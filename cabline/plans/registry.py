@@ -776,20 +776,23 @@ from cabline.schema import MESSAGE_SCHEMA  # noqa: E402
 from cabline.streaming import ingest as SI  # noqa: E402
 from cabline.streaming import live as SL  # noqa: E402
 
-#: Micro-batches that a topic takes at least, and bytes of messages that one takes at most.
-BATCHES, BYTES_PER_TRIGGER = 3, 8 << 30
+#: Micro-batches that a topic takes at least, bytes of messages as stored that one takes at most, and messages of a file.
+BATCHES, BYTES_PER_TRIGGER, FILE_MESSAGES = 3, 8 << 30, 500_000
 
 
 def publish_messages(spark, sf) -> str:
     """K1 to a message folder (the file twin of the topic), once per session
-    and scale factor, in twice as many files as there are to be micro-batches
-    at least."""
+    and scale factor, in enough files for every core in every micro-batch.
+    The messages are the widest form of the rows, so they are packed and never
+    shuffled; the footers' row count sizes the files."""
     from cabline.sinks.messages import MessageTarget, write_messages
 
     def write():
         topic = scratch_path(spark, "topic")
         msgs = RP.to_messages(B.trips(spark, sf))
-        write_messages(msgs, MessageTarget(format="text", path=topic), files=max(2 * BATCHES, spark.sparkContext.defaultParallelism))
+        files = BATCHES * max(2, spark.sparkContext.defaultParallelism)
+        rows = min(FILE_MESSAGES, max(1, B.table(spark, sf, "lineitem").count() // files))
+        write_messages(msgs, MessageTarget(format="text", path=topic), rows_per_file=rows)
         return topic
 
     return B.session_memo(spark, ("topic", sf), write)
