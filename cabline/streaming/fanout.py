@@ -28,7 +28,10 @@ class FanOut:
             return
         store = F.when(F.coalesce(rule_expr(), F.lit(False)), F.lit("valid")).otherwise(F.lit("error"))
         rows = f"{self.path}/rows/{name}"
-        tagged = batch_df.withColumn("store", store).hint("rebalance", "store", *self.partition_cols)
+        tagged = batch_df.withColumn("store", store)
+        if "_raw" in tagged.columns:  # a dead letter's text; of a valid message nobody reads it
+            tagged = tagged.withColumn("_raw", F.when(F.col("store") == "error", F.col("_raw")))
+        tagged = tagged.hint("rebalance", "store", *self.partition_cols)
         # the whole folder of the batch is replaced, also partitions that a first try wrote and this one doesn't
         tagged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("store", *self.partition_cols).parquet(rows)
         if self.live is not None:
