@@ -30,12 +30,13 @@ def _cols(names) -> list[str]:
     return [names] if isinstance(names, str) else list(names or [])
 
 
-def join_buckets(df: DataFrame, summary: DataFrame, keys: list[str], bucket: str = "_bk") -> DataFrame:
-    """Left join of a per-bucket summary; a null key or bucket matches a null one."""
+def join_buckets(df: DataFrame, summary: DataFrame, keys: list[str], bucket: str = "_bk", small: bool = False) -> DataFrame:
+    """Left join of a per-bucket summary; a null key or bucket matches a null
+    one. A ``small`` summary goes to the rows, which then aren't shuffled."""
     on = [*keys, bucket]
     s = summary.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in summary.columns if c not in on])
     cond = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
-    return df.join(s, cond, "left").drop(*[f"_on_{c}" for c in on])
+    return df.join(F.broadcast(s) if small else s, cond, "left").drop(*[f"_on_{c}" for c in on])
 
 
 def _bucket(ts: str, unit: str) -> Column:
@@ -49,7 +50,8 @@ def with_buckets(df: DataFrame, ts: str, keys: list[str], unit: str, hot_rows: i
     Rows are first counted per (keys, bucket) (partial
     aggregation, one row per bucket); a bucket holding more rows is cut into
     ``fine_unit`` buckets. Bucket keys stay monotone in time, so the order and
-    the results do not change; only a hot bucket's window work is spread. With
+    the results do not change; only a hot bucket's window work is spread. The hot
+    buckets are broadcast: there is at most one per ``hot_rows`` rows. With
     ``hot_rows=None``, for series known to be small, nothing is counted."""
     coarse = _bucket(ts, unit)
     if not hot_rows:
@@ -59,7 +61,7 @@ def with_buckets(df: DataFrame, ts: str, keys: list[str], unit: str, hot_rows: i
         x.groupBy(*keys, "_coarse").agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows).select(*keys, "_coarse", F.lit(True).alias("_hot"))
     )
-    x = join_buckets(x, hot, keys, "_coarse")
+    x = join_buckets(x, hot, keys, "_coarse", small=True)
     bk = F.when(F.col("_hot"), _bucket(ts, fine_unit)).otherwise(F.col("_coarse"))
     return x.withColumn("_bk", bk).drop("_coarse", "_hot")
 

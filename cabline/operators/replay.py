@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cabline.operators.ordered import HOT_ROWS, join_buckets, with_buckets
+from cabline.operators.ordered import HOT_ROWS, with_buckets
 from cabline.operators.rules import calendar_filter
 from cabline.schema import (
     DEFAULT_MESSAGE_KEY,
@@ -42,6 +42,9 @@ def replay_schedule(
     waits and their running sum; one per-bucket summary (first and last
     time, in-bucket wait total; one row per bucket) gives each bucket the
     last time of the bucket before it and the waits of all earlier buckets.
+    The summary needs the times alone, as rows of the same time wait equally
+    in any order, so whole rows are shuffled once: for their window, whose
+    key the summary's join shares (a struct, in which a null equals a null).
     No window spans a whole unit of raw rows; a bucket of more than
     ``hot_rows`` rows is cut into one-second buckets."""
     keys = list(partition_by or [])
@@ -56,22 +59,28 @@ def replay_schedule(
         return F.when(gap.isNotNull(), F.least(gap / F.lit(speed), F.lit(float(cap))))
 
     x = with_buckets(df, ts, keys, bucket_unit, hot_rows)
-    w = Window.partitionBy(*keys, "_bk").orderBy(*order)
-    x = x.withColumn("_lag", F.lag(ts).over(w)).withColumn("_pos", F.row_number().over(w))
-    x = x.withColumn("_w", F.when(F.col("_pos") > 1, wait_of(secs(t, F.col("_lag")))).otherwise(F.lit(0.0)))
+
+    def paced(rows, w):
+        rows = rows.withColumn("_lag", F.lag(ts).over(w)).withColumn("_pos", F.row_number().over(w))
+        return rows.withColumn("_w", F.when(F.col("_pos") > 1, wait_of(secs(t, F.col("_lag")))).otherwise(F.lit(0.0)))
+
+    key = F.struct(*keys, "_bk").alias("_k")
+    times = paced(x.select(*dict.fromkeys([*keys, "_bk", ts])), Window.partitionBy(*keys, "_bk").orderBy(ts))
+    w = Window.partitionBy("_k").orderBy(*order)
+    x = paced(x.select("*", key), w)
     x = x.withColumn("_cum", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
     wb = Window.partitionBy(*keys).orderBy("_bk")
     summary = (
-        x.groupBy(*keys, "_bk")
+        times.groupBy(*keys, "_bk")
         .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_w").alias("_inb"))
         .withColumn("_carry", F.lag("_last").over(wb))
         .withColumn("_fw", F.coalesce(wait_of(secs(F.col("_first"), F.col("_carry"))), F.lit(0.0)))
         .withColumn("_off", F.coalesce(
             F.sum(F.col("_fw") + F.col("_inb")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .select(*keys, "_bk", "_carry", "_fw", "_off")
+        .select(key, "_carry", "_fw", "_off")
     )
-    x = join_buckets(x, summary, keys)
+    x = x.join(summary, "_k", "left").select(*x.columns, "_carry", "_fw", "_off")
     first = F.col("_pos") == 1
     return x.withColumns(
         {
@@ -79,7 +88,7 @@ def replay_schedule(
             "wait_seconds": F.when(first, F.col("_fw")).otherwise(F.col("_w")),
             "send_offset_seconds": F.col("_off") + F.col("_fw") + F.col("_cum"),
         }
-    ).drop("_bk", "_lag", "_pos", "_w", "_cum", "_carry", "_fw", "_off")
+    ).drop("_k", "_bk", "_lag", "_pos", "_w", "_cum", "_carry", "_fw", "_off")
 
 
 def ordered_messages(df: DataFrame, year: int, month: int, ts: str = "tpep_pickup_datetime", tiebreak=None,
