@@ -1025,7 +1025,9 @@ def q_trip_page_deep(spark, sf):
 def _incremental(spark, sf, table) -> DataFrame:
     """The trips that had ended by the cutoff, with one month too high; the
     late ones as a load that runs twice; the month corrected; another compacted."""
-    p, path = processed(spark, sf), scratch_path(spark, "states")
+    path = scratch_path(spark, "states")
+    needed = dict.fromkeys((*table[0], "tpep_dropoff_datetime", "total_amount", *table[1].values()))
+    p = K.write_and_read(processed(spark, sf).select(*needed), scratch_path(spark, "loads"))  # every load reads the trips as stored
     ended = F.col("tpep_dropoff_datetime") < F.lit(CUTOFF).cast("timestamp")
     wrong = (F.col("year") == YEAR) & (F.col("month") == MONTH)
     MG.write_load(p.where(ended).withColumn("total_amount", F.when(wrong, F.col("total_amount") * 2).otherwise(F.col("total_amount"))), path, "first", table)
