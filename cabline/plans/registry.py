@@ -1146,10 +1146,14 @@ from cabline.streaming import hourly as HS  # noqa: E402
 )
 def q_drifting_months(spark, sf):
     """S1 + S2 over all months: the passenger count is INT, BIGINT, DOUBLE or
-    absent, another column spelled otherwise in some, and some are all text."""
+    absent, another column spelled otherwise in some, and some are all text.
+    The trips are stored by kind once, so that not every kind joins them again."""
     root = scratch_path(spark, "months")
     t = TP.with_calendar(B.trips(spark, sf).where("tpep_pickup_datetime IS NOT NULL")).drop("day", "hour")
     kind = t.withColumn("kind", F.col("month") % 4)
+    whole = scratch_path(spark, "kinds")
+    kind.write.mode("overwrite").partitionBy("kind").parquet(whole)
+    kind = spark.read.schema(kind.schema).parquet(whole)
     forms = [
         lambda d: d,
         lambda d: d.withColumn("passenger_count", F.col("passenger_count").cast("long")).withColumnRenamed("airport_fee", "Airport_fee"),
