@@ -1185,9 +1185,10 @@ LATE_TYPE, LATENESS_HOURS = 4, 24
 def q_stream_hourly_counts(spark, sf):
     """A3 as a stream over several micro-batches: hours closed by the
     watermark, the query started again between them. The trips of one payment
-    type come after all others, so those of hours closed by then are late."""
+    type come after all others, so those of hours closed by then are late.
+    The trips are stored, as each part is a pass over them."""
     base = scratch_path(spark, "hourly")
-    trips = B.trips(spark, sf)
+    trips = K.write_and_read(B.trips(spark, sf), f"{base}/trips")
     second = F.coalesce(F.col("payment_type") == LATE_TYPE, F.lit(False))
     t = F.unix_micros("tpep_pickup_datetime")
     middle = trips.where(~second).agg(((F.min(t) + F.max(t)) / 2).cast("long")).first()[0] or 0
@@ -1220,9 +1221,10 @@ _LATER = "coalesce(payment_type >= 3, false)"
 def q_stream_log_offsets(spark, sf):
     """S3 + T4 by offset: a query that began at the end of the first messages,
     one from given offsets, one from the first that are left when the earlier
-    are gone, and all messages before that."""
+    are gone, and all messages before that. The trips are stored, as each
+    append is a pass over them."""
     base = scratch_path(spark, "log")
-    log, trips = f"{base}/log", B.trips(spark, sf)
+    log, trips = f"{base}/log", K.write_and_read(B.trips(spark, sf), f"{base}/trips")
 
     def take(name: str, start: str):
         src = SI.StreamSource(format="log", path=log, position=f"{base}/{name}/position", starting_offsets=start)
