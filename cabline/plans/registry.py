@@ -92,7 +92,7 @@ def q_route_analytics(spark, sf):
 
 from cabline.operators import serving as S  # noqa: E402
 from cabline.schema import TRIP_COLUMNS, TRIP_SCHEMA  # noqa: E402
-from cabline.session import child_names, folder_bytes, scratch_path, shared_dir  # noqa: E402
+from cabline.session import child_names, folder_bytes, remove_path, scratch_path, shared_dir  # noqa: E402
 from cabline.sinks import tables as K  # noqa: E402
 from cabline.sources import tables as ST  # noqa: E402
 
@@ -1222,7 +1222,7 @@ def q_stream_log_offsets(spark, sf):
     """S3 + T4 by offset: a query that began at the end of the first messages,
     one from given offsets, one from the first that are left when the earlier
     are gone, and all messages before that. The trips are stored, as each
-    append is a pass over them."""
+    append is a pass over them, until the last; the log until the last read."""
     base = scratch_path(spark, "log")
     log, trips = f"{base}/log", K.write_and_read(B.trips(spark, sf), f"{base}/trips")
 
@@ -1237,11 +1237,13 @@ def q_stream_log_offsets(spark, sf):
     ends = ML.Log(log).newest()["ends"]
     for _ in range(2):  # an append that runs again changes nothing
         ML.append_messages(RP.to_messages(trips.where(later)), log, "topic", 1)
+    remove_path(spark, f"{base}/trips")
     take("latest", "latest")
     take("given", json.dumps({str(p): x for p, x in enumerate(ends)}))
     take("all", "earliest")
     ML.Log(log).trim(dict(enumerate(ends)))
     take("lost", json.dumps({str(p): 0 for p in range(len(ends))}))
+    remove_path(spark, log)
     out = [spark.read.schema(RULED).parquet(f"{base}/{n}/out").drop("batch_id").withColumn("start", F.lit(n)) for n in ("all", "latest", "given", "lost")]
     return reduce(DataFrame.unionByName, out)
 
@@ -1253,8 +1255,6 @@ RULED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRIP_SCHEMA.f
 def q_message_relay(spark, sf):
     """K1 + K8 with commits: the messages of one log published in another by a
     stream, whose batch then runs again as after a lost driver; each is there once."""
-    from cabline.session import remove_path
-
     base = scratch_path(spark, "relay")
     ML.append_messages(RP.to_messages(B.trips(spark, sf)), f"{base}/log")
     src = SI.StreamSource(format="log", path=f"{base}/log", position=f"{base}/position", starting_offsets="earliest")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -104,6 +105,19 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """The shuffle files of what is written inside go when it is written, not
+    when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     p, fs = _hadoop_path(spark, path)
     fs.delete(p, True)

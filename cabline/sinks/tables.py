@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cabline.operators.joins import replace_by_key
-from cabline.session import path_exists, remove_path
+from cabline.session import path_exists, remove_path, shuffles_removed
 
 
 def _files_layout(df: DataFrame, partition_cols, files_per_partition: int | None) -> DataFrame:
@@ -101,8 +101,10 @@ def merge_by_key(spark: SparkSession, new: DataFrame, path: str, keys, out_path:
 
 
 def write_and_read(df: DataFrame, path: str) -> DataFrame:
-    """``df`` as a table at ``path``, for uses that scan it several times."""
-    df.write.mode("overwrite").parquet(path)
+    """``df`` as a table at ``path``, for uses that scan it several times: packed,
+    and without the shuffles behind it."""
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

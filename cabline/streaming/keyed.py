@@ -78,7 +78,7 @@ class ChangeLog:
         self.path = path.rstrip("/")
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(f"{self.path}/batch_id={int(batch_id)}")
+        batch_df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/batch_id={int(batch_id)}")
 
 
 def read_log(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:

@@ -43,6 +43,7 @@ PARTITIONS = 8
 MESSAGE = pa.schema([("key", pa.string()), ("value", pa.string())])
 ROW = "key string, value string, partition int, offset long"
 EARLIEST, LATEST = -2, -1  # as single offsets, like those of the broker's source
+HELD_BYTES = 32 << 20  # of messages that a writing task keeps in memory, a row group of each partition
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -258,9 +259,16 @@ class Staged(WriterCommitMessage):
 
 
 def stage(o: _Options, batches) -> Staged:
-    """In a task: each partition's messages into a segment of their own, published by nobody yet."""
-    log, writers, counts = Log(o.path), {}, {}
+    """In a task: each partition's messages into a segment of their own, published by nobody yet.
+    They are held until they fill row groups, since the few of one batch pack badly."""
+    log, writers, counts, held, size = Log(o.path), {}, {}, {}, 0
     log.fs.create_dir(f"{log.root}/segments")
+
+    def flush() -> None:
+        for p, rows in held.items():
+            writers[p][1].write_table(pa.Table.from_batches(rows))
+        held.clear()
+
     try:
         for batch in batches:
             part = batch.column(batch.schema.get_field_index("partition"))
@@ -268,9 +276,13 @@ def stage(o: _Options, batches) -> Staged:
                 rows = batch.filter(pc.equal(part, p)).select(["key", "value"]).cast(MESSAGE)
                 if p not in writers:
                     name = f"{uuid.uuid4().hex}.parquet"
-                    writers[p] = name, pq.ParquetWriter(f"{log.root}/segments/{name}", MESSAGE, filesystem=log.fs, compression="zstd")
-                writers[p][1].write_batch(rows)
-                counts[p] = counts.get(p, 0) + rows.num_rows
+                    writers[p] = name, pq.ParquetWriter(f"{log.root}/segments/{name}", MESSAGE, filesystem=log.fs, compression="zstd", compression_level=1, use_dictionary=["key"])
+                held.setdefault(p, []).append(rows)
+                counts[p], size = counts.get(p, 0) + rows.num_rows, size + rows.nbytes
+            if size >= HELD_BYTES:
+                flush()
+                size = 0
+        flush()
     finally:
         for _, w in writers.values():
             w.close()
