@@ -780,19 +780,23 @@ from cabline.streaming import live as SL  # noqa: E402
 BATCHES, BYTES_PER_TRIGGER, FILE_MESSAGES = 3, 8 << 30, 500_000
 
 
+def messages_per_file(spark, sf) -> int:
+    """So many that a topic of all trips has enough files for every core in
+    every micro-batch; the footers' row count sizes them."""
+    files = BATCHES * max(2, spark.sparkContext.defaultParallelism)
+    return min(FILE_MESSAGES, max(1, B.table(spark, sf, "lineitem").count() // files))
+
+
 def publish_messages(spark, sf) -> str:
     """K1 to a message folder (the file twin of the topic), once per session
-    and scale factor, in enough files for every core in every micro-batch.
-    The messages are the widest form of the rows, so they are packed and never
-    shuffled; the footers' row count sizes the files."""
+    and scale factor. The messages are the widest form of the rows, so they
+    are packed and never shuffled."""
     from cabline.sinks.messages import MessageTarget, write_messages
 
     def write():
         topic = scratch_path(spark, "topic")
         msgs = RP.to_messages(B.trips(spark, sf))
-        files = BATCHES * max(2, spark.sparkContext.defaultParallelism)
-        rows = min(FILE_MESSAGES, max(1, B.table(spark, sf, "lineitem").count() // files))
-        write_messages(msgs, MessageTarget(format="text", path=topic), rows_per_file=rows)
+        write_messages(msgs, MessageTarget(format="text", path=topic), rows_per_file=messages_per_file(spark, sf))
         return topic
 
     return B.session_memo(spark, ("topic", sf), write)
@@ -1186,7 +1190,10 @@ def q_stream_hourly_counts(spark, sf):
     """A3 as a stream over several micro-batches: hours closed by the
     watermark, the query started again between them. The trips of one payment
     type come after all others, so those of hours closed by then are late.
-    The trips are stored, as each part is a pass over them."""
+    The trips are stored, as each part is a pass over them, until the last is
+    published; messages are packed, as they are ten times as wide."""
+    from cabline.sinks.messages import MessageTarget, write_messages
+
     base = scratch_path(spark, "hourly")
     trips = K.write_and_read(B.trips(spark, sf), f"{base}/trips")
     second = F.coalesce(F.col("payment_type") == LATE_TYPE, F.lit(False))
@@ -1194,8 +1201,11 @@ def q_stream_hourly_counts(spark, sf):
     middle = trips.where(~second).agg(((F.min(t) + F.max(t)) / 2).cast("long")).first()[0] or 0
     early = F.coalesce(t < middle, F.lit(False))
     parts = [trips.where(~second & early), trips.where(~second & ~early), trips.where(second)]
+    rows = messages_per_file(spark, sf)
     for i, part in enumerate(parts):  # published and taken one after the other
-        RP.to_messages(part).select("value").write.mode("overwrite").text(f"{base}/topic/{i}")
+        write_messages(RP.to_messages(part), MessageTarget(format="text", path=f"{base}/topic/{i}"), rows_per_file=rows)
+        if part is parts[-1]:
+            remove_path(spark, f"{base}/trips")
         src = SI.StreamSource(format="text", path=f"{base}/topic/*")
         valid, _ = SI.split_stream(SI.parse_stream(SI.read_trip_stream(spark, src), keep_raw=False))
         for q in HS.start_hourly(batch.process(valid, B.zones(spark, sf)), f"{base}/hours", f"{base}/ckpt", lateness=f"{LATENESS_HOURS} hours", available_now=True):

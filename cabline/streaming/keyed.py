@@ -28,6 +28,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # sessions are merged in each task first, so the one key gets a few rows a task
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # else each store of a partition takes megabytes of disk before it holds a row
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 POINT_COLUMNS = "ts timestamp, trip_count long, trip_seq long, predicted_trip_count long, predicted_seq long"
 

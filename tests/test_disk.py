@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cabline.plans import registry
 from cabline.sinks import tables as K
+from cabline.streaming import keyed as KS
 from cabline.streaming import message_log as ML
 from tests.test_row_cost import own  # noqa: F401
 
@@ -27,6 +28,17 @@ def _codecs(path):
     return {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_row_groups}
 
 
+def test_hourly_topic_is_packed_and_the_trips_go(spark, scratch):
+    hours = registry.q_stream_hourly_counts(spark, scratch).collect()
+    topic = f"{scratch}/hourly/topic"
+    assert sorted(os.listdir(topic)) == ["0", "1", "2"]
+    files = glob.glob(f"{topic}/*/part-*")
+    assert files and all(f.endswith(".txt.gz") for f in files)
+    assert spark.read.text(f"{topic}/*").count() == registry.B.trips().count()
+    assert not os.path.exists(f"{scratch}/hourly/trips")
+    assert hours == registry.HS.read_hours(spark, f"{scratch}/hourly/hours").collect()
+
+
 def test_log_and_trips_go_after_their_last_use(spark, scratch):
     rows = {r.start: r.n for r in registry.q_stream_log_offsets(spark, scratch).groupBy("start").agg(F.count("*").alias("n")).collect()}
     trips = registry.B.trips()
@@ -48,6 +60,14 @@ def test_messages_of_many_batches_share_row_groups(tmp_dir, monkeypatch, held, l
         assert f.read().to_pylist() == [{"key": [None, "x"][p], "value": f"{k} {i}"} for k in range(12) for i in range(p, 40, 2)]
 
 
+def test_stores_of_state_are_not_allocated_ahead(spark):
+    key = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+    before = spark.conf.get(key, None)
+    with KS.state_settings(spark):
+        assert spark.conf.get(key) == "false"
+    assert spark.conf.get(key, None) == before
+
+
 def test_written_table_is_packed_without_its_shuffles(spark, tmp_dir):
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffles = lambda: {f for f in (blocks.getAllFiles().apply(i).getName() for i in range(blocks.getAllFiles().size())) if f.startswith("shuffle_")}
